@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from sievespark.llm.bpe import op4_byte_bpe
+from sievespark.llm.langid import op9_language_id
 from sievespark.llm.line_dedup import op3_line_dedup
 from sievespark.llm.media import op8_media_columns
 from sievespark.llm.mixing import op10_mixing
 from sievespark.llm.pii import op7_personal_data
 from sievespark.llm.simhash import op2_simhash
+from sievespark.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_line_dedup": op3_line_dedup,
     "op4_byte_bpe": op4_byte_bpe,
+    "op6_toxicity": op6_toxicity,
     "op7_personal_data": op7_personal_data,
     "op8_media_columns": op8_media_columns,
+    "op9_language_id": op9_language_id,
     "op10_mixing": op10_mixing,
 }
 ORACLE_SQL: dict[str, str] = {}
