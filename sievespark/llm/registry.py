@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from sievespark.llm.ann import op5_nearest
 from sievespark.llm.bpe import op4_byte_bpe
+from sievespark.llm.chat import op1_tool_calls
 from sievespark.llm.langid import op9_language_id
 from sievespark.llm.line_dedup import op3_line_dedup
 from sievespark.llm.media import op8_media_columns
@@ -12,9 +14,11 @@ from sievespark.llm.simhash import op2_simhash
 from sievespark.llm.toxicity import op6_toxicity
 
 QUERIES = {
+    "op1_tool_calls": op1_tool_calls,
     "op2_simhash": op2_simhash,
     "op3_line_dedup": op3_line_dedup,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_nearest": op5_nearest,
     "op6_toxicity": op6_toxicity,
     "op7_personal_data": op7_personal_data,
     "op8_media_columns": op8_media_columns,
