@@ -222,3 +222,148 @@ def components(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> D
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Near-duplicates by similarity. At a similarity of 0.8 fingerprints of 64 bits differ in up to 16, where a tree of Hamming distances
+# prunes nothing; so documents first meet by bands of minima of their shingles, and wide fingerprints and exact sets decide.
+
+#: Words of a shingle, the least Jaccard similarity of near-duplicates, bands and minima in a band.
+NEAR_SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 14, 5
+#: Words of 64 bits in a wide fingerprint, and documents of a group that meet in one task.
+WIDE, MEMBERS = 8, 2048
+_ODD = np.random.default_rng(11).integers(1, 1 << 32, BANDS * ROWS, np.uint64) | np.uint64(1)
+_MORE = np.random.default_rng(12).integers(1, 1 << 32, BANDS * ROWS, np.uint64)
+_SALT = np.random.default_rng(13).integers(1, 1 << 63, WIDE, np.uint64)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64 bits that spreads every bit (the finaliser of SplitMix64)."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """A key for each band of minima of the different shingles; none for a document without words."""
+    if not len(hashes):
+        return []
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 4096):
+        part = hashes[at : at + 4096, None]
+        low = np.minimum(low, ((part >> np.uint64(32)) * _ODD + (part & np.uint64(0xFFFFFFFF)) * _MORE).min(0))
+    return [xxhash.xxh64_intdigest(row.tobytes(), seed=i) - (1 << 63) for i, row in enumerate(low.reshape(BANDS, ROWS))]
+
+
+def wide_code(hashes: np.ndarray) -> np.ndarray:
+    return np.array([simhash(mixed(hashes ^ salt)) for salt in _SALT], np.uint64)
+
+
+def farthest(similarity: float) -> int:
+    """Bits in which wide fingerprints of documents that similar differ, with four standard deviations to spare."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    bits = 64 * WIDE
+    return int(np.ceil(bits * p + 4 * np.sqrt(bits * p * (1 - p))))
+
+
+def similar_pairs(codes: np.ndarray, sets: list[np.ndarray], first: int, similarity: float) -> list[tuple[int, int]]:
+    """Edges of a spanning forest over the pairs (i, j), i < first, of at least that Jaccard similarity.
+
+    Members are sorted by the distance to a vantage point, the first member, so that each is compared only with those whose distance
+    differs by no more than the bound; pairs that pass are compared exactly, the nearest first and unless already joined.
+    """
+    limit, forest, out = farthest(similarity), Forest(len(sets)), []
+    apart = np.bitwise_count(codes ^ codes[0]).sum(1)
+    order = np.argsort(apart, kind="stable")
+    ends = np.searchsorted(apart[order], apart[order] + limit, side="right")
+    for at, (i, end) in enumerate(zip(order.tolist(), ends.tolist(), strict=True)):
+        others = order[at + 1 : end]
+        others = others[(others < first) | (i < first)]
+        gap = np.bitwise_count(codes[others] ^ codes[i]).sum(1)
+        near = np.flatnonzero(gap <= limit)
+        for j in others[near[np.argsort(gap[near], kind="stable")]].tolist():
+            if forest.root(i) == forest.root(j):
+                continue
+            a, b = sets[i], sets[j]
+            if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+                continue
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            if both >= similarity * (len(a) + len(b) - both):
+                forest.join(i, j)
+                out.append((i, j))
+    return out
+
+
+def near_duplicates(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, text_hash, group_doc_id, group_text_hash, first): the group of each document and whether the row's document stands for it.
+
+    Documents are told apart by (doc_id, hash of the text). Texts whose lower-cased words are equal, and texts whose sets of shingles have at least
+    that Jaccard similarity, are linked; groups are connected components and the smallest (doc_id, hash) stands for each. Null, empty and
+    wordless texts are one group. A null doc_id comes first.
+    """
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same, found = [], []
+            for text in batch.column(2).to_pylist():
+                words = (text or "").encode().lower().split()
+                same.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                found.append(bands(np.unique(shingle_hashes(text, shingle))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "text_hash", "same", "bands"])
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [np.unique(shingle_hashes(t, shingle)) for t in batch.column(1).to_pylist()]
+            codes = pa.array([wide_code(h).tobytes() for h in hashes], pa.binary())
+            sets = pa.array([np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes() for h in hashes], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), codes, sets], ["node", "code", "shingles"])
+
+    kind = dict(df.dtypes)["doc_id"]
+    rows = df.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    keyed = checkpointed(rows.mapInArrow(keys, f"doc_id {kind}, text_hash long, same binary, bands array<long>"))
+    node = F.struct("doc_id", "text_hash")
+    # one document for all with the same words; the others follow it
+    chosen = checkpointed(keyed.groupBy("same").agg(F.min(node).alias("node"), F.first("bands").alias("bands")))
+    banded = chosen.select("node", F.posexplode("bands").alias("band", "key"))
+    shared = banded.groupBy("band", "key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = checkpointed(banded.join(shared, ["band", "key"]).where(F.col("node") != F.col("least")).select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
+    groups = checkpointed(connected_components(met))
+    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
+    wanted = groups.select(F.col("node"), F.col("node.doc_id").alias("__d"), F.col("node.text_hash").alias("__t"))
+    texts = df.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("text_hash") == F.col("__t")))
+    node_type = f"struct<doc_id: {kind}, text_hash: bigint>"
+    sketched = texts.select("node", "text").mapInArrow(sketches, f"node {node_type}, code binary, shingles binary").groupBy("node").agg(F.first(F.struct("code", "shingles")).alias("s")).select("node", "s.code", "s.shingles")
+    # a large group's documents are dealt to blocks; each block is compared within itself and with the later ones
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    placed = sketched.join(groups, "node").join(sizes, "component").withColumn("own", own).withColumn("block", F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)))
+    shards = max(12, groups.count() // 2000)
+    placed = placed.withColumn("shard", F.pmod(F.xxhash64("component", "block"), F.lit(shards)).cast("int"))
+    placed = placed.select("shard", F.xxhash64("component").alias("group"), "block", (F.col("block") == F.col("own")).alias("home"), "node.doc_id", "node.text_hash", "code", "shingles")
+
+    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["group", "block", "home"], ascending=[True, True, False], kind="stable").reset_index(drop=True)
+        codes = np.frombuffer(b"".join(pdf["code"]), np.uint64).reshape(len(pdf), WIDE)
+        group, block = pdf["group"].to_numpy(), pdf["block"].to_numpy()
+        new = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (block[1:] != block[:-1])])).tolist()
+        left, right = [], []
+        for a, b in zip(new, [*new[1:], len(pdf)], strict=True):
+            sets = [np.frombuffer(x, np.uint32) for x in pdf["shingles"].iloc[a:b]]
+            for i, j in similar_pairs(codes[a:b], sets, int(pdf["home"].iloc[a:b].sum()), similarity):
+                left.append(a + i)
+                right.append(a + j)
+        x, y = pdf.iloc[left], pdf.iloc[right]
+        return pd.DataFrame({"d1": x["doc_id"].array, "t1": x["text_hash"].array, "d2": y["doc_id"].array, "t2": y["text_hash"].array})
+
+    edges = placed.groupBy("shard").applyInPandas(verify, f"d1 {kind}, t1 long, d2 {kind}, t2 long")
+    edges = edges.select(F.struct(F.col("d1").alias("doc_id"), F.col("t1").alias("text_hash")).alias("a"), F.struct(F.col("d2").alias("doc_id"), F.col("t2").alias("text_hash")).alias("b"))
+    linked = connected_components(edges)
+    named = chosen.select("same", "node").join(linked, "node", "left").select("same", F.coalesce("component", "node").alias("group"))
+    out = keyed.select("doc_id", "text_hash", "same").join(named, "same")
+    return out.select("doc_id", "text_hash", F.col("group.doc_id").alias("group_doc_id"), F.col("group.text_hash").alias("group_text_hash"), (F.struct("doc_id", "text_hash") == F.col("group")).alias("first"))
+
+
+def one_of_each(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The documents that stand for their group of near-duplicates, with all their columns; of repeated rows with one doc_id and text one stays."""
+    kept = near_duplicates(df, shingle, similarity).where("first").select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t")).distinct()
+    rows = df.withColumn("__h", F.xxhash64("text"))
+    stay = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__t")), "left_semi")
+    return stay.dropDuplicates(["doc_id", "__h"]).drop("__h")
