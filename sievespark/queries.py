@@ -1,5 +1,406 @@
-"""The library's own queries over the driver's tables."""
+"""The library's queries over the driver's tables, each with the result that DuckDB's SQL states on its own.
+
+Dirty columns are derived from clean ones by the remainder of a key, so that the SQL can say what the repair has to give.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievespark.functions import parsers as P
+from sievespark.functions import text as T
+from sievespark.operators import derive, entity, matching, quality
+from sievespark.sources import lines as L
+from sievespark.streaming.drift import drift
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 FLAGSHIP = "outcome_by_kind"
+
+
+def query(sql: str | None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def pick(key: Column, *choices: Column | str) -> Column:
+    """One of the choices by the remainder of the key."""
+    return F.get(F.array(*[c if isinstance(c, Column) else F.lit(c) for c in choices]), F.pmod(key, F.lit(len(choices))).cast("int"))
+
+
+def continental(x: Column) -> Column:
+    """1234.5 -> 1.234,50"""
+    return F.translate(F.format_number(x, 2), ",.", ".,")
+
+
+def dirty_money(key: Column, x: Column) -> Column:
+    plain = x.cast("decimal(18,2)").cast("string")
+    comma = F.replace(plain, F.lit("."), F.lit(","))
+    c = F.concat
+    return pick(key, plain, comma, c(continental(x), F.lit(" TL")), c(F.lit("₺"), F.format_number(x, 2)), c(comma, F.lit("₺")), c(F.lit("TRY "), plain), c(F.lit(" "), plain, F.lit(" tl ")), continental(x))
+
+
+@query("select o_orderkey, cast(o_totalprice as decimal(18,2)) as amount from orders")
+def parse_money_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders")
+    return o.select("o_orderkey", P.money(dirty_money(F.col("o_orderkey"), F.col("o_totalprice"))).alias("amount"))
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, cast(l_discount as decimal(6,4)) as discount from lineitem")
+def parse_ratio_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("l_discount").cast("decimal(6,2)")
+    hundred = (d * 100).cast("int").cast("string")
+    text = pick(F.col("l_orderkey"), d.cast("string"), F.concat(F.lit("%"), hundred), F.concat(hundred, F.lit("%")), F.replace(d.cast("string"), F.lit("."), F.lit(",")), F.concat(F.lit("%"), hundred, F.lit(".0")))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", P.ratio(text).alias("discount"))
+
+
+@query("""select o_orderkey, case when o_orderkey % 10 = 6 and day(o_orderdate) <= 12 then make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate)) else cast(o_orderdate as date) end as first_reading,
+ case when o_orderkey % 10 in (0, 6) and day(o_orderdate) <= 12 and day(o_orderdate) <> month(o_orderdate) then 2 else 1 end as readings from orders""")
+def parse_dates_10_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("o_orderdate").cast("date")
+    month = F.get(F.array(*[F.lit(m) for m in P.MONTHS]), F.month(d) - 1)
+    english = F.get(F.array(*[F.lit(m.capitalize()) for m in P.ENGLISH_MONTHS]), F.month(d) - 1)
+    f = lambda p: F.date_format(d, p)
+    text = pick(F.col("o_orderkey"), f("dd/MM/yyyy"), f("dd.MM.yyyy"), f("dd.MM.yy"), F.concat_ws(" ", F.dayofmonth(d).cast("string"), month, F.year(d).cast("string")), f("yyyyMMdd"), F.concat(f("yyyy-MM-dd"), F.lit("T00:00:00")), f("MM/dd/yyyy"), f("yyyy/MM/dd"), F.concat_ws("-", f("dd"), english, f("yyyy")), F.concat_ws(" ", F.dayofmonth(d).cast("string"), T.lower(month), f("yy")))
+    found = P.date_candidates(text)
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.get(found, F.lit(0)).alias("first_reading"), F.size(found).alias("readings"))
+
+
+@query("""with x as (select o_orderkey as k, cast(o_orderdate + interval 23 year as date) as d from orders),
+ y as (select k, d, case when day(d) <= 12 and day(d) <> month(d) then make_date(year(d), day(d), month(d)) end as other, case when k % 3 <> 0 then d + cast(k % 25 as integer) end as t from x),
+ z as (select *, other >= date '2015-01-01' and other < date '2025-01-01' and d >= date '2015-01-01' and d < date '2025-01-01' and (t is null or datediff('day', other, t) between 0 and 30) as unsure from y where d >= date '2015-01-01' and d < date '2025-01-01')
+ select k as o_orderkey, case when coalesce(unsure, false) then null else d end as order_date, t as delivery_date, case when coalesce(unsure, false) then 2 else 0 end as uncertain from z""")
+def joint_date_disambiguation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.add_months(F.col("o_orderdate").cast("date"), 23 * 12)
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", d.alias("d")).where("d >= '2015-01-01' and d < '2025-01-01'")
+    delivery = F.when(F.col("o_orderkey") % 3 != 0, F.date_format(F.date_add("d", F.col("o_orderkey").cast("int") % 25), "yyyy-MM-dd")).otherwise("")
+    read_dates = rows.select("o_orderkey", P.date_candidates(F.date_format("d", "dd/MM/yyyy")).alias("s"), P.date_candidates(delivery).alias("t"))
+    found = read_dates.select("o_orderkey", derive.joint_dates(F.col("s"), F.col("t")).alias("f"))
+    return found.select("o_orderkey", "f.order_date", "f.delivery_date", F.size("f.uncertain_order").alias("uncertain"))
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, cast(l_quantity as integer) as quantity from lineitem")
+def parse_quantity_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.col("l_quantity").cast("int")
+    s = q.cast("string")
+    word = F.coalesce(F.get(F.array(*[F.lit(w) for w in P.NUMBER_WORDS]), q - 1), s)
+    text = pick(F.col("l_orderkey"), word, F.concat(s, F.lit(" adet")), F.concat(F.lit("x"), s), F.concat(s, F.lit(",0")), F.concat(s, F.lit(" pcs")), F.concat(s, F.lit(" AD.")))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", P.count(text).alias("quantity"))
+
+
+@query("select c_custkey, 'M' || lpad(cast(c_custkey % 100000 as varchar), 5, '0') as customer_id from customer")
+def normalize_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("c_custkey") % 100000
+    full = F.lpad(n.cast("string"), 5, "0")
+    text = pick(F.col("c_custkey"), F.concat(F.lit("M"), full), F.concat(F.lit("#"), n.cast("string")), F.concat(F.lit("m-"), full), F.concat(F.lit(" m"), full, F.lit(" ")), n.cast("string"))
+    return read(spark, sf_dir, "customer").select("c_custkey", P.identifier(text, "M", 5).alias("customer_id"))
+
+
+@query("""select c_custkey, case when c_custkey % 6 = 5 then null else '+90 5' || substr(d, 1, 2) || ' ' || substr(d, 3, 3) || ' ' || substr(d, 6, 2) || ' ' || substr(d, 8, 2) end as phone
+ from (select c_custkey, lpad(cast(c_custkey * 7919 % 1000000000 as varchar), 9, '0') as d from customer)""")
+def phone_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.concat(F.lit("5"), F.lpad((F.col("c_custkey") * 7919 % 1000000000).cast("string"), 9, "0"))
+    part = lambda a, n: F.substring(d, a, n)
+    text = pick(F.col("c_custkey"), F.concat(F.lit("0"), d), d, F.concat(F.lit("+90"), d), F.concat(F.lit("0 ("), part(1, 3), F.lit(") "), part(4, 3), F.lit("-"), part(7, 4)), F.concat(F.lit("90 "), part(1, 3), F.lit("."), part(4, 7)), part(1, 8))
+    return read(spark, sf_dir, "customer").select("c_custkey", P.phone(text).alias("phone"))
+
+
+@query("select c_custkey, case when c_custkey % 6 = 5 then null else 'user' || c_custkey || '@' || (case c_custkey % 3 when 0 then 'gmail.com' when 1 then 'hotmail.com' else 'outlook.com' end) end as email from customer")
+def email_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    domain = pick(k, "gmail.com", "hotmail.com", "outlook.com")
+    local = F.concat(F.lit("user"), k.cast("string"))
+    at = lambda d: F.concat(local, F.lit("@"), d)
+    text = pick(k, at(domain), F.concat(local, F.lit("@@"), F.upper(domain)), at(F.replace(domain, F.lit("."), F.lit(","))), F.concat(F.lit(" "), at(domain), F.lit(" ")), F.concat(local, domain), F.lit("yok"))
+    text = F.when((k % 211 == 7) & (k % 6 != 5), at(F.regexp_replace(domain, "(.)com$", "$1cmo"))).otherwise(text)
+    rows = read(spark, sf_dir, "customer").select("c_custkey", text.alias("raw")).withColumn("email", P.email_text(F.col("raw")))
+    domains = matching.usual_domains(rows, "email", "c_custkey")
+    return rows.select("c_custkey", F.when(~T.is_placeholder(F.col("raw")), matching.repair_email(F.col("email"), domains)).alias("email"))
+
+
+@query("select p_partkey, case when p_partkey % 7 in (0, 3, 5) then null else p_type end as p_type from part")
+def placeholder_to_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = pick(F.col("p_partkey"), "N/A", F.col("p_type"), F.concat(F.lit(" "), F.col("p_type")), " - ", F.col("p_type"), "YOK", F.col("p_type"))
+    value = T.clean(text)
+    return read(spark, sf_dir, "part").select("p_partkey", F.when(~T.is_placeholder(value), value).alias("p_type"))
+
+
+@query("select p_partkey, trim(regexp_replace(p_name, ' +', ' ', 'g')) as p_name from part")
+def invisible_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_name")
+    text = pick(F.col("p_partkey"), F.concat(F.lit("​"), n), F.replace(n, F.lit(" "), F.lit(" ")), F.concat(n, F.lit("\t ")), F.replace(n, F.lit(" "), F.lit("   ")), F.concat(F.lit("﻿ "), n))
+    return read(spark, sf_dir, "part").select("p_partkey", T.squeeze(text).alias("p_name"))
+
+
+_WORDS = ["İstanbul", "Şişli", "Ağrı", "Çiğli", "Gümüşhane", "Üsküdar", "Iğdır"]
+_GARBLED = ["".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in w.encode()) if i % 2 else w.encode("cp1254").decode("latin-1") for i, w in enumerate(_WORDS)]
+_CHOICES = " ".join(f"when {i} then '{w}'" for i, w in enumerate(_WORDS))
+
+
+@query(f"select n_nationkey, c_custkey, n_name || ' ' || (case c_custkey % 7 {_CHOICES} end) as place from customer join nation on c_nationkey = n_nationkey")
+def mojibake_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return both.select("n_nationkey", "c_custkey", T.degarble(F.concat_ws(" ", "n_name", pick(F.col("c_custkey"), *_GARBLED))).alias("place"))
+
+
+_KEYS = " ".join(f"when {i} then '{matching.python_key(w)}'" for i, w in enumerate(_WORDS))
+
+
+@query(f"select p_partkey, case p_partkey % 7 {_KEYS} end as word_key from part")
+def turkish_case_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = pick(F.col("p_partkey"), *_WORDS)
+    text = pick(F.floor(F.col("p_partkey") / 7), w, T.upper(w), T.lower(w), T.title(T.upper(w)))
+    return read(spark, sf_dir, "part").select("p_partkey", T.key(text).alias("word_key"))
+
+
+def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order as a line of the orders table; by the key some have semicolons, an extra empty field, or tabs."""
+    k = F.col("o_orderkey")
+    date = F.date_format("o_orderdate", "yyyy-MM-dd")
+    price = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    good = [F.concat(F.lit("S"), F.lpad((k % 1000000).cast("string"), 6, "0")), F.concat(F.lit("M"), F.lpad((F.col("o_custkey") % 100000).cast("string"), 5, "0")), F.lit("U0001"), date, F.lit("1"), price, F.lit("0.00"), price, F.lit("Kredi Kartı"), F.lit("Aras Kargo"), F.lit(""), F.lit("Kargoda")]
+    comma, semicolon, tab = F.concat_ws(",", *good), F.concat_ws(";", *good), F.concat_ws("\t", *good)
+    extra = F.concat_ws(",", *good[:4], F.lit(""), *good[4:])
+    quoted = F.concat_ws(",", *good[:8], F.lit('"Kredi Kartı"'), *good[9:])
+    return read(spark, sf_dir, "orders").select(k.alias("line_no"), pick(k, comma, semicolon, extra, tab, quoted).alias("line"))
+
+
+@query("""select 'S' || lpad(cast(o_orderkey % 1000000 as varchar), 6, '0') as siparis_id, 'M' || lpad(cast(o_custkey % 100000 as varchar), 5, '0') as musteri_id, strftime(o_orderdate, '%Y-%m-%d') as siparis_tarihi, '1' as adet,
+ cast(cast(o_totalprice as decimal(18,2)) as varchar) as toplam_tutar, 'Kredi Kartı' as odeme_yontemi, 'Kargoda' as durum, o_orderkey % 5 in (1, 2) as repaired from orders where o_orderkey % 5 <> 3""")
+def repair_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, _ = L.ingest(_order_lines(spark, sf_dir), "siparisler")
+    return records.select("siparis_id", "musteri_id", "siparis_tarihi", "adet", "toplam_tutar", "odeme_yontemi", "durum", "repaired")
+
+
+@query("select 'siparisler' as tablo, 'Alan sayısı uyuşmuyor' as sebep, count(*) as n from orders where o_orderkey % 5 = 3")
+def quarantine_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, bad = L.ingest(_order_lines(spark, sf_dir), "siparisler")
+    return bad.groupBy("tablo", "sebep").agg(F.count("*").alias("n"))
+
+
+@query("""select o_orderkey, case o_orderkey % 6 when 5 then null else o_orderpriority end as priority from orders""")
+def enum_match_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, p = F.col("o_orderkey"), F.col("o_orderpriority")
+    words = F.split(p, "-")
+    text = pick(k, F.lower(p), F.replace(p, F.lit("-"), F.lit(" ")), F.get(words, F.lit(1)), F.concat(p, F.lit("x")), F.translate(p, "EI", "??"), F.lit("zzzz"))
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", text.alias("raw"))
+    options = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    names = {o.split("-")[1]: o for o in options}
+    found = matching.matched(rows, "raw", lambda v: matching.match(v, options, names))
+    return found.select("o_orderkey", matching.resolve_option(F.col("raw"), F.col("raw_match"))["value"].alias("priority"))
+
+
+@query("""select k as key, first(w order by n desc, o) as spelling from (select regexp_replace(lower(w), '[^a-z0-9]', '', 'g') as k, w, count(*) as n, min(o) as o from
+ (select p_partkey as o, case when p_partkey % 3 = 0 then upper(split_part(p_name, ' ', 1)) else split_part(p_name, ' ', 1) end as w from part) group by 1, 2) group by 1""")
+def spelling_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    word = F.get(F.split("p_name", " "), F.lit(0))
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.upper(word)).otherwise(word).alias("w"))
+    return matching.spellings(rows, "w", "p_partkey")
+
+
+@query("select p_partkey, p_brand as brand from part")
+def brand_from_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "part").select("p_partkey", "p_brand", F.concat_ws(" ", "p_brand", "p_name").alias("name"))
+    brands = matching.spellings(p, "p_brand", "p_partkey")
+    found = matching.brand_from_name(p.withColumn("p_brand", F.when(F.col("p_partkey") % 4 != 0, F.col("p_brand"))), "name", brands)
+    return found.select("p_partkey", F.coalesce("p_brand", "brand_found").alias("brand"))
+
+
+@query("select user_id, first(event_type order by n desc, o) as event_type from (select user_id, event_type, count(*) as n, min(event_id) as o from events group by 1, 2) group by 1")
+def mode_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive.mode_first_seen(read(spark, sf_dir, "events"), "user_id", "event_type", "event_id")
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, cast(p_retailprice as decimal(12,2)) as price from lineitem join part on l_partkey = p_partkey")
+def price_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_retailprice").cast("decimal(12,2)").alias("price"))
+    sold = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.lit(None).cast("decimal(12,2)").alias("price"))
+    return derive.fill_from(sold, parts, "l_partkey", "price")
+
+
+_LINES = "select l_orderkey, l_linenumber, l_partkey, cast(l_quantity as integer) as q, cast(l_extendedprice as decimal(12,2)) as p, cast(l_discount as decimal(6,4)) as d from lineitem"
+
+
+@query(f"select l_orderkey, l_linenumber, l_partkey, cast(round(q * p * (1 - d), 2) as decimal(18,2)) as total from ({_LINES})")
+def total_recompute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, p, d = F.col("l_quantity").cast("int"), F.col("l_extendedprice").cast("decimal(12,2)"), F.col("l_discount").cast("decimal(6,4)")
+    right = F.round(q.cast("decimal(10,0)") * p * (1 - d), 2).cast("decimal(18,2)")
+    wrong = pick(F.col("l_orderkey"), right, F.lit(None).cast("decimal(18,2)"), (right * 10).cast("decimal(18,2)"), (right + 1).cast("decimal(18,2)"))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", derive.recomputed_total(q, p, d, wrong).alias("total"))
+
+
+@query(f"select l_orderkey, l_linenumber, l_partkey, q as quantity from ({_LINES})")
+def quantity_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, p, d = F.col("l_quantity").cast("int"), F.col("l_extendedprice").cast("decimal(12,2)"), F.col("l_discount").cast("decimal(6,4)")
+    total = F.round(q.cast("decimal(10,0)") * p * (1 - d), 2).cast("decimal(18,2)")
+    bad = pick(F.col("l_orderkey"), q, F.lit(9999), -q, F.lit(None).cast("int"))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", derive.repaired_count(bad, p, d, total).alias("quantity"))
+
+
+@query(f"select l_orderkey, l_linenumber, l_partkey, case when d * 20 = round(d * 20) then d end as discount from ({_LINES})")
+def discount_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, p, d = F.col("l_quantity").cast("int"), F.col("l_extendedprice").cast("decimal(12,2)"), F.col("l_discount").cast("decimal(6,4)")
+    total = F.round(q.cast("decimal(10,0)") * p * (1 - d), 2).cast("decimal(18,2)")
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", derive.inferred_discount(q, p, F.lit(None).cast("decimal(6,4)"), total).alias("discount"))
+
+
+_VOTES = "select user_id, event_type, count(*) as n, sum(count(*)) over (partition by user_id) as t from (select user_id, case when event_id % 20 = 0 then event_type else 'view' end as event_type from events) group by 1, 2"
+
+
+@query(f"select user_id, event_type as voted from ({_VOTES}) where t >= 3 and n >= 0.9 * t")
+def attribute_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_id") % 20 == 0, F.col("event_type")).otherwise("view")
+    return derive.voted(read(spark, sf_dir, "events").select("user_id", kind.alias("kind")), "user_id", "kind")
+
+
+@query("select o_orderkey, cast(o_totalprice as decimal(18,2)) as total from orders")
+def dedup_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("total"), F.col("o_orderkey").alias("row_idx"))
+    copies = o.where("o_orderkey % 3 = 0").select("o_orderkey", (F.col("total") + 1).cast("decimal(18,2)").alias("total"), (F.col("row_idx") + 1_000_000_000).alias("row_idx"))
+    return entity.keep_first(o.unionByName(copies), "o_orderkey", "row_idx").select("o_orderkey", "total")
+
+
+@query("select min(doc_id) as doc_id, count(*) as copies from documents group by text")
+def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grouped by two hashes, so that no text is shuffled."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.xxhash64("text").alias("h"), F.sha2(F.coalesce("text", F.lit("\0")), 256).alias("s"))
+    return d.groupBy("h", "s").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
+
+
+def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and altered copies of every fourth one: names swapped, phone or e-mail lost."""
+    k = F.col("c_custkey")
+    c = read(spark, sf_dir, "customer").select(k.alias("row_idx"), F.format_string("M%08d", k).alias("id"), F.concat(F.lit("Ad"), k.cast("string")).alias("first"), F.concat(F.lit("Soyad"), (k % 50).cast("string")).alias("last"), F.date_add(F.lit("1950-01-01").cast("date"), (k % 20000).cast("int")).alias("birth"), F.concat(F.lit("5"), k.cast("string")).alias("phone"), F.concat(F.lit("u"), k.cast("string"), F.lit("@x.com")).alias("email"), (k % 81).cast("string").alias("district"))
+    twins = c.where("row_idx % 4 = 0").select((F.col("row_idx") + 1_000_000_000).alias("row_idx"), F.concat(F.lit("N"), F.substring("id", 2, 8)).alias("id"), T.upper(F.col("last")).alias("first"), F.col("first").alias("last"), "birth", F.when(F.col("row_idx") % 8 == 0, F.col("phone")).alias("phone"), F.when(F.col("row_idx") % 8 != 0, F.col("email")).alias("email"), "district")
+    return c.unionByName(twins)
+
+
+_ROLES = {"birth": "birth", "phone": "phone", "email": "email", "district": "district"}
+
+
+@query("select c_custkey as a, c_custkey + 1000000000 as b, 'yes' as decision from customer where c_custkey % 4 = 0")
+def duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entity.decided_pairs(_people(spark, sf_dir), "first", "last", _ROLES, "row_idx")
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    people = _people(spark, sf_dir)
+    pairs = entity.decided_pairs(people, "first", "last", _ROLES, "row_idx").where("decision = 'yes'")
+    return entity.merge(people, entity.components(pairs), "id", "row_idx", own=["birth"])
+
+
+@query("select 'N' || lpad(cast(c_custkey as varchar), 8, '0') as old_id, 'M' || lpad(cast(c_custkey as varchar), 8, '0') as new_id from customer where c_custkey % 4 = 0")
+def duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir)[1]
+
+
+@query("select 'M' || lpad(cast(c_custkey as varchar), 8, '0') as id, '5' || c_custkey as phone, 'u' || c_custkey || '@x.com' as email from customer")
+def survivor_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir)[0].select("id", "phone", "email")
+
+
+@query("select o_orderkey, 'M' || lpad(cast(o_custkey as varchar), 8, '0') as customer from orders")
+def fk_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    letter = F.when((F.col("o_custkey") % 4 == 0) & (F.col("o_orderkey") % 2 == 0), "N").otherwise("M")
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", F.concat(letter, F.lpad(F.col("o_custkey").cast("string"), 8, "0")).alias("customer"))
+    mapping = read(spark, sf_dir, "customer").where("c_custkey % 4 = 0").select(F.concat(F.lit("N"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("old_id"), F.concat(F.lit("M"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("new_id"))
+    return entity.rewrite(orders, mapping, "customer")
+
+
+@query("""select t as true_pairs, p as predicted_pairs, p * 1.0 / p as "precision", p * 1.0 / t as recall, 2.0 * (p * 1.0 / t) / (1 + p * 1.0 / t) as f1 from (select count(*) as t, count(*) filter (c_custkey % 8 = 0) as p from customer where c_custkey % 4 = 0)""")
+def pair_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "customer")
+    mapping = c.where("c_custkey % 4 = 0").select(F.format_string("N%08d", "c_custkey").alias("old_id"), F.format_string("M%08d", "c_custkey").alias("new_id"), "c_custkey")
+    return entity.pair_scores(mapping.where("c_custkey % 8 = 0"), mapping)
+
+
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose total is corrupted by the key: money formats, placeholders, nonsense, and every 97th row lost."""
+    o = read(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    base = {"siparis_id": F.format_string("S%09d", k), "toplam_tutar": F.col("o_totalprice").cast("decimal(18,2)").cast("string"), "durum": F.col("o_orderstatus")}
+    from sievespark.plans.schema import TABLES
+
+    blank = F.lit(None).cast("string")
+    truth = o.select(*[base.get(c, blank).alias(c) for c in TABLES["siparisler"]])
+    dirty = F.when(k % 4 == 0, dirty_money(F.floor(k / 4), F.col("o_totalprice"))).when(k % 4 == 1, "yok").when(k % 4 == 2, F.concat(F.lit("9"), base["toplam_tutar"])).otherwise(base["toplam_tutar"])
+    clean = o.where("o_orderkey % 97 <> 0").select(*[(P.money(dirty) if c == "toplam_tutar" else base.get(c, blank)).alias(c) for c in TABLES["siparisler"]])
+    log = o.where("o_orderkey % 4 < 3").select(F.lit("siparisler").alias("tablo"), base["siparis_id"].alias("anahtar"), F.lit("toplam_tutar").alias("sutun"), pick(k % 4, "B6", "B5", "B12").alias("bozma"), (k % 4 != 1).alias("kurtarilabilir"))
+    return quality.cell_outcomes(truth, clean, log, "siparisler")
+
+
+_CELLS = """select o_orderkey, case o_orderkey % 4 when 0 then 'B6' when 1 then 'B5' when 2 then 'B12' else 'temiz' end as corruption, o_orderkey % 4 <> 1 as recoverable,
+ case when o_orderkey % 97 = 0 then 'row_missing' when o_orderkey % 4 = 1 then 'blank' when o_orderkey % 4 = 2 then 'wrong' else 'correct' end as outcome from orders"""
+_RATES = "count(*) as n, avg(case when outcome = 'correct' then 1.0 else 0 end) as correct, avg(case when outcome = 'blank' then 1.0 else 0 end) as blank, avg(case when outcome = 'wrong' then 1.0 else 0 end) as wrong, avg(case when outcome = 'row_missing' then 1.0 else 0 end) as row_missing"
+
+
+@query(f"select 'S' || lpad(cast(o_orderkey as varchar), 9, '0') as key, corruption, recoverable, outcome from ({_CELLS})")
+def cell_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _outcomes(spark, sf_dir).where("column = 'toplam_tutar'").select("key", "corruption", "recoverable", "outcome")
+
+
+@query(f"select corruption, {_RATES} from ({_CELLS}) where corruption <> 'temiz' group by 1")
+def outcome_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rates(_outcomes(spark, sf_dir).where("corruption <> 'temiz'"), "corruption")
+
+
+@query(f"""select 'toplam_tutar' as "column", {_RATES} from ({_CELLS}) union all select c, count(*), avg(case when o_orderkey % 97 <> 0 then 1.0 else 0 end), 0.0, 0.0, avg(case when o_orderkey % 97 = 0 then 1.0 else 0 end) from orders
+ cross join (select unnest(['musteri_id', 'urun_id', 'siparis_tarihi', 'adet', 'birim_fiyat', 'indirim_orani', 'odeme_yontemi', 'kargo_firmasi', 'teslim_tarihi', 'durum']) as c) group by c""")
+def outcome_by_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rates(_outcomes(spark, sf_dir), "column")
+
+
+@query(f"select cast(0 as bigint) as fabricated, sum(case when corruption = 'B5' then 1 else 0 end) + 9 * count(*) as cells, 0.0 as rate from ({_CELLS})")
+def fabrication_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.fabrication(_outcomes(spark, sf_dir))
+
+
+@query("""select 'B2' as corruption, count(*) as n, avg(case when o_orderkey % 5 = 0 then 0.0 else 1.0 end) as success from orders where o_orderkey % 3 = 0
+ union all select 'B14', count(*), avg(case when o_orderkey % 7 = 0 then 0.0 else 1.0 end) from orders where o_orderkey % 3 = 1""")
+def row_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("siparis_id"))
+    log = o.where("o_orderkey % 3 < 2").select(F.col("siparis_id").alias("anahtar"), F.lit("*satir*").alias("sutun"), F.when(F.col("o_orderkey") % 3 == 0, "B2").otherwise("B14").alias("bozma"))
+    clean = o.where("not (o_orderkey % 3 = 1 and o_orderkey % 7 = 0)").unionByName(o.where("o_orderkey % 3 = 0 and o_orderkey % 5 = 0"))
+    return quality.row_success(clean, log, "siparis_id")
+
+
+@query("""select 'urunler' as tablo, case when p_partkey % 6 < 2 then 'duzeltildi' else 'gecersiz' end as islem, count(*) as n from part where p_partkey % 6 < 3 group by 2""")
+def issue_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "part").withColumn("row_idx", F.col("p_partkey"))
+    price = F.col("p_retailprice").cast("decimal(12,2)").cast("string")
+    before = p.select("row_idx", F.format_string("U%08d", "p_partkey").alias("urun_id"), F.col("p_name").alias("urun_adi"), F.lit("Kitap").alias("kategori"), F.col("p_brand").alias("marka"), F.when(F.col("p_partkey") % 6 < 2, F.concat(price, F.lit(" TL"))).when(F.col("p_partkey") % 6 == 2, "bedava").otherwise(price).alias("birim_fiyat"))
+    after = before.withColumn("birim_fiyat", P.money(F.col("birim_fiyat")).cast("decimal(12,2)"))
+    return quality.issue_statistics(quality.issues(before, after, "urunler", "row_idx"))
+
+
+@query("select o_orderkey, 5 as candidates from orders where o_orderkey % 6 = 5")
+def uncertain_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 6 == 5, "TEX").otherwise(F.lower("o_orderpriority")).alias("raw"))
+    options = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    found = matching.matched(rows, "raw", lambda v: matching.match(v, options))
+    cell = found.select("o_orderkey", matching.resolve_option(F.col("raw"), F.col("raw_match")).alias("c"))
+    return cell.where("c.action = 'belirsiz'").select("o_orderkey", F.size("c.candidates").alias("candidates"))
+
+
+@query("select count(*) as lines, count(distinct o_orderkey) as ids from orders where o_orderkey % 5 <> 3")
+def sample_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _order_lines(spark, sf_dir)
+    ids = L.mentioned_ids(lines.where("line_no % 5 <> 3"))
+    kept = L.lines_in_scope(lines, ids)
+    return kept.agg(F.count("*").alias("lines")).crossJoin(ids.agg(F.count("*").alias("ids")))
+
+
+@query("""select date_trunc('hour', ts) as start, count(*) as rows, avg(case when event_id % 11 = 0 then 1.0 else 0 end) as blank_value from events group by 1""")
+def drift_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").withColumn("raw", F.when(F.col("event_id") % 11 == 0, "N/A").otherwise(F.col("value").cast("string")))
+    return drift(e, "ts", {"value": T.is_placeholder(F.col("raw"))})

@@ -51,36 +51,40 @@ def fitness(values: Column, table: str) -> Column:
     return score
 
 
-def repaired(line: Column, table: str) -> Column:
-    """array<array<string>>: the records of a line, or null if it can't be repaired.
+def parsed(lines: DataFrame, table: str) -> DataFrame:
+    """Adds comma (the fields of the line) and records, array<array<string>>, null if the line can't be repaired.
 
     As it is; with semicolons for commas; without the empty field whose absence fits the columns best (the left one of equals); or, for orders, cut in
-    two where the next record's identifier follows the last field.
+    two where the next record's identifier follows the last field. Each step is a projection of its own, so that no line is cut twice.
     """
     n = len(TABLES[table])
-    comma, semicolon = fields(line), fields(line, ";")
-    size = F.size(comma)
-    without = lambda i: F.concat(F.slice(comma, 1, i), F.slice(comma, i + 2, n))
-    tries = F.filter(F.sequence(F.lit(0), F.lit(n)), lambda i: F.get(comma, i) == "")
-    best = F.array_max(F.transform(tries, lambda i: F.struct(fitness(without(i), table).alias("fit"), (-i).alias("left"))))
-    out = F.when(size == n, F.array(comma)).when((size < n) & (F.size(semicolon) == n), F.array(semicolon)).when((size == n + 1) & best.isNotNull(), F.array(without(-best["left"])))
+    cut = lines.withColumn("comma", fields(F.col("line"))).withColumn("size", F.size("comma"))
+    other = F.when((F.col("size") < n) & (F.size(F.split("line", ";")) >= n), fields(F.col("line"), ";"))
+    cut = cut.withColumn("semicolon", other)
+    without = lambda i: F.concat(F.slice("comma", 1, i), F.slice("comma", i + 2, n))
+    places = F.filter(F.sequence(F.lit(0), F.lit(n)), lambda i: F.get("comma", i) == "")
+    tries = F.transform(places, lambda i: F.struct(without(i).alias("values"), (-i).alias("left")))
+    cut = cut.withColumn("tries", F.when(F.col("size") == n + 1, tries))
+    scored = F.transform("tries", lambda x: F.struct(fitness(x["values"], table).alias("fit"), x["left"].alias("left"), x["values"].alias("values")))
+    cut = cut.withColumn("best", F.array_max(scored))
+    out = F.when(F.col("size") == n, F.array("comma")).when(F.size("semicolon") == n, F.array("semicolon")).when(F.col("best").isNotNull(), F.array(F.col("best.values")))
     if table == "siparisler":
-        glued = F.get(comma, F.lit(n - 1))
+        glued = F.get("comma", F.lit(n - 1))
         shape = r"^(.*?)(S\d{6})$"
-        first = F.concat(F.slice(comma, 1, n - 1), F.array(F.regexp_extract(glued, shape, 1)))
-        second = F.concat(F.array(F.regexp_extract(glued, shape, 2)), F.slice(comma, n + 1, n - 1))
-        out = out.when((size == 2 * n - 1) & glued.rlike(shape), F.array(first, second))
-    return out
+        first = F.concat(F.slice("comma", 1, n - 1), F.array(F.regexp_extract(glued, shape, 1)))
+        second = F.concat(F.array(F.regexp_extract(glued, shape, 2)), F.slice("comma", n + 1, n - 1))
+        out = out.when((F.col("size") == 2 * n - 1) & glued.rlike(shape), F.array(first, second))
+    return cut.withColumn("records", out).drop("semicolon", "tries", "best")
 
 
 def ingest(lines: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
     """(records, quarantine) of (line_no, line). Records have row_idx (line order), repaired (boolean) and the table's columns as text."""
     columns = list(TABLES[table])
-    parsed = lines.withColumn("records", repaired(F.col("line"), table))
-    mended = (F.size("records") > 1) | (F.size(fields(F.col("line"))) != len(columns))
-    each = parsed.where("records is not null").select("line_no", mended.alias("repaired"), F.posexplode("records").alias("part", "r"))
+    cut = parsed(lines, table)
+    mended = (F.size("records") > 1) | (F.col("size") != len(columns))
+    each = cut.where("records is not null").select("line_no", mended.alias("repaired"), F.posexplode("records").alias("part", "r"))
     records = each.select((F.col("line_no") * 2 + F.col("part")).alias("row_idx"), "repaired", *[F.get("r", F.lit(i)).alias(c) for i, c in enumerate(columns)])
-    return records, parsed.where("records is null").select(F.lit(table).alias("tablo"), F.col("line").alias("ham_satir"), F.lit(REASON).alias("sebep"))
+    return records, cut.where("records is null").select(F.lit(table).alias("tablo"), F.col("line").alias("ham_satir"), F.lit(REASON).alias("sebep"))
 
 
 def mentioned_ids(lines: DataFrame, pattern: str = r"S\d{6}") -> DataFrame:
