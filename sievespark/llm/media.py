@@ -100,51 +100,103 @@ def recipes(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(df.dtypes)['doc_id']}, n_bytes long, payload_bytes long, media_bytes long, media_sha256 string, digests array<binary>")
 
 
-def store(df: DataFrame) -> DataFrame:
-    """(digest, chunk): every chunk of the documents once, compressed. Copies within a batch and a task fall away before the shuffle."""
+def packs(df: DataFrame) -> DataFrame:
+    """(media_sha256, pack): each distinct medium once, its chunks in order as (digest, compressed chunk); a repeat has its digest alone.
+
+    One column, so that all that reads it can share the shuffle. The only shuffle that moves every medium's bytes: copies fall away in it and all later joins on media_sha256 keep its partitioning.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            found = {}
+            for text in batch.column(0).to_pylist():
+                medium = to_wav(payload_of(text)[1])
+                name = hashlib.sha256(medium).hexdigest()
+                if name not in found:
+                    listed, seen = [], set()
+                    for chunk in chunks(medium):
+                        digest = hashlib.sha256(chunk).digest()
+                        listed.append({"digest": digest, "chunk": None if digest in seen else press.compress(chunk)})
+                        seen.add(digest)
+                    found[name] = listed
+            kind = pa.list_(pa.struct([("digest", pa.binary()), ("chunk", pa.binary())]))
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), kind)], ["media_sha256", "pack"])
+
+    one = df.select("text").mapInArrow(run, "media_sha256 string, pack array<struct<digest: binary, chunk: binary>>")
+    return one.groupBy("media_sha256").agg(F.first("pack").alias("pack"))
+
+
+def marked(shared: DataFrame) -> bytes:
+    """A bitmap of 2^24 bits, whatever the number of digests, that holds the first three bytes of every digest of shared."""
+    place = F.conv(F.hex(F.substring("digest", 1, 3)), 16, 10).cast("long")
+    parts = shared.select(place.alias("p")).groupBy(F.floor(F.col("p") / 32768).alias("b")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("bits")).collect()
+    found = bytearray(1 << 21)
+    for part in parts:
+        found[part["b"] * 4096 : part["b"] * 4096 + len(part["bits"])] = part["bits"]
+    return bytes(found)
+
+
+def lent_chunks(df: DataFrame, shared: DataFrame) -> DataFrame:
+    """(digest, chunk): the chunks of shared (digest) once each. The bitmap keeps nearly all others out of the shuffle."""
+    bitmap = marked(shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             found = {}
             for text in batch.column(0).to_pylist():
                 for chunk in chunks(to_wav(payload_of(text)[1])):
                     digest = hashlib.sha256(chunk).digest()
-                    if digest not in found:
-                        found[digest] = pack.compress(chunk)
+                    at = int.from_bytes(digest[:3], "big")
+                    if bitmap[at >> 3] >> (at & 7) & 1 and digest not in found:
+                        found[digest] = press.compress(chunk)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], ["digest", "chunk"])
 
-    return df.select("text").mapInArrow(run, "digest binary, chunk binary").groupBy("digest").agg(F.first("chunk").alias("chunk"))
+    every = df.select("text").mapInArrow(run, "digest binary, chunk binary").groupBy("digest").agg(F.first("chunk").alias("chunk"))
+    return every.join(shared.select("digest"), "digest", "left_semi")
 
 
-def reconstruct(media: DataFrame, chunk_store: DataFrame) -> DataFrame:
-    """(media_sha256, parts) for media (media_sha256, digests): the chunks in order. Popular chunks are dealt to several tasks."""
-    refs = media.select("media_sha256", F.posexplode("digests").alias("seq", "digest"))
-    hot = broadcast_if_small(checkpointed(refs.groupBy("digest").count().where(F.col("count") > SHARE).select("digest", F.ceil(F.col("count") / SHARE).cast("int").alias("deal"))))
+def deduplicated(df: DataFrame, refs: DataFrame) -> DataFrame:
+    """(media_sha256, pack, fetched): a chunk that several media hold is stored once for all, and with none of them but its owner.
+
+    refs: (media_sha256, digest), once each. The owner is the medium of the smallest hash. Only shared chunks move; one that many
+    media fetch is dealt to several tasks.
+    """
+    packed = packs(df)
+    shared = checkpointed(refs.groupBy("digest").agg(F.min("media_sha256").alias("owner"), F.count("*").alias("n")).where("n > 1"))
+    lent = lent_chunks(df, shared)
+    hot = broadcast_if_small(checkpointed(shared.where(F.col("n") > SHARE).select("digest", F.ceil(F.col("n") / SHARE).cast("int").alias("deal"))))
     deal = F.coalesce("deal", F.lit(1))
-    refs = refs.join(hot, "digest", "left").select("digest", F.pmod(F.xxhash64("media_sha256"), deal).cast("int").alias("part"), "media_sha256", "seq")
-    stored = chunk_store.join(hot, "digest", "left").select("digest", "chunk", F.explode(F.sequence(F.lit(0), deal - 1)).alias("part"))
-    return refs.join(stored, ["digest", "part"]).groupBy("media_sha256").agg(F.array_sort(F.collect_list(F.struct("seq", "chunk"))).alias("parts"))
+    lent = lent.join(hot, "digest", "left").select("digest", "chunk", F.explode(F.sequence(F.lit(0), deal - 1)).alias("part"))
+    wanted = refs.join(shared.select("digest", "owner"), "digest").where("media_sha256 <> owner").join(hot, "digest", "left")
+    wanted = wanted.select("media_sha256", "digest", F.pmod(F.xxhash64("media_sha256"), deal).cast("int").alias("part"))
+    fetched = wanted.join(lent, ["digest", "part"]).groupBy("media_sha256").agg(F.collect_list(F.struct("digest", "chunk")).alias("fetched"))
+    foreign = F.transform("fetched", lambda c: c["digest"])
+    blank = F.lit(None).cast("binary")
+    own = F.transform("pack", lambda c: F.struct(c["digest"].alias("digest"), F.when(~F.array_contains(foreign, c["digest"]), c["chunk"]).otherwise(blank).alias("chunk")))
+    return packed.join(fetched, "media_sha256", "left").select("media_sha256", F.when(F.col("fetched").isNull(), F.col("pack")).otherwise(own).alias("pack"), "fetched")
 
 
-def read_back(parts: DataFrame) -> DataFrame:
+def read_back(stored: DataFrame) -> DataFrame:
     """Verifies each medium and returns (media_sha256, payload_sha256, tail_crc32, feature). Raises if a medium isn't what was stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             rows = []
-            for name, listed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                got = [unpack.decompress(part["chunk"]) for part in listed.as_py()]
-                medium = b"".join(got)
+            for row in range(batch.num_rows):
+                name, pack, fetched = (batch.column(i)[row].as_py() for i in range(3))
+                held = {c["digest"]: c["chunk"] for c in [*pack, *(fetched or [])] if c["chunk"] is not None}
+                medium = b"".join(unpack.decompress(held[c["digest"]]) for c in pack)
                 if hashlib.sha256(medium).hexdigest() != name:
                     raise ValueError(f"medium {name} can't be read back")
                 samples = from_wav(medium)
-                rows.append((name, hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), feature(samples, len(got))))
+                rows.append((name, hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), feature(samples, len(pack))))
             cols = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)], ["media_sha256", "payload_sha256", "tail_crc32", "feature"])
 
-    return parts.select("media_sha256", "parts").mapInArrow(run, "media_sha256 string, payload_sha256 string, tail_crc32 long, feature string")
+    return stored.select("media_sha256", "pack", "fetched").mapInArrow(run, "media_sha256 string, payload_sha256 string, tail_crc32 long, feature string")
 
 
 def media_columns(df: DataFrame) -> DataFrame:
@@ -154,8 +206,8 @@ def media_columns(df: DataFrame) -> DataFrame:
     do repeated rows. Other columns don't matter. An empty table gives no rows.
     """
     listed = checkpointed(recipes(df))
-    media = listed.groupBy("media_sha256").agg(F.first("digests").alias("digests"))
-    read = read_back(reconstruct(media, store(df)))
+    refs = listed.groupBy("media_sha256").agg(F.first("digests").alias("digests")).select("media_sha256", F.explode(F.array_distinct("digests")).alias("digest"))
+    read = checkpointed(read_back(deduplicated(df, refs)))
     return listed.drop("digests").join(read, "media_sha256").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
