@@ -25,8 +25,9 @@ WORDS = re.compile(r"[^\W\d_]+")
 LEARN, CALIBRATE, HELD_OUT = (0, 1), 3, 2
 #: Strength of the prior in documents, z that a token needs, cost of any other word, and the decision's threshold.
 PRIOR, SIGNIFICANT, DRIFT, TOXIC_FROM = 20.0, 2.0, 0.25, 0.3
-#: Bounds of the model: tokens kept (those of largest z), and labelled rows that fit the calibration's four numbers.
-TOKENS, CALIBRATION_ROWS = 20_000, 20_000
+#: Bounds of the model: labelled documents that it is fitted on (those of smallest hash of the id; so few ids can be broadcast),
+#: tokens kept (those of largest z), and labelled rows that fit the calibration's four numbers.
+LABELLED, TOKENS, CALIBRATION_ROWS = 200_000, 20_000, 20_000
 #: Words whose score a worker remembers.
 REMEMBERED = 1 << 20
 
@@ -41,11 +42,12 @@ def tokens(word: str) -> list[str]:
 
 
 def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic, fold): a document for each labelled text outside the held-out fold; of equal texts the one with the smallest id."""
+    """(text, toxic, fold): a document for each labelled text outside the held-out fold, LABELLED at most; of equal texts the one with the smallest id."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("fold", fold(F.col("doc_id"))).where(F.col("fold") != HELD_OUT)
     named = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h")).join(known, "doc_id")
     chosen = named.groupBy("h", "toxic").agg(F.min(F.struct("doc_id", "fold")).alias("c")).select(F.col("c.doc_id").alias("doc_id"), "toxic", F.col("c.fold").alias("fold"))
-    return docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic", "fold")
+    some = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
+    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "toxic", "fold")
 
 
 def token_counts(train: DataFrame) -> DataFrame:
