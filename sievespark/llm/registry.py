@@ -9,6 +9,7 @@ from sievespark.llm.langid import op9_language_id
 from sievespark.llm.line_dedup import op3_line_dedup
 from sievespark.llm.media import op8_media_columns
 from sievespark.llm.mixing import op10_mixing
+from sievespark.llm.oracles import ORACLE_SQL
 from sievespark.llm.pii import op7_personal_data
 from sievespark.llm.simhash import op2_simhash
 from sievespark.llm.toxicity import op6_toxicity
@@ -25,4 +26,4 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_mixing": op10_mixing,
 }
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
