@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievespark.llm.common import broadcast_if_small, checkpointed, table
+from sievespark.llm.common import broadcast_if_small, checkpointed, spare, table
 
 #: Buckets of hashed trigrams, code points of a text that count in full (more are scaled down, as neighbouring trigrams aren't
 #: independent), and the pseudo-count of a bucket.
@@ -185,8 +185,9 @@ def identify(docs: DataFrame, pages: DataFrame | None = None) -> DataFrame:
 def keep_accepted(docs: DataFrame) -> DataFrame:
     """The documents whose language is identified with confidence, with all their columns; rows with one id and text go or stay together."""
     judged = identify(docs)
-    gone = judged.where("not accepted").select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t")).distinct()
-    return docs.join(broadcast_if_small(checkpointed(gone)), docs["doc_id"].eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__t")), "left_anti")
+    d, t = spare(docs, "d", "t")
+    gone = judged.where("not accepted").select(F.col("doc_id").alias(d), F.col("text_hash").alias(t)).distinct()
+    return docs.join(broadcast_if_small(checkpointed(gone)), F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(t)), "left_anti")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievespark.llm.common import table
+from sievespark.llm.common import spare, table
 
 #: Lines of a window.
 WINDOW = 3
@@ -44,15 +44,15 @@ def dedup_lines(df: DataFrame, window: int = WINDOW) -> DataFrame:
     document by doc_id keeps a passage; a null doc_id comes first. Columns named lines_removed are replaced.
     """
     kept = [c for c in df.columns if c != "lines_removed"]
-    found = repeated_windows(df, window).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"), F.col("positions").alias("__p"))
-    joined = df.join(found, df["doc_id"].eqNullSafe(found["__d"]) & (F.xxhash64(df["text"]) == found["__t"]), "left")
-    covered = F.array_distinct(F.flatten(F.transform("__p", lambda p: F.sequence(p, p + window - 1))))
-    gone = F.map_from_arrays(F.col("__c"), F.transform("__c", lambda c: F.lit(True)))
-    joined = joined.withColumn("__c", covered)
-    joined = joined.withColumn("__m", F.when(F.col("__c").isNotNull(), gone))
-    rest = F.array_join(F.filter(_lines(F.col("text")), lambda x, i: ~F.map_contains_key("__m", i)), "\n")
-    cols = [F.when(F.col("__c").isNull(), F.col("text")).otherwise(rest).alias(c) if c == "text" else F.col(f"`{c}`") for c in kept]
-    return joined.select(*cols, F.coalesce(F.size("__c"), F.lit(0)).cast("long").alias("lines_removed"))
+    d, t, p, c, m = spare(df, "d", "t", "p", "c", "m")
+    found = repeated_windows(df, window).select(F.col("doc_id").alias(d), F.col("text_hash").alias(t), F.col("positions").alias(p))
+    joined = df.join(found, F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(t)), "left")
+    joined = joined.withColumn(c, F.array_distinct(F.flatten(F.transform(p, lambda x: F.sequence(x, x + window - 1)))))
+    gone = F.map_from_arrays(F.col(c), F.transform(c, lambda x: F.lit(True)))
+    joined = joined.withColumn(m, F.when(F.col(c).isNotNull(), gone))
+    rest = F.array_join(F.filter(_lines(F.col("text")), lambda x, i: ~F.map_contains_key(m, i)), "\n")
+    cols = [F.when(F.col(c).isNull(), F.col("text")).otherwise(rest).alias("text") if name == "text" else F.col(f"`{name}`") for name in kept]
+    return joined.select(*cols, F.coalesce(F.size(c), F.lit(0)).cast("long").alias("lines_removed"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

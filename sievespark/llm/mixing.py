@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievespark.llm.common import WORD, broadcast_if_small, checkpointed, table
+from sievespark.llm.common import WORD, broadcast_if_small, checkpointed, spare, table
 
 #: Weights dealt to the sources in code point order, over and over.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -93,11 +93,12 @@ def mix(df: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHAR
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     sized = checkpointed(df.select("source", doc_hash(F.col("doc_id")).alias("h"), size.alias("size")))
     goals = checkpointed(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, repeats))
-    ends = thresholds(sized, goals).select(F.col("source").alias("__source"), F.col("copies").alias("__copies"), F.col("below").alias("__below"))
-    plan = goals.join(ends, F.col("source").eqNullSafe(F.col("__source"))).select("__source", "source_size", "target", "__copies", "__below")
-    rows = df.select(*[F.col(f"`{c}`") for c in kept], size.alias("size"), doc_hash(F.col("doc_id")).alias("__h"))
-    out = rows.join(broadcast_if_small(checkpointed(plan)), F.col("source").eqNullSafe(F.col("__source")), "left")
-    copies = F.when(F.col("size") > 0, F.col("__copies") + (F.col("__h") < F.col("__below")).cast("long")).otherwise(0).cast("long")
+    src, whole, below, h = spare(df, "src", "whole", "below", "h")
+    ends = thresholds(sized, goals).select(F.col("source").alias(src), F.col("copies").alias(whole), F.col("below").alias(below))
+    plan = goals.join(ends, F.col("source").eqNullSafe(F.col(src))).select(src, "source_size", "target", whole, below)
+    rows = df.select(*[F.col(f"`{c}`") for c in kept], size.alias("size"), doc_hash(F.col("doc_id")).alias(h))
+    out = rows.join(broadcast_if_small(checkpointed(plan)), F.col("source").eqNullSafe(F.col(src)), "left")
+    copies = F.when(F.col("size") > 0, F.col(whole) + (F.col(h) < F.col(below)).cast("long")).otherwise(0).cast("long")
     return out.withColumn("copies", copies).select(*[F.col(f"`{c}`") for c in kept], "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievespark.llm.common import checkpointed, connected_components, table
+from sievespark.llm.common import checkpointed, connected_components, spare, table
 
 #: Words of a shingle, seed of its hash and bits that linked fingerprints may differ in, as the query's contract has them.
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -231,8 +231,8 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 NEAR_SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 14, 5
 #: Words of 64 bits in a wide fingerprint, and documents of a group that meet in one task.
 WIDE, MEMBERS = 8, 2048
-_ODD = np.random.default_rng(11).integers(1, 1 << 32, BANDS * ROWS, np.uint64) | np.uint64(1)
-_MORE = np.random.default_rng(12).integers(1, 1 << 32, BANDS * ROWS, np.uint64)
+_ODD = np.random.default_rng(11).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
+_MORE = np.random.default_rng(12).integers(0, 1 << 64, BANDS * ROWS, np.uint64)
 _SALT = np.random.default_rng(13).integers(1, 1 << 63, WIDE, np.uint64)
 
 
@@ -249,8 +249,7 @@ def bands(hashes: np.ndarray) -> list[int]:
         return []
     low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
     for at in range(0, len(hashes), 4096):
-        part = hashes[at : at + 4096, None]
-        low = np.minimum(low, ((part >> np.uint64(32)) * _ODD + (part & np.uint64(0xFFFFFFFF)) * _MORE).min(0))
+        low = np.minimum(low, (hashes[at : at + 4096, None] * _ODD + _MORE).min(0))  # modulo 2^64
     return [xxhash.xxh64_intdigest(row.tobytes(), seed=i) - (1 << 63) for i, row in enumerate(low.reshape(BANDS, ROWS))]
 
 
@@ -363,7 +362,8 @@ def near_duplicates(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: floa
 
 def one_of_each(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The documents that stand for their group of near-duplicates, with all their columns; of repeated rows with one doc_id and text one stays."""
-    kept = near_duplicates(df, shingle, similarity).where("first").select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t")).distinct()
-    rows = df.withColumn("__h", F.xxhash64("text"))
-    stay = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__t")), "left_semi")
-    return stay.dropDuplicates(["doc_id", "__h"]).drop("__h")
+    d, t, h = spare(df, "d", "t", "h")
+    kept = near_duplicates(df, shingle, similarity).where("first").select(F.col("doc_id").alias(d), F.col("text_hash").alias(t)).distinct()
+    rows = df.withColumn(h, F.xxhash64("text"))
+    stay = rows.join(kept, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(h) == F.col(t)), "left_semi")
+    return stay.dropDuplicates(["doc_id", h]).drop(h)

@@ -104,7 +104,8 @@ def log_odds(counts: DataFrame) -> dict[str, float]:
     t, c = float(total["toxic"]), float(total["clean"])
     alpha = F.lit(PRIOR) * (F.col("toxic") + F.col("clean")) / (t + c)
     a, b = F.col("toxic") + alpha, F.col("clean") + alpha
-    odds = F.log(a / (t + PRIOR - F.col("toxic") - alpha)) - F.log(b / (c + PRIOR - F.col("clean") - alpha))
+    rest = lambda n, with_token: F.greatest(F.lit(n + PRIOR) - with_token, F.lit(1e-9))  # noqa: E731  a token in all documents leaves none
+    odds = F.log(a / rest(t, a)) - F.log(b / rest(c, b))
     scored = counts.where("token <> ''").select("token", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z")).where(F.col("z") >= SIGNIFICANT)
     return {r["token"]: r["odds"] for r in scored.orderBy(F.desc("z"), "token").limit(TOKENS).collect()}
 
