@@ -30,30 +30,47 @@ def match(value: Column, options: list[str], synonyms: dict[str, str] | None = N
     """
     names = F.array(*[F.lit(o) for o in options])
     keys = F.array(*[F.lit(python_key(o)) for o in options])
-    k, wild = T.key(value), T.wildcard_key(value)
     by_key = F.create_map(*[F.lit(x) for o in options for x in (python_key(o), o)])
-    other = F.create_map(*[F.lit(x) for s, o in (synonyms or {"": ""}).items() for x in (python_key(s) if synonyms else "\0", o)])
-
-    def only(test) -> Column:  # noqa: ANN001
-        hits = F.filter(keys, test)
-        return F.when(F.size(hits) == 1, F.try_element_at(by_key, F.get(hits, F.lit(0))))
-
-    wildcard = F.when(value.contains("?"), only(lambda x: (F.length(x) == F.length(wild)) & F.regexp_like(x, F.concat(F.lit("^"), F.replace(wild, F.lit("?"), F.lit(".")), F.lit("$")))))
-    prefix = F.when(F.length(k) >= 3, only(lambda x: x.startswith(k)))
-    reverse = F.when(F.length(k) >= 3, only(lambda x: (F.length(x) >= 4) & k.startswith(x)))
-    # ranked by score, then by the order of the options
-    scored = F.transform(keys, lambda x, i: F.struct((-similarity.indel_ratio(k, x)).alias("s"), i.alias("i")))
-    ranked = F.array_sort(scored)
-    best, second = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
-    near = (k != "") & (-best["s"] >= threshold) & (second.isNull() | (second["s"] - best["s"] >= LEAD))
-    fuzzy = F.when(near, F.get(names, best["i"]))
-    candidates = names if len(options) <= 10 else F.transform(F.slice(ranked, 1, top), lambda r: F.get(names, r["i"]))
-    result = lambda v, s: F.struct(v.alias("value"), F.lit(s).alias("score") if isinstance(s, float) else s.alias("score"), F.array().cast("array<string>").alias("candidates"))
-    steps = [(F.try_element_at(by_key, k), EXACT), (F.try_element_at(other, k), EXACT), (wildcard, WILDCARD), (prefix, PREFIX), (reverse, REVERSE)]
-    out = None
-    for found, score in steps:
-        out = F.when(found.isNotNull(), result(found, score)) if out is None else out.when(found.isNotNull(), result(found, score))
-    return out.when(fuzzy.isNotNull(), result(fuzzy, -best["s"])).otherwise(F.struct(F.lit(None).cast("string").alias("value"), F.lit(0.0).alias("score"), candidates.alias("candidates")))
+    known = by_key if not synonyms else F.map_concat(by_key, F.create_map(*[F.lit(x) for s, o in synonyms.items() if python_key(s) not in map(python_key, options) for x in (python_key(s), o)]))
+    nothing = F.array().cast("array<string>")
+
+    def bound(x: Column, body) -> Column:  # noqa: ANN001
+        """body(x) with x evaluated once."""
+        return F.get(F.transform(F.array(x), body), F.lit(0))
+
+    def result(v: Column, score: Column, candidates: Column = nothing) -> Column:
+        return F.struct(v.alias("value"), score.alias("score"), candidates.alias("candidates"))
+
+    def only(hits: Column, score: float) -> Column:
+        return bound(hits, lambda h: F.when(F.size(h) == 1, result(F.try_element_at(by_key, F.get(h, F.lit(0))), F.lit(score))))
+
+    def fuzzy(k: Column) -> Column:
+        # ranked by score, then by the order of the options
+        ranked = F.array_sort(F.transform(keys, lambda x, i: F.struct((-similarity.indel_ratio(k, x)).alias("s"), i.alias("i"))))
+
+        def decide(r: Column) -> Column:
+            best, second = F.get(r, F.lit(0)), F.get(r, F.lit(1))
+            near = (k != "") & (-best["s"] >= threshold) & (second.isNull() | (second["s"] - best["s"] >= LEAD))
+            likely = names if len(options) <= 10 else F.transform(F.slice(r, 1, top), lambda x: F.get(names, x["i"]))
+            return F.when(near, result(F.get(names, best["i"]), -best["s"])).otherwise(result(F.lit(None).cast("string"), F.lit(0.0), likely))
+
+        return bound(ranked, decide)
+
+    def steps(b: Column) -> Column:
+        k, wild = b["k"], b["w"]
+        exact = F.try_element_at(known, k)
+        pattern = F.concat(F.lit("^"), F.replace(wild, F.lit("?"), F.lit(".")), F.lit("$"))
+        jokers = F.filter(keys, lambda x: (F.length(x) == F.length(wild)) & F.regexp_like(x, pattern))
+        long = F.length(k) >= 3
+        return F.coalesce(  # the first that isn't null; later ones aren't evaluated
+            F.when(exact.isNotNull(), result(exact, F.lit(EXACT))),
+            F.when(wild.contains("?"), only(jokers, WILDCARD)),
+            F.when(long, only(F.filter(keys, lambda x: x.startswith(k)), PREFIX)),
+            F.when(long, only(F.filter(keys, lambda x: (F.length(x) >= 4) & k.startswith(x)), REVERSE)),
+            fuzzy(k),
+        )
+
+    return F.when(value.isNotNull(), bound(F.struct(T.key(value).alias("k"), T.wildcard_key(value).alias("w")), steps))
 
 
 def match_province(value: Column, provinces: list[str]) -> Column:

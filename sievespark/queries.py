@@ -164,7 +164,7 @@ def turkish_case_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order as a line of the orders table; by the key some have semicolons, an extra empty field, or tabs."""
+    """An order as a line of the orders table; by the key some have semicolons, an extra empty field, or tabs. Written down like the file it stands for."""
     k = F.col("o_orderkey")
     date = F.date_format("o_orderdate", "yyyy-MM-dd")
     price = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
@@ -172,7 +172,7 @@ def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     comma, semicolon, tab = F.concat_ws(",", *good), F.concat_ws(";", *good), F.concat_ws("\t", *good)
     extra = F.concat_ws(",", *good[:4], F.lit(""), *good[4:])
     quoted = F.concat_ws(",", *good[:8], F.lit('"Kredi Kartı"'), *good[9:])
-    return read(spark, sf_dir, "orders").select(k.alias("line_no"), pick(k, comma, semicolon, extra, tab, quoted).alias("line"))
+    return read(spark, sf_dir, "orders").select(k.alias("line_no"), pick(k, comma, semicolon, extra, tab, quoted).alias("line")).checkpoint()
 
 
 @query("""select 'S' || lpad(cast(o_orderkey % 1000000 as varchar), 6, '0') as siparis_id, 'M' || lpad(cast(o_custkey % 100000 as varchar), 5, '0') as musteri_id, strftime(o_orderdate, '%Y-%m-%d') as siparis_tarihi, '1' as adet,
@@ -404,3 +404,18 @@ def sample_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drift_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events").withColumn("raw", F.when(F.col("event_id") % 11 == 0, "N/A").otherwise(F.col("value").cast("string")))
     return drift(e, "ts", {"value": T.is_placeholder(F.col("raw"))})
+
+
+@query("""select 'S' || lpad(cast(o_orderkey % 1000000 as varchar), 6, '0') as siparis_id, 'M' || lpad(cast(o_custkey % 100000 as varchar), 5, '0') as musteri_id, 1 as adet, cast(o_totalprice as decimal(18,2)) as toplam_tutar,
+ 'Kredi Kartı' as odeme_yontemi, 'Aras Kargo' as kargo_firmasi, 'Kargoda' as durum from orders where o_orderkey % 5 <> 3""")
+def clean_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken lines through repair, normalisation, parsing, matching, resolution, derivation and removal of repeats."""
+    from sievespark.plans import cleaning
+
+    records, _ = L.ingest(_order_lines(spark, sf_dir), "siparisler")
+    total = F.when(F.col("row_idx") % 3 == 0, "N/A").otherwise(F.concat("toplam_tutar", F.lit(" TL")))
+    damaged = records.withColumns({"toplam_tutar": total, "odeme_yontemi": F.when(F.col("row_idx") % 4 == 0, "kk").otherwise("KREDI  KARTI"), "kargo_firmasi": F.lit("aras"), "adet": F.lit("bir")})
+    repeated = damaged.unionByName(damaged.where("row_idx % 6 = 0").withColumn("row_idx", F.col("row_idx") + 10_000_000_000))
+    cleaned, _ = cleaning.orders(repeated, cleaning.NoResolver())
+    once = entity.keep_first(cleaning.completed(cleaned), "siparis_id", "row_idx")
+    return once.select("siparis_id", "musteri_id", "adet", "toplam_tutar", "odeme_yontemi", "kargo_firmasi", "durum")

@@ -31,7 +31,8 @@ def fields(line: Column, separator: str = ",") -> Column:
     """array<string>: quotes may hold separators, doubled quotes stand for one, an open quote takes the rest of the line."""
     raw = F.regexp_extract_all(F.concat(F.lit(separator), line), F.lit(f'{separator}("(?:[^"]|"")*"?[^{separator}]*|[^{separator}]*)'), F.lit(1))
     inner = lambda x: F.regexp_replace(F.regexp_replace(x, '^"((?:[^"]|"")*)"?', "$1"), '""', '"')
-    return F.transform(raw, lambda x: F.when(x.startswith('"'), inner(x)).otherwise(x))
+    quoted = F.transform(raw, lambda x: F.when(x.startswith('"'), inner(x)).otherwise(x))
+    return F.when(line.contains('"'), quoted).otherwise(F.split(line, f"[{separator}]", -1))
 
 
 def fitness(values: Column, table: str) -> Column:
@@ -82,9 +83,11 @@ def ingest(lines: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
     columns = list(TABLES[table])
     cut = parsed(lines, table)
     mended = (F.size("records") > 1) | (F.col("size") != len(columns))
-    each = cut.where("records is not null").select("line_no", mended.alias("repaired"), F.posexplode("records").alias("part", "r"))
+    # exploding drops what is null; a filter would be pushed down and would cut every line again
+    each = cut.select("line_no", mended.alias("repaired"), F.posexplode("records").alias("part", "r"))
     records = each.select((F.col("line_no") * 2 + F.col("part")).alias("row_idx"), "repaired", *[F.get("r", F.lit(i)).alias(c) for i, c in enumerate(columns)])
-    return records, cut.where("records is null").select(F.lit(table).alias("tablo"), F.col("line").alias("ham_satir"), F.lit(REASON).alias("sebep"))
+    bad = cut.select(F.explode(F.when(F.col("records").isNull(), F.array("line"))).alias("ham_satir"))
+    return records, bad.select(F.lit(table).alias("tablo"), "ham_satir", F.lit(REASON).alias("sebep"))
 
 
 def mentioned_ids(lines: DataFrame, pattern: str = r"S\d{6}") -> DataFrame:

@@ -128,3 +128,33 @@ def test_truth_scores_perfect(spark):
     assert entity.pair_scores(mapping.limit(0), mapping.limit(0)).first()["f1"] == 0.0
     scopes = {r["scope"] for r in quality.summaries(out).collect()}
     assert scopes == {"corruption", "column"}
+
+
+def table(spark, name, rows):
+    columns = list(TABLES[name])
+    return spark.createDataFrame([(i, *[r.get(c, "") for c in columns]) for i, r in enumerate(rows)], "row_idx long, " + ", ".join(f"{c} string" for c in columns))
+
+
+def test_cleaning_run(spark):
+    from sievespark.plans import cleaning
+
+    products = [{"urun_id": "u-0001", "urun_adi": "Nike Termos", "kategori": "spor outdoor", "marka": "nike", "birim_fiyat": "yok"}, {"urun_id": "U0002", "urun_adi": "Nike Koşu", "kategori": "Kitap", "marka": "-", "birim_fiyat": "₺1,250.50"}, {"urun_id": "U0003", "urun_adi": "Lego", "kategori": "zzz", "marka": "Nike", "birim_fiyat": "5"}, {"urun_id": "U0004", "urun_adi": "Lego", "kategori": "Kitap", "marka": "Nike", "birim_fiyat": "5"}]
+    person = {"ad": "Ayşe", "soyad": "Yılmaz", "dogum_tarihi": "05.03.1990", "telefon": "0532 123 45 67", "il": "34", "ilce": "Kadıköy", "cinsiyet": "k", "kayit_tarihi": "2022-01-01", "eposta": "AYSE@GMAIL.COM"}
+    customers = [person | {"musteri_id": "M00001", "telefon": ""}, person | {"musteri_id": "#2501", "il": "N/A", "cinsiyet": "Kadın"}, person | {"musteri_id": "M00002", "ad": "Ali", "soyad": "Kaya", "eposta": "ali@gmail.com", "telefon": "12", "dogum_tarihi": "1800-01-01", "cinsiyet": "e"}]
+    order = {"siparis_id": "S000001", "musteri_id": "M02501", "urun_id": "U0001", "siparis_tarihi": "05/03/2024", "adet": "üç", "birim_fiyat": "100,00 TL", "indirim_orani": "%10", "toplam_tutar": "2700", "odeme_yontemi": "kk", "kargo_firmasi": "Yurtiçi", "teslim_tarihi": "2024-03-07", "durum": "teslim"}
+    orders = [order, order, order | {"siparis_id": "S000002", "birim_fiyat": "?", "urun_id": "U0002", "indirim_orani": "", "toplam_tutar": "3751,50", "siparis_tarihi": "05/03/2024", "teslim_tarihi": ""}]
+    got = cleaning.clean(table(spark, "musteriler", customers), table(spark, "urunler", products), table(spark, "siparisler", orders))
+    p = {r["urun_id"]: r for r in got.products.collect()}
+    assert str(p["U0001"]["birim_fiyat"]) == "100.00" and p["U0001"]["kategori"] == "Spor & Outdoor" and p["U0002"]["marka"] == "Nike" and p["U0003"]["kategori"] is None
+    c = {r["musteri_id"]: r for r in got.customers.collect()}
+    assert set(c) == {"M00001", "M00002"} and c["M00001"]["telefon"] == "+90 532 123 45 67" and c["M00002"]["dogum_tarihi"] is None
+    o = {r["siparis_id"]: r for r in got.orders.collect()}
+    assert len(o) == 2 and o["S000001"]["musteri_id"] == "M00001" and str(o["S000001"]["toplam_tutar"]) == "270.00" and str(o["S000001"]["siparis_tarihi"]) == "2024-03-05"
+    assert str(o["S000002"]["birim_fiyat"]) == "1250.50" and o["S000002"]["indirim_orani"] == 0 and str(o["S000002"]["siparis_tarihi"]) == "2024-03-05"
+    assert [tuple(r) for r in got.mapping.collect()] == [("M02501", "M00001")]
+    assert {r["column"] for r in got.uncertain.collect()} == {"kategori", "siparis_tarihi"}
+    assert {r["islem"] for r in got.statistics().collect()} >= {"duzeltildi", "turetildi", "gecersiz"}
+    answered = cleaning.TableResolver(spark.createDataFrame([("urunler:U0003:kategori:2", "Oyuncak"), ("siparisler:S000002:siparis_tarihi:2", "2024-05-03")], "id string, answer string"))
+    again = cleaning.clean(table(spark, "musteriler", customers), table(spark, "urunler", products), table(spark, "siparisler", orders), answered)
+    assert again.products.where("urun_id = 'U0003'").first()["kategori"] == "Oyuncak"
+    assert str(again.orders.where("siparis_id = 'S000002'").first()["siparis_tarihi"]) == "2024-05-03"
