@@ -419,3 +419,39 @@ def clean_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned, _ = cleaning.orders(repeated, cleaning.NoResolver())
     once = entity.keep_first(cleaning.completed(cleaned), "siparis_id", "row_idx")
     return once.select("siparis_id", "musteri_id", "adet", "toplam_tutar", "odeme_yontemi", "kargo_firmasi", "durum")
+
+
+@query("""select case when grouping(corruption) = 0 then 'corruption' else 'column' end as scope, corruption, count(*) as n from (select corruption, 'toplam_tutar' as c from (select case o_orderkey % 4 when 0 then 'B6' when 1 then 'B5' when 2 then 'B12' else 'temiz' end as corruption from orders)
+ union all select 'temiz', unnest(['musteri_id', 'urun_id', 'siparis_tarihi', 'adet', 'birim_fiyat', 'indirim_orani', 'odeme_yontemi', 'kargo_firmasi', 'teslim_tarihi', 'durum']) from orders) group by grouping sets ((corruption), (c))""")
+def outcome_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both groupings of the cells in one pass; only cells of the orders table, so that a column is told by its name."""
+    cells = _outcomes(spark, sf_dir).withColumn("recoverable", F.lit(True))
+    return quality.summaries(cells).select("scope", "corruption", "n")
+
+
+@query("select count(*) as truth_rows, count(*) filter (o_orderkey % 97 <> 0) as found, count(*) filter (o_orderkey % 5 = 0) as extra, count(*) filter (o_orderkey % 97 <> 0 and o_orderkey % 3 = 0) as repeated from orders")
+def row_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("siparis_id"))
+    there = o.where("o_orderkey % 97 <> 0")
+    extra = o.where("o_orderkey % 5 = 0").withColumn("siparis_id", F.concat(F.lit("x"), F.col("siparis_id")))
+    return quality.row_summary(o, there.unionByName(there.where("o_orderkey % 3 = 0")).unionByName(extra), "siparis_id")
+
+
+@query("select p_partkey, case when not (p_partkey % 15 = 0 and p_name like 'red %') then regexp_replace(p_name, '\\s+', ' ', 'g') end as name from part")
+def word_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of which every third is shouted and every fifth has a letter lost; other parts give the spelling.
+    'r?d' stays open between red and rod."""
+    name = F.regexp_replace("p_name", r"\s+", " ")
+    lost = F.concat(F.substring(name, 1, 1), F.lit("?"), F.substr(name, F.lit(3)))
+    text = F.when(F.col("p_partkey") % 3 == 1, F.upper(name)).when(F.col("p_partkey") % 15 == 0, lost).otherwise(name)
+    rows = read(spark, sf_dir, "part").select("p_partkey", text.alias("name"))
+    return matching.repair_words(rows, "name", "p_partkey", titled=False).select("p_partkey", F.col("name_words").alias("name"))
+
+
+@query("select n_nationkey, case n_nationkey % 4 when 0 then 'İstanbul' when 1 then 'Muğla' when 2 then 'Ankara' end as province from nation")
+def province_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievespark.plans.schema import PROVINCES
+
+    rows = read(spark, sf_dir, "nation").select("n_nationkey", pick(F.col("n_nationkey"), "34", "MU?LA (merkez)", "Ankra", "BUR.").alias("raw"))
+    found = matching.matched(rows, "raw", lambda v: matching.match_province(v, PROVINCES))
+    return found.select("n_nationkey", F.col("raw_match.value").alias("province"))
