@@ -31,7 +31,7 @@ S_LETTER, S_NUMBER, S_OTHER, S_SHORT, S_LONG, S_RUN, S_PREFIX, S_LAST, S_END = r
 # States: what the token that holds the last code point is; two and one code points of a contraction are left; nothing may join.
 IN_LETTERS, IN_NUMBERS, IN_OTHERS, PREFIX, IN_WHITE, LEFT2, LEFT1, CLOSED = range(8)
 #: Code points scanned at once, and the most merged slices a worker remembers.
-CHUNK, CACHED = 1 << 20, 1 << 20
+CHUNK, CACHED = 1 << 20, 1 << 18
 
 
 def _automaton() -> tuple[np.ndarray, np.ndarray]:
