@@ -20,11 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievespark.llm.common import checkpointed, connected_components, spare, table
+from sievespark.llm.common import broadcast_if_small, checkpointed, connected_components, spare, table
 
 #: Words of a shingle, seed of its hash and bits that linked fingerprints may differ in, as the query's contract has them.
 SHINGLE, SEED, RADIUS = 3, 42, 2
-#: Fingerprints at home in a block of one cell at most; larger cells are split into blocks that meet pairwise.
+#: Fingerprints of a block, at home or visiting; cells with more are split into blocks that meet two at a time.
 BLOCK = 4096
 #: Cells are dealt to shards of about so many rows.
 SHARD_ROWS = 60_000
@@ -131,11 +131,13 @@ def _pairs(home: np.ndarray, other: np.ndarray, radius: int, depth: int = 0) ->
                 yield rows[i], cols[j]
 
 
-def _spanning(home: np.ndarray, visitors: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest over the links among home and between home and visitors, as positions in home + visitors."""
+def _spanning(home: np.ndarray, visitors: np.ndarray, radius: int, within: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest over the links among home (unless not within) and between home and visitors."""
     every = np.concatenate([home, visitors])
     forest, a, b = Forest(len(every)), [], []
-    for i, j in _pairs(home, every, radius):
+    skip = 0 if within else len(home)
+    for i, j in _pairs(home, every[skip:], radius):
+        j = j + skip
         keep = i < j  # a pair at home shows up both ways
         for x, y in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
             if forest.join(x, y):
@@ -158,6 +160,11 @@ def hamming_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     widths = np.array([int(g).bit_count() + 1 for g in groups], np.int64)
     place = np.concatenate([[1], np.cumprod(widths[:-1])])
 
+    def around(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        to = vectors[:, None, :] + ball[None, :, :]
+        who, where = np.nonzero(((to >= 0) & (to < widths)).all(2))
+        return who, to[who, where] @ place
+
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy().view(np.uint64)
@@ -168,39 +175,56 @@ def hamming_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 fps = part.column(0).to_numpy()
-                to = distances(fps.view(np.uint64), vantage, groups)[:, None, :] + ball[None, :, :]
-                who, where = np.nonzero(((to >= 0) & (to < widths)).all(2))
-                cells = np.concatenate([part.column(1).to_numpy(), to[who, where] @ place])
+                who, to = around(distances(fps.view(np.uint64), vantage, groups))
+                cells = np.concatenate([part.column(1).to_numpy(), to])
                 home = np.concatenate([np.ones(len(fps), bool), np.zeros(len(who), bool)])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([fps, fps[who]])), pa.array(cells), pa.array(home)], ["fp", "cell", "home"])
 
+    def loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                cells, n = (c.to_numpy() for c in batch.slice(at, 2048).columns)
+                who, to = around(cells[:, None] // place % widths)
+                none = np.zeros(len(cells) + len(who), np.int64)
+                home, visitors = none.copy(), none
+                home[: len(cells)], visitors[len(cells) :] = n, n[who]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([cells, to])), pa.array(home), pa.array(visitors)], ["cell", "at_home", "visitors"])
+
     celled = checkpointed(distinct.mapInArrow(homes, "fp long, cell long"))
-    big = celled.groupBy("cell").count().where(F.col("count") > BLOCK).select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    load = celled.groupBy("cell").agg(F.count("*").alias("n")).mapInArrow(loads, "cell long, at_home long, visitors long").groupBy("cell").agg(F.sum("at_home").alias("at_home"), F.sum("visitors").alias("visitors"))
+    parts = [F.ceil(F.col(c) / BLOCK).cast("int").alias(b) for c, b in (("at_home", "blocks"), ("visitors", "others"))]
+    load = checkpointed(load.select("cell", "at_home", "visitors", *parts))
+    large = (F.col("at_home") > 0) & (F.greatest("blocks", "others") > 1)
+    big = checkpointed(load.where(large).select("cell", "blocks", "others"))
+    rows = load.agg(F.sum(F.when(large, F.col("at_home") * (F.col("blocks") + F.col("others")) + F.col("visitors") * F.col("blocks")).otherwise(F.col("at_home") + F.col("visitors")))).first()[0]
     spread = celled.mapInArrow(visits, "fp long, cell long, home boolean")
+    zero = F.lit(0)
     if big.limit(1).count():
-        # a large cell's fingerprints are dealt to blocks; each block is home once and visits the later ones
-        own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-        spread = spread.join(big, "cell", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        to = F.when(F.col("home"), F.sequence(own, F.col("blocks") - 1)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-        spread = spread.withColumn("own", own).withColumn("block", F.explode(to)).select("fp", "cell", (F.col("home") & (F.col("block") == F.col("own"))).alias("home"), "block")
+        # a large cell's fingerprints and its visitors are dealt to blocks; each task (i, j) is the meeting of two of them, or of a block with itself
+        spread = spread.join(broadcast_if_small(big), "cell", "left")
+        own = F.pmod(F.xxhash64("fp"), F.when(F.col("home"), F.col("blocks")).otherwise(F.col("others"))).cast("int")
+        to = F.when(F.col("blocks").isNull(), F.array(zero)).when(F.col("home"), F.sequence(zero, F.col("blocks") + F.col("others") - 1)).otherwise(F.sequence(zero, F.col("blocks") - 1))
+        spread = spread.withColumn("own", F.coalesce(F.when(F.col("home"), own).otherwise(F.col("blocks") + own), zero)).withColumn("to", F.explode(to))
+        spread = spread.withColumns({"i": F.least("own", "to"), "j": F.greatest("own", "to")})
+        alone = F.when(F.col("blocks").isNotNull(), F.xxhash64("cell", "i", "j")).otherwise(F.lit(0).cast("long"))
+        spread = spread.select("fp", "cell", (F.col("home") & (F.col("own") == F.col("i"))).alias("home"), "i", "j", alone.alias("alone"))
     else:
-        spread = spread.withColumn("block", F.lit(0))
-    shards = max(12, int(first["n"] * (len(ball) + 1) // SHARD_ROWS))
-    spread = spread.withColumn("shard", F.pmod(F.xxhash64("cell", "block"), F.lit(shards)).cast("int"))
+        spread = spread.withColumns({"i": zero, "j": zero, "alone": F.lit(0).cast("long")})
+    spread = spread.withColumn("shard", F.pmod(F.xxhash64("cell", "i", "j"), F.lit(max(12, int(rows) // SHARD_ROWS))).cast("int"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        fps, cell, block, home = pdf["fp"].to_numpy().view(np.uint64), pdf["cell"].to_numpy(), pdf["block"].to_numpy(), pdf["home"].to_numpy()
-        order = np.lexsort((fps, ~home, block, cell))
-        fps, cell, block, home = fps[order], cell[order], block[order], home[order]
-        new = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (block[1:] != block[:-1])]))
+        fps, cell, i, j, home = pdf["fp"].to_numpy().view(np.uint64), pdf["cell"].to_numpy(), pdf["i"].to_numpy(), pdf["j"].to_numpy(), pdf["home"].to_numpy()
+        order = np.lexsort((fps, ~home, j, i, cell))
+        fps, cell, i, j, home = fps[order], cell[order], i[order], j[order], home[order]
+        new = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
         found = [(np.zeros(0, np.uint64),) * 2]
         for a, b in zip(new.tolist(), [*new[1:].tolist(), len(fps)], strict=True):
             n = int(home[a:b].sum())
             if n and b - a > 1:
-                found.append(_spanning(fps[a : a + n], fps[a + n : b], radius))
+                found.append(_spanning(fps[a : a + n], fps[a + n : b], radius, bool(i[a] == j[a])))
         return pd.DataFrame({"a": np.concatenate([x for x, _ in found]).view(np.int64), "b": np.concatenate([y for _, y in found]).view(np.int64)})
 
-    return spread.groupBy("shard").applyInPandas(compare, "a long, b long")
+    return spread.groupBy("shard", "alone").applyInPandas(compare, "a long, b long")
 
 
 def components(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -229,7 +253,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Words of a shingle, the least Jaccard similarity of near-duplicates, bands and minima in a band.
 NEAR_SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 14, 5
-#: Words of 64 bits in a wide fingerprint, and documents of a group that meet in one task.
+#: Words of 64 bits in a wide fingerprint, and documents of a group's block; a task of a large group sees two blocks.
 WIDE, MEMBERS = 8, 2048
 _ODD = np.random.default_rng(11).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
 _MORE = np.random.default_rng(12).integers(0, 1 << 64, BANDS * ROWS, np.uint64)
@@ -264,8 +288,8 @@ def farthest(similarity: float) -> int:
     return int(np.ceil(bits * p + 4 * np.sqrt(bits * p * (1 - p))))
 
 
-def similar_pairs(codes: np.ndarray, sets: list[np.ndarray], first: int, similarity: float) -> list[tuple[int, int]]:
-    """Edges of a spanning forest over the pairs (i, j), i < first, of at least that Jaccard similarity.
+def similar_pairs(codes: np.ndarray, sets: list[np.ndarray], first: int, similarity: float, within: bool = True) -> list[tuple[int, int]]:
+    """Edges of a spanning forest over the pairs (i, j), i < first, of at least that Jaccard similarity; with j >= first unless within.
 
     Members are sorted by the distance to a vantage point, the first member, so that each is compared only with those whose distance
     differs by no more than the bound; pairs that pass are compared exactly, the nearest first and unless already joined.
@@ -276,7 +300,7 @@ def similar_pairs(codes: np.ndarray, sets: list[np.ndarray], first: int, similar
     ends = np.searchsorted(apart[order], apart[order] + limit, side="right")
     for at, (i, end) in enumerate(zip(order.tolist(), ends.tolist(), strict=True)):
         others = order[at + 1 : end]
-        others = others[(others < first) | (i < first)]
+        others = others[(others < first) | (i < first)] if within else others[(others < first) != (i < first)]
         gap = np.bitwise_count(codes[others] ^ codes[i]).sum(1)
         near = np.flatnonzero(gap <= limit)
         for j in others[near[np.argsort(gap[near], kind="stable")]].tolist():
@@ -326,33 +350,35 @@ def near_duplicates(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: floa
     shared = banded.groupBy("band", "key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     met = checkpointed(banded.join(shared, ["band", "key"]).where(F.col("node") != F.col("least")).select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
     groups = checkpointed(connected_components(met))
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
+    sizes = groups.groupBy("component").agg(F.count("*").alias("n"), F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
+    large = checkpointed(sizes.where(F.col("n") > MEMBERS // 8))
     wanted = groups.select(F.col("node"), F.col("node.doc_id").alias("__d"), F.col("node.text_hash").alias("__t"))
     texts = df.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("text_hash") == F.col("__t")))
     node_type = f"struct<doc_id: {kind}, text_hash: bigint>"
     sketched = texts.select("node", "text").mapInArrow(sketches, f"node {node_type}, code binary, shingles binary").groupBy("node").agg(F.first(F.struct("code", "shingles")).alias("s")).select("node", "s.code", "s.shingles")
-    # a large group's documents are dealt to blocks; each block is compared within itself and with the later ones
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = sketched.join(groups, "node").join(sizes, "component").withColumn("own", own).withColumn("block", F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)))
-    shards = max(12, groups.count() // 2000)
-    placed = placed.withColumn("shard", F.pmod(F.xxhash64("component", "block"), F.lit(shards)).cast("int"))
-    placed = placed.select("shard", F.xxhash64("component").alias("group"), "block", (F.col("block") == F.col("own")).alias("home"), "node.doc_id", "node.text_hash", "code", "shingles")
+    # a large group's documents are dealt to blocks; each task (i, j) compares two of them, or a block within itself. Small groups share tasks
+    own = F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int")
+    placed = sketched.join(groups, "node").join(broadcast_if_small(large.drop("n")), "component", "left").withColumn("own", own)
+    placed = placed.withColumn("to", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).withColumns({"i": F.least("own", "to"), "j": F.greatest("own", "to")})
+    shards = max(12, (groups.count() - (large.agg(F.sum("n")).first()[0] or 0)) // 2000)
+    shard = F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("component"), F.lit(shards))).otherwise(F.xxhash64("component", "i", "j"))
+    placed = placed.select(F.col("blocks").isNotNull().alias("alone"), shard.alias("shard"), F.xxhash64("component").alias("group"), "i", "j", (F.col("own") == F.col("i")).alias("home"), "node.doc_id", "node.text_hash", "code", "shingles")
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["group", "block", "home"], ascending=[True, True, False], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["group", "i", "j", "home"], ascending=[True, True, True, False], kind="stable").reset_index(drop=True)
         codes = np.frombuffer(b"".join(pdf["code"]), np.uint64).reshape(len(pdf), WIDE)
-        group, block = pdf["group"].to_numpy(), pdf["block"].to_numpy()
-        new = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (block[1:] != block[:-1])])).tolist()
+        group, first, second = pdf["group"].to_numpy(), pdf["i"].to_numpy(), pdf["j"].to_numpy()
+        new = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])])).tolist()
         left, right = [], []
         for a, b in zip(new, [*new[1:], len(pdf)], strict=True):
             sets = [np.frombuffer(x, np.uint32) for x in pdf["shingles"].iloc[a:b]]
-            for i, j in similar_pairs(codes[a:b], sets, int(pdf["home"].iloc[a:b].sum()), similarity):
+            for i, j in similar_pairs(codes[a:b], sets, int(pdf["home"].iloc[a:b].sum()), similarity, bool(first[a] == second[a])):
                 left.append(a + i)
                 right.append(a + j)
         x, y = pdf.iloc[left], pdf.iloc[right]
         return pd.DataFrame({"d1": x["doc_id"].array, "t1": x["text_hash"].array, "d2": y["doc_id"].array, "t2": y["text_hash"].array})
 
-    edges = placed.groupBy("shard").applyInPandas(verify, f"d1 {kind}, t1 long, d2 {kind}, t2 long")
+    edges = placed.groupBy("alone", "shard").applyInPandas(verify, f"d1 {kind}, t1 long, d2 {kind}, t2 long")
     edges = edges.select(F.struct(F.col("d1").alias("doc_id"), F.col("t1").alias("text_hash")).alias("a"), F.struct(F.col("d2").alias("doc_id"), F.col("t2").alias("text_hash")).alias("b"))
     linked = connected_components(edges)
     named = chosen.select("same", "node").join(linked, "node", "left").select("same", F.coalesce("component", "node").alias("group"))

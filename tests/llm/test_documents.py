@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
@@ -110,6 +111,43 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in out.collect()) == [0, 50]
 
 
+@pytest.fixture
+def grouped_rows(monkeypatch):
+    """Runs a frame and returns the most rows that one call of applyInPandas sees in it."""
+    kind = type(SparkSession.builder.getOrCreate().range(0).groupBy())
+    original, planned = kind.applyInPandas, []
+
+    def noted(self, func, schema):
+        planned.append(self)
+        return original(self, lambda pdf: func(pdf), schema)
+
+    def most(run):
+        monkeypatch.setattr(kind, "applyInPandas", noted)
+        run().count()
+        monkeypatch.setattr(kind, "applyInPandas", original)
+        return max(g.count().agg(F.max("count")).first()[0] for g in planned)
+
+    return most
+
+
+def test_no_task_of_a_large_cell_sees_more_than_two_blocks(spark, monkeypatch, grouped_rows):
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    monkeypatch.setattr(simhash, "SHARD_ROWS", 60)
+    monkeypatch.setattr(simhash, "groups_for", lambda n: 1)
+    fps = np.unique(np.random.default_rng(3).integers(0, 1 << 63, 2000, np.uint64))
+    df = spark.createDataFrame([(int(x),) for x in fps], "fp long").localCheckpoint()
+    # dealt by hash, so a block of 16 may hold some more; a cell has up to 200 at home, which the last block held before
+    assert grouped_rows(lambda: simhash.hamming_links(df)) <= 100
+
+
+def test_no_task_of_a_large_group_sees_more_than_two_blocks(spark, monkeypatch, grouped_rows):
+    monkeypatch.setattr(simhash, "MEMBERS", 16)
+    df = spark.createDataFrame([(i, f"{COPY} tail{i}") for i in range(400)] + [(1000 + i, f"{' '.join(COPY.split()[::-1])} other{i}") for i in range(3)], "doc_id long, text string")
+    assert grouped_rows(lambda: simhash.near_duplicates(df)) <= 64
+    kept = sorted(r["doc_id"] for r in simhash.one_of_each(df).collect())
+    assert kept == [0, 1000]
+
+
 def test_line_dedup(spark, docs):
     out = {(r["doc_id"], r["text"]): r["lines_removed"] for r in line_dedup.dedup_lines(docs).collect()}
     assert out[(None, "one\ntwo\nthree")] == 0
