@@ -27,6 +27,8 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: A token, as str.split() has them; one with five digits or an at sign may be an identifier.
 TOKEN = re.compile(r"\S+")
+#: A group of digits of a number that may go on after a blank, and the most digits of a group and of a whole run.
+GROUP, GROUP_DIGITS, RUN_DIGITS = re.compile(r"[+(]*[0-9][0-9().+-]*"), 7, 19
 #: Different seeds that a pattern needs, the worth it and its instances need, rounds of scoring, and the most patterns kept: the
 #: ones with most seeds, so that the model stays small enough to broadcast.
 SEEDS, WORTH, ROUNDS, PATTERNS = 5, 0.6, 3, 20_000
@@ -72,6 +74,35 @@ def identifier_like(token: str) -> bool:
     return sum(c.isdigit() for c in token) >= 5 or "@" in token
 
 
+def _digits(token: str) -> int:
+    return sum(c.isdigit() for c in token)
+
+
+def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
+    """A span without its outer punctuation; a plus sign before it and brackets that close inside it stay."""
+    while start < end and not (text[start].isalnum() or text[start] == "+" or (text[start] == "(" and ")" in text[start:end].rstrip(")].,;:!?\"'"))):
+        start += 1
+    while start < end and not (text[end - 1].isalnum()):
+        end -= 1
+    return start, end
+
+
+def candidate(line: str, tokens: list[tuple[int, int]], at: int) -> tuple[int, int]:
+    """The span that starts with a token of a line: short groups of digits go on over single blanks, outer punctuation is dropped."""
+    start, end = tokens[at]
+    have = _digits(line[start:end])
+    if have <= GROUP_DIGITS and (GROUP.fullmatch(line[start:end]) or line[start:end] == "+"):
+        for a, b in tokens[at + 1 :]:
+            group = line[a:b].rstrip(".,;:!?\"'")
+            more = _digits(group)
+            if a != end + 1 or line[end] != " " or not GROUP.fullmatch(group) or more > GROUP_DIGITS or have + more > RUN_DIGITS:
+                break
+            have, end = have + more, b
+            if len(group) < b - a:  # punctuation ends the run
+                break
+    return trimmed(line, start, end)
+
+
 def seeds(df: DataFrame) -> DataFrame:
     """(doc_id, text_hash, n_email, n_ip, n_card, n_phone, base, contexts) for each row; contexts: array of (kind, pattern, instance)."""
 
@@ -94,22 +125,32 @@ def seeds(df: DataFrame) -> DataFrame:
 
 def occurrences(df: DataFrame, patterns: dict[str, list[int]]) -> DataFrame:
     """Where the patterns (words -> kinds) stand in the texts: (pattern, n) with the places that no identifier follows counted, and
-    (pattern, n = 1, doc_id, text_hash, instance, start, end) for each that one follows."""
+    (pattern, n = 1, doc_id, text_hash, instance, start, end) for each that one follows. Where a base span starts it is the instance."""
     lasts = frozenset(p.split(" ")[1] for p in patterns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             idle, rows = Counter(), []
             for row, text in enumerate(batch.column(2).to_pylist()):
-                base = 0
+                base, known = 0, None
                 for line in (text or "").split("\n"):
-                    words = line.lower().split()
+                    words, tokens = line.lower().split(), None
                     for i in [i for i, w in enumerate(words) if w in lasts]:
                         if not 0 < i < len(words) - 1 or (pattern := f"{words[i - 1]} {words[i]}") not in patterns:
                             continue
-                        if identifier_like(words[i + 1]):
-                            start, end = [m.span() for m in TOKEN.finditer(line)][i + 1]
-                            rows.append((pattern, 1, row, line[start:end], base + start, base + end))
+                        if known is None:
+                            known = {}
+                            for _, a, b in sorted(base_spans(text), reverse=True):
+                                known[a] = max(b, known.get(a, b))
+                        tokens = tokens or [m.span() for m in TOKEN.finditer(line)]
+                        start, end = tokens[i + 1]
+                        if base + start in known:
+                            end = known[base + start] - base
+                        else:
+                            start, end = candidate(line, tokens, i + 1)
+                            end = known.get(base + start, base + end) - base
+                        if base + start in known or identifier_like(line[start:end]):
+                            rows.append((pattern, 1, row, text[base + start : base + end], base + start, base + end))
                         else:
                             idle[pattern] += 1
                     base += len(line) + 1

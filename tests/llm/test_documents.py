@@ -217,6 +217,24 @@ def test_pii_bootstrapping(spark, docs):
     assert pii.personal_data(docs).count() == len(TEXTS) and pii.personal_data(docs.limit(0)).count() == 0
 
 
+def test_pii_bootstrapping_over_blanks_and_punctuation(spark):
+    spaced = ["4929 3483 8514 6306", "4952 9359 0025 3052", "4417 7442 8035 1547", "4845 1681 1440 7329"]
+    rows = [(i, f"please ring us on +1 (0{17 + i}) 555-77{10 + i} today") for i in range(6)]
+    rows += [(20 + i, f"and card no. {spaced[i]}, bye") for i in range(4)]
+    rows += [(40 + i, f"write mail to: user{i}@mail.org, or wait") for i in range(6)]
+    rows += [(100, "ring us on (017) 555-7713, please"), (101, "pay card no. 1234 5678 9012 3450. Now"), (102, "mail to: \"some.body@host\", ok")]
+    out = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string"), seeds_needed=3).collect()}
+    found = {i: [t[int(a) : int(b)] for _, a, b in (s.split(":") for s in out[i]["spans"].split(","))] if out[i]["spans"] else [] for i, t in rows}
+    assert found[100] == ["(017) 555-7713"] and found[101] == ["1234 5678 9012 3450"] and found[102] == ["some.body@host"]
+    assert all(out[i]["spans"] == out[i]["base"] != "" for i, _ in rows if i < 100) and all(out[i]["base"] == "" for i in (100, 101, 102))
+
+
+@pytest.mark.parametrize("text, span", [("4225039295678253!!", "4225039295678253"), ("(4225039295678253)", "4225039295678253"), ("4225039295678253 12 x", "4225039295678253"), ("a@b.c, 12", "a@b.c"), ("+ 1 555 7713 x", "+ 1 555 7713"), ("+1 (017) 555-7713.", "+1 (017) 555-7713"), ("1234  5678", "1234")])
+def test_pii_candidates(text, span):
+    a, b = pii.candidate(text, [m.span() for m in re.finditer(r"\S+", text)], 0)
+    assert text[a:b] == span
+
+
 def test_media(spark, docs):
     rows = media.media_columns(docs).collect()
     assert len(rows) == len(TEXTS)
