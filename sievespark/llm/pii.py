@@ -29,9 +29,11 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TOKEN = re.compile(r"\S+")
 #: A group of digits of a number that may go on after a blank, and the most digits of a group and of a whole run.
 GROUP, GROUP_DIGITS, RUN_DIGITS = re.compile(r"[+(]*[0-9][0-9().+-]*"), 7, 19
-#: Different seeds that a pattern needs, the worth it and its instances need, rounds of scoring, and the most patterns kept: the
-#: ones with most seeds, so that the model stays small enough to broadcast.
+#: Different seeds that a pattern needs, the worth it and its instances need, rounds of scoring, and the most patterns that are
+#: sent to all tasks: with more, the places of all pairs of words are joined with the patterns instead.
 SEEDS, WORTH, ROUNDS, PATTERNS = 5, 0.6, 3, 20_000
+#: Pairs of words that a task counts before it hands the counts on.
+COUNTED = 1 << 18
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -123,20 +125,24 @@ def seeds(df: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {dict(df.dtypes)['doc_id']}, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base string, contexts array<struct<kind: int, pattern: string, instance: string>>")
 
 
-def occurrences(df: DataFrame, patterns: dict[str, list[int]]) -> DataFrame:
-    """Where the patterns (words -> kinds) stand in the texts: (pattern, n) with the places that no identifier follows counted, and
+def occurrences(df: DataFrame, patterns: frozenset[str] | None) -> DataFrame:
+    """Where the patterns (all pairs of words if None) stand in the texts: (pattern, n) with the places that no identifier follows counted, and
     (pattern, n = 1, doc_id, text_hash, instance, start, end) for each that one follows. Where a base span starts it is the instance."""
-    lasts = frozenset(p.split(" ")[1] for p in patterns)
+    lasts = None if patterns is None else frozenset(p.split(" ")[1] for p in patterns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idle = Counter()
         for batch in batches:
-            idle, rows = Counter(), []
+            rows = []
             for row, text in enumerate(batch.column(2).to_pylist()):
                 base, known = 0, None
                 for line in (text or "").split("\n"):
                     words, tokens = line.lower().split(), None
-                    for i in [i for i, w in enumerate(words) if w in lasts]:
-                        if not 0 < i < len(words) - 1 or (pattern := f"{words[i - 1]} {words[i]}") not in patterns:
+                    for i in [i for i, w in enumerate(words) if lasts is None or w in lasts]:
+                        if not 0 < i < len(words) - 1:
+                            continue
+                        pattern = f"{words[i - 1]} {words[i]}"
+                        if patterns is not None and pattern not in patterns:
                             continue
                         if known is None:
                             known = {}
@@ -154,13 +160,22 @@ def occurrences(df: DataFrame, patterns: dict[str, list[int]]) -> DataFrame:
                         else:
                             idle[pattern] += 1
                     base += len(line) + 1
+                    if len(idle) > COUNTED:
+                        yield counts(idle, batch.schema)
+                        idle = Counter()
             at = pa.array([r[2] for r in rows], pa.int64())
             some = [[r[0] for r in rows], [r[1] for r in rows], None, None, [r[3] for r in rows], [r[4] for r in rows], [r[5] for r in rows]]
             kinds = [pa.string(), pa.int64(), None, None, pa.string(), pa.int64(), pa.int64()]
             full = [batch.column(i - 2).take(at) if i in (2, 3) else pa.array(some[i], kinds[i]) for i in range(7)]
             yield pa.RecordBatch.from_arrays(full, names)
-            blank = pa.nulls(len(idle))
-            yield pa.RecordBatch.from_arrays([pa.array(list(idle), pa.string()), pa.array(list(idle.values()), pa.int64()), *[blank.cast(c.type) for c in full[2:]]], names)
+            schema = batch.schema
+        if idle:
+            yield counts(idle, schema)
+
+    def counts(idle: Counter, schema: pa.Schema) -> pa.RecordBatch:
+        blank = pa.nulls(len(idle))
+        kinds = [schema.field(0).type, schema.field(1).type, pa.string(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(list(idle), pa.string()), pa.array(list(idle.values()), pa.int64()), *[blank.cast(k) for k in kinds]], names)
 
     names = ["pattern", "n", "doc_id", "text_hash", "instance", "start", "end"]
     rows = df.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
@@ -192,13 +207,13 @@ def personal_data(df: DataFrame, seeds_needed: int = SEEDS, worth: float = WORTH
     """
     found = checkpointed(seeds(df))
     each = found.select(F.explode("contexts").alias("c")).select("c.kind", "c.pattern", "c.instance").distinct()
-    counted = each.groupBy("kind", "pattern").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= seeds_needed)
-    kept = counted.orderBy(F.desc("seeds"), "pattern", "kind").limit(PATTERNS).collect()
+    counted = checkpointed(each.groupBy("kind", "pattern").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= seeds_needed))
+    few = [row["pattern"] for row in counted.select("pattern").distinct().limit(PATTERNS + 1).collect()]
     out = found.select("doc_id", "text_hash", "n_email", "n_ip", "n_card", "n_phone", "base", F.col("base").alias("spans"))
-    patterns: dict[str, list[int]] = {}
-    for row in kept:
-        patterns.setdefault(row["pattern"], []).append(row["kind"])
-    places = checkpointed(occurrences(df, patterns))
+    if len(few) <= PATTERNS:
+        places = checkpointed(occurrences(df, frozenset(few)))
+    else:
+        places = checkpointed(occurrences(df, None).join(counted.select("pattern").distinct(), "pattern", "left_semi"))
     trusted = scored_patterns(places, each.join(counted, ["kind", "pattern"], "left_semi")).where(F.col("worth") >= worth)
     best = trusted.groupBy("pattern").agg(F.max_by("kind", F.struct("worth", -F.col("kind"))).alias("kind"))
     new = places.where("instance is not null").join(best, "pattern").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("kind", "start", "end")).alias("new"))

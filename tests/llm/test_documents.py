@@ -235,6 +235,18 @@ def test_pii_candidates(text, span):
     assert text[a:b] == span
 
 
+def test_pii_keeps_all_patterns(spark, monkeypatch):
+    cards = ["4929348385146306", "4952935900253052", "4417744280351547", "4845168114407329"]
+    rows = [(i, f"of the {cards[i % 4]} bye") for i in range(8)] + [(20 + i, f"of the host 10.0.0.{i} up") for i in range(6)] + [(30 + i, "of the town") for i in range(30)]
+    rows += [(60 + i, f"card no. {c} bye") for i, c in enumerate(cards[:3])] + [(100, "card no. 1234567890123450 now"), (101, "the host 99.99.99.999 up"), (200, None), (201, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted(tuple(r) for r in pii.personal_data(df, seeds_needed=3).drop("base").collect())
+    monkeypatch.setattr(pii, "PATTERNS", 1)
+    monkeypatch.setattr(pii, "COUNTED", 5)
+    got = sorted(tuple(r) for r in pii.personal_data(df, seeds_needed=3).drop("base").collect())
+    assert got == want and {r[0]: r[-1] for r in got}[100] == "card:9:25"
+
+
 def test_media(spark, docs):
     rows = media.media_columns(docs).collect()
     assert len(rows) == len(TEXTS)
