@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Runs of anything but ASCII white space, as the contracts of the word-based operators define words.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of one key that a task of a join takes, and the most keys that can have more (fewer than this hold over one part in so many of all rows).
+DEAL, HOT_KEYS = 1000, 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,14 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with files in the cluster's shared checkpoint folder.
+    """Cuts the lineage with files in the shared checkpoint folder, which the session names in ``spark.checkpoint.dir``.
 
-    The folder named in ``spark.checkpoint.dir`` is used; only a session that names none (a test) gets one of its own.
+    A session that names none raises an error: a folder of one machine would lose the files of the others.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+        if not named:
+            raise ValueError("name a shared folder in spark.checkpoint.dir")
+        context.setCheckpointDir(named)
     return df.checkpoint()
 
 
@@ -32,6 +34,23 @@ def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def dealt_join(many: DataFrame, one: DataFrame, keys: list[str], salt: Column, n: str = "n") -> DataFrame:
+    """Inner join of many with one, a row for each key, in which a key with many rows is dealt to several tasks.
+
+    one[n]: rows of many that bear the key (n itself isn't returned); salt: a column of many by whose hash rows are dealt. one is read twice: checkpoint it
+    before. Only keys with over 1/HOT_KEYS of all rows are dealt, so fewer than HOT_KEYS are broadcast, however large the tables are.
+    """
+    most = one.agg(F.max(n).alias("most"), F.sum(n).alias("total")).first()
+    share = max(DEAL, (most["total"] or 0) // HOT_KEYS)
+    if (most["most"] or 0) <= share:
+        return many.join(one.drop(n), keys)
+    deal, part = spare(many.join(one, keys), "deal", "part")
+    hot = one.where(F.col(n) > share).select(*keys, F.ceil(F.col(n) / share).cast("int").alias(deal))
+    left = many.join(F.broadcast(hot), keys, "left").withColumn(part, F.pmod(F.xxhash64(salt), F.coalesce(deal, F.lit(1))).cast("int")).drop(deal)
+    right = one.withColumn(part, F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col(n) / share), F.lit(1)).cast("int") - 1))).drop(n)
+    return left.join(right, [*keys, part]).drop(part)
+
+
 def spare(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores before them until df has no such column."""
     taken = {c.lower() for c in df.columns}
@@ -49,7 +68,7 @@ def connected_components(edges: DataFrame, checkpoint=checkpointed) -> DataFrame
 
     edges has two columns (a, b) of one orderable type; self loops and repeats are harmless. Alternating large-star and
     small-star steps run as joins and grouped minima until the edge set no longer changes. Hubs cost no more than other nodes:
-    the minima are combined before the shuffle and the joins are plain equi-joins that adaptive execution may split.
+    the minima are combined before the shuffle and the joins deal a hub's edges to several tasks.
     """
     current = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
 
@@ -57,12 +76,12 @@ def connected_components(edges: DataFrame, checkpoint=checkpointed) -> DataFrame
         return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
     seen = sign(current)
-    while True:
+    while seen[0]:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        least = checkpoint(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"), F.count("*").alias("n")))
+        large = checkpoint(dealt_join(both, least, ["u"], F.col("v")).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = checkpoint(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = dealt_join(large, low, ["u"], F.col("v")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         current = checkpoint(small)
         now = sign(current)
         if now == seen:

@@ -1,8 +1,9 @@
 """Line dedup by overlapping three-line windows.
 
-A document is cut at line feeds. Every run of three consecutive lines is hashed (128 bits); a window that occurs again anywhere in
-the corpus is repeated, and all its occurrences but the first, by (doc_id, text hash, line number), cover their lines.
-Covered positions of overlapping windows merge into one set of lines, which go.
+A document is cut at line feeds, and a line of more than LONG words also after punctuation, so that a passage within a long line has lines of its
+own. Every run of three consecutive lines is hashed (128 bits); a window that occurs again anywhere in the corpus is repeated, and all its
+occurrences but the first, by (doc_id, text hash, line number), cover their lines. Covered positions of overlapping windows merge into one set of
+lines, which go; what is left is joined as it stood.
 """
 
 from __future__ import annotations
@@ -10,14 +11,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievespark.llm.common import spare, table
+from sievespark.llm.common import WORD, checkpointed, dealt_join, spare, table
 
 #: Lines of a window.
 WINDOW = 3
+#: Words of a line that is cut further, and the least words of a window with a part of such a line: a few short clauses repeat by chance.
+LONG, LEAST = 24, 12
+#: A part of a long line: up to and with the space after punctuation, or the rest.
+PART = r"(?s)(.*?[.!?,;:] |.+)"
 
 
 def _lines(text: Column) -> Column:
-    return F.split(text, "\n", -1)
+    """array<struct(line, part, whole)>: the parts of all lines in order, with the number of their line."""
+
+    def parts(line: Column, i: Column) -> Column:
+        whole = F.coalesce(F.regexp_count(line, F.lit(WORD)) <= LONG, F.lit(True))
+        cut = F.when(whole, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(PART), F.lit(1)))
+        return F.transform(cut, lambda p: F.struct(i.alias("line"), p.alias("part"), whole.alias("whole")))
+
+    return F.flatten(F.transform(F.split(text, "\n", -1), parts))
 
 
 def repeated_windows(df: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -25,14 +37,16 @@ def repeated_windows(df: DataFrame, window: int = WINDOW) -> DataFrame:
     lines = df.where("text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), _lines(F.col("text")).alias("lines")).where(F.size("lines") >= window)
 
     def hashed(i: Column) -> Column:
-        run = F.array_join(F.slice("lines", i + 1, window), "\n")
-        return F.struct(F.xxhash64(run).alias("h1"), F.xxhash64(F.lit("second"), run).alias("h2"))
+        run = F.slice("lines", i + 1, window)
+        text = F.array_join(F.transform(run, lambda x: F.trim(x["part"])), "\n")
+        counts = F.forall(run, lambda x: x["whole"]) | (F.regexp_count(text, F.lit(WORD)) >= LEAST)
+        return F.when(counts, F.struct(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2")))
 
-    each = lines.select("doc_id", "text_hash", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("lines") - window), hashed)).alias("pos", "w"))
+    each = lines.select("doc_id", "text_hash", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("lines") - window), hashed)).alias("pos", "w")).where("w is not null")
     each = each.select("doc_id", "text_hash", "pos", "w.h1", "w.h2")
     at = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("d"), F.col("text_hash").alias("t"), F.col("pos").alias("p"))
-    firsts = each.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("h1", "h2", "first")
-    again = each.join(firsts, ["h1", "h2"]).where(at != F.col("first"))
+    firsts = checkpointed(each.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n")).where("first <> last").select("h1", "h2", "first", "n"))
+    again = dealt_join(each, firsts, ["h1", "h2"], F.col("text_hash")).where(at != F.col("first"))
     return again.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("positions"))
 
 
@@ -40,17 +54,20 @@ def dedup_lines(df: DataFrame, window: int = WINDOW) -> DataFrame:
     """Documents with repeated windows cut from their text; adds lines_removed (long), keeps every other column.
 
     Null texts stay null, texts with fewer lines than a window (the empty one too) stay as they are: 0 removed. A text whose lines
-    are all covered becomes empty. Copies of a text with one doc_id are one document: each row gets the same result. The first
+    are all covered becomes empty. A part of a long line counts as a line of its own in lines_removed. Texts of any length are taken whole, in one row each.
+    Copies of a text with one doc_id are one document: each row gets the same result. The first
     document by doc_id keeps a passage; a null doc_id comes first. Columns named lines_removed are replaced.
     """
     kept = [c for c in df.columns if c != "lines_removed"]
-    d, t, p, c, m = spare(df, "d", "t", "p", "c", "m")
+    d, t, p, c, m, k = spare(df, "d", "t", "p", "c", "m", "k")
     found = repeated_windows(df, window).select(F.col("doc_id").alias(d), F.col("text_hash").alias(t), F.col("positions").alias(p))
     joined = df.join(found, F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(t)), "left")
     joined = joined.withColumn(c, F.array_distinct(F.flatten(F.transform(p, lambda x: F.sequence(x, x + window - 1)))))
     gone = F.map_from_arrays(F.col(c), F.transform(c, lambda x: F.lit(True)))
     joined = joined.withColumn(m, F.when(F.col(c).isNotNull(), gone))
-    rest = F.array_join(F.filter(_lines(F.col("text")), lambda x, i: ~F.map_contains_key(m, i)), "\n")
+    joined = joined.withColumn(k, F.when(F.col(c).isNotNull(), F.filter(_lines(F.col("text")), lambda x, i: ~F.map_contains_key(m, i))))
+    glue = lambda x, i: F.when((i == 0) | (F.get(k, i - 1)["line"] == x["line"]), "").otherwise("\n")
+    rest = F.array_join(F.transform(k, lambda x, i: F.concat(glue(x, i), x["part"])), "")
     cols = [F.when(F.col(c).isNull(), F.col("text")).otherwise(rest).alias("text") if name == "text" else F.col(f"`{name}`") for name in kept]
     return joined.select(*cols, F.coalesce(F.size(c), F.lit(0)).cast("long").alias("lines_removed"))
 

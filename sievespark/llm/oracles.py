@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
+from sievespark.llm.line_dedup import LEAST, LONG, PART
 from sievespark.llm.mixing import REPEATS, SHARE, WEIGHTS
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
-LINE_DEDUP = """
-with lines as (
-  select doc_id, string_split(text, chr(10)) as l from documents where text is not null
-), each as (
-  select doc_id, l, unnest(range(0, len(l) - 2)) as pos from lines where len(l) >= 3
+LINE_DEDUP = f"""
+with whole as (
+  select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(0, len(string_split(text, chr(10))))) as n from documents where text is not null
+), cut as (
+  select doc_id, n, whole, unnest(parts) as part, unnest(range(0, len(parts))) as q
+  from (select doc_id, n, w <= {LONG} as whole, case when w <= {LONG} then [line] else regexp_extract_all(line, '{PART}', 1) end as parts from (select *, len(regexp_extract_all(line, '{_WORD}')) as w from whole))
+), lines as (
+  select *, row_number() over (partition by doc_id order by n, q) - 1 as pos from cut
+), runs as (
+  select doc_id, pos, whole and lead(whole) over d and lead(whole, 2) over d as plain, trim(part) || chr(10) || trim(lead(part) over d) || chr(10) || trim(lead(part, 2) over d) as w from lines window d as (partition by doc_id order by pos)
 ), windows as (
-  select doc_id, pos, l[pos + 1] || chr(10) || l[pos + 2] || chr(10) || l[pos + 3] as w from each
+  select doc_id, pos, w from runs where w is not null and (plain or len(regexp_extract_all(w, '{_WORD}')) >= {LEAST})
 ), ranked as (
   select doc_id, pos, row_number() over (partition by w order by doc_id, pos) as r from windows
 ), gone as (
   select distinct doc_id, unnest([pos, pos + 1, pos + 2]) as pos from ranked where r > 1
 ), kept as (
-  select x.doc_id, string_agg(x.line, chr(10) order by x.pos) as text
-  from (select doc_id, unnest(l) as line, unnest(range(0, len(l))) as pos from lines) x left join gone g on x.doc_id = g.doc_id and x.pos = g.pos
-  where g.doc_id is null group by x.doc_id
+  select doc_id, string_agg(line, chr(10) order by n) as text from (
+    select x.doc_id, x.n, string_agg(x.part, '' order by x.q) as line from lines x left join gone g on x.doc_id = g.doc_id and x.pos = g.pos where g.doc_id is null group by x.doc_id, x.n
+  ) group by doc_id
 )
 select d.doc_id, case when d.text is null then null when n.lines is null then d.text else coalesce(k.text, '') end as text, coalesce(n.lines, 0) as lines_removed
 from documents d left join kept k on d.doc_id = k.doc_id left join (select doc_id, count(*) as lines from gone group by doc_id) n on d.doc_id = n.doc_id
