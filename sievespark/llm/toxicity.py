@@ -18,16 +18,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievespark.llm.common import checkpointed, table
+from sievespark.llm.common import broadcast_if_small, checkpointed, table
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Folds of crc32(doc_id as text) mod 4.
 LEARN, CALIBRATE, HELD_OUT = (0, 1), 3, 2
 #: Strength of the prior in documents, z that a token needs, cost of any other word, and the decision's threshold.
 PRIOR, SIGNIFICANT, DRIFT, TOXIC_FROM = 20.0, 2.0, 0.25, 0.3
-#: Bounds of the model: labelled documents that it is fitted on (those of smallest hash of the id; so few ids can be broadcast),
-#: tokens kept (those of largest z), and labelled rows that fit the calibration's four numbers.
-LABELLED, TOKENS, CALIBRATION_ROWS = 200_000, 20_000, 20_000
+#: Bounds of the labelled sample that the classifier is fitted on: documents (those of smallest hash of the id), and rows that fit the calibration's
+#: four numbers. Tokens have no bound of their own: all significant ones of the sample's toxic documents count.
+LABELLED, CALIBRATION_ROWS = 200_000, 20_000
 #: Words whose score a worker remembers.
 REMEMBERED = 1 << 20
 
@@ -47,7 +47,8 @@ def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
     named = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h")).join(known, "doc_id")
     chosen = named.groupBy("h", "toxic").agg(F.min(F.struct("doc_id", "fold")).alias("c")).select(F.col("c.doc_id").alias("doc_id"), "toxic", F.col("c.fold").alias("fold"))
     some = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "toxic", "fold")
+    some = broadcast_if_small(checkpointed(some), LABELLED)
+    return docs.select("doc_id", "text").join(some, "doc_id").select("text", "toxic", "fold")
 
 
 def token_counts(train: DataFrame) -> DataFrame:
@@ -107,26 +108,37 @@ def log_odds(counts: DataFrame) -> dict[str, float]:
     rest = lambda n, with_token: F.greatest(F.lit(n + PRIOR) - with_token, F.lit(1e-9))  # noqa: E731  a token in all documents leaves none
     odds = F.log(a / rest(t, a)) - F.log(b / rest(c, b))
     scored = counts.where("token <> ''").select("token", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z")).where(F.col("z") >= SIGNIFICANT)
-    return {r["token"]: r["odds"] for r in scored.orderBy(F.desc("z"), "token").limit(TOKENS).collect()}
+    return {r["token"]: r["odds"] for r in scored.collect()}  # a classifier's weights: tokens of the sample's toxic documents
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments as (first, end, score), in linear time over the positive scores."""
-    total = np.concatenate([[0.0], np.cumsum(scores)])
-    held: list[tuple[int, int, float, float]] = []  # first, end, total before, total after
+    """All maximal scoring segments as (first, end, score), in linear time.
+
+    Every held segment remembers the nearest one on its left that starts from a lower total, so that a search hops along these links. A segment that
+    a hop passes over starts no lower than the new one and can't be sought again before the new one goes, or goes itself in a merge: each link
+    is followed once.
+    """
+    total = np.concatenate([[0.0], np.cumsum(scores)]).tolist()
+    first, end, before, after, lower = [], [], [], [], []  # of the held segments; lower: place of the nearest one with a smaller total before it
     for i in np.flatnonzero(scores > 0).tolist():
-        first, end, before, after = i, i + 1, total[i], total[i + 1]
-        at = len(held) - 1
+        a, x, y = i, total[i], total[i + 1]
+        at = len(first) - 1
         while True:
-            while at >= 0 and held[at][2] >= before:
-                at -= 1
-            if at < 0 or held[at][3] >= after:
+            while at >= 0 and before[at] >= x:
+                at = lower[at]
+            if at < 0 or after[at] >= y:
                 break
-            first, before = held[at][0], held[at][2]
-            del held[at:]
-            at -= 1
-        held.append((first, end, before, after))
-    return [(a, b, float(y - x)) for a, b, x, y in held]
+            a, x = first[at], before[at]
+            left = lower[at]
+            for held in (first, end, before, after, lower):
+                del held[at:]
+            at = left
+        first.append(a)
+        end.append(i + 1)
+        before.append(x)
+        after.append(y)
+        lower.append(at)
+    return [(a, b, y - x) for a, b, x, y in zip(first, end, before, after, strict=True)]
 
 
 class Scorer(dict):
@@ -203,8 +215,8 @@ def evidence(rate: float, k: float) -> Column:
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, n_words, segments) for each row of documents (doc_id, text).
 
-    labels: (doc_id, toxic), of which the held-out fold is never read. Null and empty texts have no words and no segments; their score is that
-    of no evidence. Equal texts have equal scores. A null doc_id isn't held out. Without toxic or without clean training documents all scores are 0.
+    labels: (doc_id, toxic), of which the held-out fold is never read. Texts of any length are scanned whole, in time in proportion to it. Null and empty texts have no words and no segments; their score is that
+    of no evidence. Equal texts have equal scores, repeated rows are scored one by one. A null doc_id isn't held out. Without toxic or without clean training documents all scores are 0.
     """
     odds = learnt(checkpointed(training(docs, labels)))
     found = checkpointed(segments(docs, odds))
