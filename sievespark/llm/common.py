@@ -63,6 +63,13 @@ def spare(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def met(many: DataFrame, one: DataFrame, keys: list[str], salt: Column, rows: int = 100_000) -> DataFrame:
+    """Inner join of many with one (a row for each key, with n as dealt_join has it): one is broadcast if it has at most so many rows. Checkpoint one before."""
+    if one.limit(rows + 1).count() <= rows:
+        return many.join(F.broadcast(one.drop("n")), keys)
+    return dealt_join(many, one, keys, salt)
+
+
 def connected_components(edges: DataFrame, checkpoint=checkpointed) -> DataFrame:
     """Components of an undirected graph as (node, component), component being the smallest node reachable.
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievespark.llm.common import broadcast_if_small, checkpointed, dealt_join, spare, table
+from sievespark.llm.common import broadcast_if_small, checkpointed, met, spare, table
 
 #: Buckets of hashed trigrams, and the pseudo-count of a bucket.
 BUCKETS, SMOOTHING = 1 << 14, 0.5
@@ -154,7 +154,7 @@ def fused(items: DataFrame, languages: list[str], degrees: float = 1.0) -> DataF
 
     An item without any trigram, likeliest UNKNOWN, or less likely than ACCEPT in its best language, isn't accepted; without trigrams its lang is null.
     """
-    n = len(languages)
+    n, salt = len(languages), F.col("text_hash")
     zero, flat = F.array(*[F.lit(0.0)] * n), F.array(*[F.lit(1.0 / n)] * n)
     has_text = F.col("likelihood").isNotNull()
     items = items.withColumn("likelihood", F.transform("likelihood", lambda x: x / degrees))
@@ -165,11 +165,11 @@ def fused(items: DataFrame, languages: list[str], degrees: float = 1.0) -> DataF
     total = said.where("declared <> ''").agg(*[F.sum(F.col("mass")[i]).alias(f"l{i}") for i in range(n)]).first()
     heard = F.transform(F.array(*[(F.col("mass")[i] + 0.5) / F.lit((total[i] or 0.0) + 1.0 + 0.5 * n) for i in range(n)]), lambda x: F.log(x))
     channel = checkpointed(said.select("declared", F.when(F.col("declared") != "", heard).otherwise(zero).alias("witness"), "n"))
-    joined = _met(items, channel, ["declared"])
+    joined = met(items, channel, ["declared"], salt, BROADCAST_ROWS)
     everywhere = said.agg(*[F.sum(F.col("mass")[i]).alias(f"l{i}") for i in range(n)]).first()
     joined = joined.withColumn("prior", _smoothed(F.array(*[F.lit(x or 0.0) for x in everywhere]), flat))
     for by in (["suffix"], ["suffix", "domain"], ["suffix", "domain", "host"]):
-        joined = _met(joined, checkpointed(_sums(by, items, n)), by)
+        joined = met(joined, checkpointed(_sums(by, items, n)), by, salt, BROADCAST_ROWS)
         joined = joined.withColumn("prior", _smoothed(F.col("mass"), F.col("prior"))).drop("mass")
     logs = F.transform(F.arrays_zip(F.coalesce("likelihood", zero).alias("a"), F.col("witness").alias("b"), F.col("prior").alias("c")), lambda z: z["a"] + z["b"] + F.log((1 - EVEN) * z["c"] + EVEN / n))
     posterior = joined.withColumn("posterior", _normal(logs)).withColumn("confidence", F.array_max("posterior"))
@@ -178,13 +178,6 @@ def fused(items: DataFrame, languages: list[str], degrees: float = 1.0) -> DataF
     return posterior.withColumns({"lang": F.when(has_text, best), "confidence": F.when(has_text, F.col("confidence")).otherwise(0.0), "accepted": accepted}).drop("own", "witness", "prior", "posterior", "likelihood")
 
 
-def _met(items: DataFrame, sums: DataFrame, by: list[str]) -> DataFrame:
-    """Items with the row of sums (n: items of the key) that has their key; broadcast if small, else frequent keys are dealt to several tasks."""
-    if sums.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return items.join(F.broadcast(sums.drop("n")), by)
-    return dealt_join(items, sums, by, F.col("text_hash"))
-
-
 def _smoothed(mass: Column, above: Column) -> Column:
     """The prior of a level from its summed beliefs without the item's own, and the prior above it."""
     counts = F.transform(F.arrays_zip(mass.alias("m"), F.col("own").alias("o"), above.alias("p")), lambda z: F.struct(F.greatest(z["m"] - z["o"], F.lit(0.0)).alias("c"), z["p"].alias("p")))

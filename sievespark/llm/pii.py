@@ -1,37 +1,42 @@
 """Personal data: fixed patterns as seeds, and contexts learnt from them by bootstrapping.
 
-Seeds are the spans that the fixed patterns find. The two words before a seed are a lexical pattern of its kind. Over the whole
-corpus Spark counts how often each pattern occurs and which identifier-like tokens follow it, and scores the bipartite graph of patterns and
-instances in rounds: a pattern is worth the share of its occurrences that known instances follow; an instance is worth
-what its patterns are worth together. Patterns of high worth then mark the tokens that no fixed pattern knows.
+Seeds are the spans that the fixed patterns find, and long runs of hexadecimal digits as secrets. The two words before a known instance are a lexical
+pattern of its kind once enough different known instances follow them. Over the whole corpus Spark counts how often each pattern occurs and which
+identifier-like runs follow it, and scores the bipartite graph of patterns and instances in rounds: a pattern is worth the share of its
+occurrences that known instances follow; an instance is worth what its patterns are worth together, and is known from then on if that is
+enough, so that it makes patterns of its own in the next round. The rounds end when no instance is new. Patterns of high worth then mark the
+runs that no fixed pattern knows.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievespark.llm.common import checkpointed, table
+from sievespark.llm.common import checkpointed, met, table
 
-#: The kinds in order and their patterns. A look-behind only keeps a run of digits from being tried again inside.
-KINDS = ("email", "ip", "card", "phone")
+#: The kinds in order and their patterns. A look-behind only keeps a run of digits from being tried again inside. Secrets have
+#: no fixed pattern; their seeds are hexadecimal runs that have digits and letters.
+KINDS = ("email", "ip", "card", "phone", "secret")
+HEX = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}(?![0-9A-Za-z])")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: A token, as str.split() has them; one with five digits or an at sign may be an identifier.
-TOKEN = re.compile(r"\S+")
+TOKEN, DIGIT = re.compile(r"\S+"), re.compile(r"[0-9]")
 #: A group of digits of a number that may go on after a blank, and the most digits of a group and of a whole run.
 GROUP, GROUP_DIGITS, RUN_DIGITS = re.compile(r"[+(]*[0-9][0-9().+-]*"), 7, 19
-#: Different seeds that a pattern needs, the worth it and its instances need, rounds of scoring, and the most patterns that are
-#: sent to all tasks: with more, the places of all pairs of words are joined with the patterns instead.
-SEEDS, WORTH, ROUNDS, PATTERNS = 5, 0.6, 3, 20_000
+#: Different known instances that a pattern needs, the worth it and its instances need, and the most patterns that are
+#: sent to all tasks: with more, the counts of all pairs of words are joined with the patterns instead.
+SEEDS, WORTH, PATTERNS = 5, 0.6, 20_000
 #: Pairs of words that a task counts before it hands the counts on.
 COUNTED = 1 << 18
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -62,14 +67,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def joined(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans))
-
-
-def context(text: str, start: int) -> str | None:
-    """The two words before a place, lower-cased, if they stand on its line."""
-    found = text[max(0, start - 200) : start].rpartition("\n")[2].lower().split()[-2:]
-    return " ".join(found) if len(found) == 2 and (start == 0 or text[start - 1].isspace()) else None
+def secrets(text: str) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of the seeds of secrets."""
+    return [(4, m.start(), m.end()) for m in HEX.finditer(text) if not m[0].isdigit() and not m[0].isalpha()]
 
 
 def identifier_like(token: str) -> bool:
@@ -105,127 +105,138 @@ def candidate(line: str, tokens: list[tuple[int, int]], at: int) -> tuple[int, i
     return trimmed(line, start, end)
 
 
-def seeds(df: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, n_email, n_ip, n_card, n_phone, base, contexts) for each row; contexts: array of (kind, pattern, instance)."""
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, str, int, int, bool]]:
+    """(kind, pattern, start, end, free) of all that two words on its line precede: base spans with their kind, where they start with a run, and other
+    identifier-like runs with kind -1; free if they overlap no base span."""
+    known, out, at = {}, [], 0
+    for kind, a, b in base:
+        if a not in known or known[a][1] < b:
+            known[a] = (kind, b)
+    spans = sorted((a, b) for _, a, b in base)
+    starts, ends = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
+    for line in text.split("\n"):
+        if "@" in line or DIGIT.search(line):
+            words, tokens = line.lower().split(), [m.span() for m in TOKEN.finditer(line)]
+            for i in range(2, len(tokens)):
+                start, end = tokens[i]
+                kind = -1
+                if at + start in known or "@" in line[start:end] or DIGIT.search(line, start, end):
+                    if at + start not in known:
+                        start, end = candidate(line, tokens, i)
+                    if at + start in known:
+                        kind, end = known[at + start][0], known[at + start][1] - at
+                    elif not identifier_like(line[start:end]):
+                        continue
+                    left = bisect_left(starts, at + end)
+                    out.append((kind, f"{words[i - 2]} {words[i - 1]}", at + start, at + end, not left or ends[left - 1] <= at + start))
+        at += len(line) + 1
+    return out
+
+
+SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
+PLACE = pa.struct([("kind", pa.int32()), ("pattern", pa.string()), ("instance", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("free", pa.bool_())])
+
+
+def scanned(df: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, n_email, n_ip, n_card, n_phone, base, seeds, places) for each row; base has the fixed patterns' spans, seeds those of secrets, and
+    places the candidates with their patterns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, base, contexts = [[], [], [], []], [], []
+            counts, base, more, places = [[], [], [], []], [], [], []
             for text in batch.column(2).to_pylist():
-                spans = base_spans(text or "")
+                text = text or ""
+                spans, hidden = base_spans(text), secrets(text)
                 per_kind = Counter(k for k, _, _ in spans)
                 for k in range(4):
                     counts[k].append(per_kind[k])
-                base.append(joined(spans))
-                contexts.append([{"kind": k, "pattern": p, "instance": text[a:b]} for k, a, b in spans if (p := context(text, a))])
-            kind = pa.list_(pa.struct([("kind", pa.int32()), ("pattern", pa.string()), ("instance", pa.string())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in counts], pa.array(base, pa.string()), pa.array(contexts, kind)], ["doc_id", "text_hash", "n_email", "n_ip", "n_card", "n_phone", "base", "contexts"])
+                base.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
+                more.append([{"kind": k, "start": a, "end": b} for k, a, b in hidden if not any(a < y and x < b for _, x, y in spans)] if hidden else [])
+                places.append([{"kind": k, "pattern": p, "instance": text[a:b], "start": a, "end": b, "free": f} for k, p, a, b, f in candidates(text, spans + hidden)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in counts], pa.array(base, pa.list_(SPAN)), pa.array(more, pa.list_(SPAN)), pa.array(places, pa.list_(PLACE))], ["doc_id", "text_hash", "n_email", "n_ip", "n_card", "n_phone", "base", "seeds", "places"])
 
+    span, place = "array<struct<kind: int, start: long, end: long>>", "array<struct<kind: int, pattern: string, instance: string, start: long, end: long, free: boolean>>"
     rows = df.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, f"doc_id {dict(df.dtypes)['doc_id']}, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base string, contexts array<struct<kind: int, pattern: string, instance: string>>")
+    return rows.mapInArrow(run, f"doc_id {dict(df.dtypes)['doc_id']}, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base {span}, seeds {span}, places {place}")
 
 
-def occurrences(df: DataFrame, patterns: frozenset[str] | None) -> DataFrame:
-    """Where the patterns (all pairs of words if None) stand in the texts: (pattern, n) with the places that no identifier follows counted, and
-    (pattern, n = 1, doc_id, text_hash, instance, start, end) for each that one follows. Where a base span starts it is the instance."""
+def pattern_counts(df: DataFrame, patterns: frozenset[str] | None) -> DataFrame:
+    """(pattern, total): how often the patterns (all pairs of words if None) stand before another word of their line."""
     lasts = None if patterns is None else frozenset(p.split(" ")[1] for p in patterns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idle = Counter()
+        seen = Counter()
         for batch in batches:
-            rows = []
-            for row, text in enumerate(batch.column(2).to_pylist()):
-                base, known = 0, None
-                for line in (text or "").split("\n"):
-                    words, tokens = line.lower().split(), None
-                    for i in [i for i, w in enumerate(words) if lasts is None or w in lasts]:
-                        if not 0 < i < len(words) - 1:
-                            continue
-                        pattern = f"{words[i - 1]} {words[i]}"
-                        if patterns is not None and pattern not in patterns:
-                            continue
-                        if known is None:
-                            known = {}
-                            for _, a, b in sorted(base_spans(text), reverse=True):
-                                known[a] = max(b, known.get(a, b))
-                        tokens = tokens or [m.span() for m in TOKEN.finditer(line)]
-                        start, end = tokens[i + 1]
-                        if base + start in known:
-                            end = known[base + start] - base
-                        else:
-                            start, end = candidate(line, tokens, i + 1)
-                            end = known.get(base + start, base + end) - base
-                        if base + start in known or identifier_like(line[start:end]):
-                            rows.append((pattern, 1, row, text[base + start : base + end], base + start, base + end))
-                        else:
-                            idle[pattern] += 1
-                    base += len(line) + 1
-                    if len(idle) > COUNTED:
-                        yield counts(idle, batch.schema)
-                        idle = Counter()
-            at = pa.array([r[2] for r in rows], pa.int64())
-            some = [[r[0] for r in rows], [r[1] for r in rows], None, None, [r[3] for r in rows], [r[4] for r in rows], [r[5] for r in rows]]
-            kinds = [pa.string(), pa.int64(), None, None, pa.string(), pa.int64(), pa.int64()]
-            full = [batch.column(i - 2).take(at) if i in (2, 3) else pa.array(some[i], kinds[i]) for i in range(7)]
-            yield pa.RecordBatch.from_arrays(full, names)
-            schema = batch.schema
-        if idle:
-            yield counts(idle, schema)
-
-    def counts(idle: Counter, schema: pa.Schema) -> pa.RecordBatch:
-        blank = pa.nulls(len(idle))
-        kinds = [schema.field(0).type, schema.field(1).type, pa.string(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(list(idle), pa.string()), pa.array(list(idle.values()), pa.int64()), *[blank.cast(k) for k in kinds]], names)
-
-    names = ["pattern", "n", "doc_id", "text_hash", "instance", "start", "end"]
-    rows = df.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, f"pattern string, n long, doc_id {dict(df.dtypes)['doc_id']}, text_hash long, instance string, start long, end long")
-
-
-def scored_patterns(found: DataFrame, seeded: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(kind, pattern, worth). found: occurrences; seeded: (kind, pattern, instance) of the seeds, once each."""
-    kinds = seeded.select("kind", "pattern").distinct()
-    total = found.groupBy("pattern").agg(F.sum("n").alias("total"))
-    edges = found.where("instance is not null").groupBy("pattern", "instance").agg(F.sum("n").alias("n")).join(kinds, "pattern")
-    known = seeded.select("kind", "instance").distinct().withColumn("seed", F.lit(1.0))
-    graph = checkpointed(edges.join(known, ["kind", "instance"], "left").join(total, "pattern").select("kind", "pattern", "instance", "n", "total", F.coalesce("seed", F.lit(0.0)).alias("seed")))
-    worth = None
-    for _ in range(rounds):
-        held = graph.withColumn("belief", F.col("seed")) if worth is None else graph.join(worth, ["kind", "instance"], "left").withColumn("belief", F.greatest("seed", F.coalesce("worth", F.lit(0.0)))).drop("worth")
-        patterns = held.groupBy("kind", "pattern").agg((F.sum(F.col("n") * F.col("belief")) / F.max("total")).alias("worth"))
-        doubt = F.sum(F.log(F.greatest(1 - F.col("worth"), F.lit(1e-6))))
-        worth = checkpointed(graph.join(patterns, ["kind", "pattern"]).groupBy("kind", "instance").agg((1 - F.exp(doubt)).alias("worth")).where(F.col("worth") >= WORTH))
-    return patterns
+            for text in batch.column(0).to_pylist():
+                for line in text.split("\n"):
+                    words = line.lower().split()
+                    for i, last in enumerate(words[1:-1], 1):
+                        if lasts is None or last in lasts:
+                            pattern = f"{words[i - 1]} {last}"
+                            if patterns is None or pattern in patterns:
+                                seen[pattern] += 1
+                    if len(seen) > COUNTED:
+                        yield counts(seen)
+                        seen = Counter()
+        if seen:
+            yield counts(seen)
+
+    def counts(seen: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["pattern", "n"])
+
+    return df.where("text is not null").select("text").mapInArrow(run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("total"))
+
+
+def bootstrapped(places: DataFrame, totals: DataFrame, seeds_needed: int = SEEDS, least: float = WORTH) -> DataFrame:
+    """(kind, pattern, worth) of the patterns that enough known instances have, once no instance is new.
+
+    places: (kind, pattern, instance), kind -1 where it isn't a seed; totals: (pattern, total) of the patterns that can have enough instances.
+    """
+    edges = checkpointed(places.groupBy("pattern", "instance").agg(F.count("*").alias("n")).join(totals, "pattern"))
+    degree = checkpointed(edges.groupBy("pattern").agg(F.count("*").alias("n")))
+    known = checkpointed(places.where("kind >= 0").select("kind", "instance").distinct().withColumn("belief", F.lit(1.0)))
+    while True:
+        had = known.count()
+        held = edges.join(known, "instance")
+        scored = held.groupBy("kind", "pattern").agg(F.count("*").alias("instances"), (F.sum(F.col("n") * F.col("belief")) / F.max("total")).alias("worth")).where(F.col("instances") >= seeds_needed)
+        scored = checkpointed(scored.select("kind", "pattern", "worth"))
+        listed = checkpointed(scored.groupBy("pattern").agg(F.collect_list(F.struct("kind", "worth")).alias("kinds")).join(degree, "pattern"))
+        told = met(edges.select("pattern", "instance"), listed, ["pattern"], F.col("instance")).select("instance", F.explode("kinds").alias("k"))
+        doubt = F.sum(F.log(F.greatest(1 - F.col("k.worth"), F.lit(1e-6))))
+        worth = told.groupBy(F.col("k.kind").alias("kind"), "instance").agg((1 - F.exp(doubt)).alias("belief")).where(F.col("belief") >= least)
+        known = checkpointed(known.unionByName(worth).groupBy("kind", "instance").agg(F.max("belief").alias("belief")))
+        if known.count() == had:
+            return scored
+
+
+def told(spans: Column) -> Column:
+    """kind:start:end of spans by kind, then start, comma-joined."""
+    names = F.array(*[F.lit(k) for k in KINDS])
+    return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def personal_data(df: DataFrame, seeds_needed: int = SEEDS, worth: float = WORTH) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base, spans) for documents (doc_id, text), a row for each row.
 
-    The counts and base have the fixed patterns' spans, spans these and the ones that learnt patterns add (none that overlap a base
-    span). Null and empty texts have none. Places are code points, ends exclusive. Other columns don't matter. With no pattern
-    of enough different seeds the same steps run and add nothing.
+    The counts and base have the fixed patterns' spans, spans these, the seeds of secrets, and the ones that learnt patterns add (none that overlap another
+    span but one another's). Null and empty texts have none. Texts of any length are read whole, line by line. Repeated rows get equal results. Of kinds
+    that are worth the same to a pattern the first counts. Places are code points, ends exclusive. Other columns don't matter. With no pattern
+    of enough different instances the same steps run and add nothing.
     """
-    found = checkpointed(seeds(df))
-    each = found.select(F.explode("contexts").alias("c")).select("c.kind", "c.pattern", "c.instance").distinct()
-    counted = checkpointed(each.groupBy("kind", "pattern").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= seeds_needed))
-    few = [row["pattern"] for row in counted.select("pattern").distinct().limit(PATTERNS + 1).collect()]
-    out = found.select("doc_id", "text_hash", "n_email", "n_ip", "n_card", "n_phone", "base", F.col("base").alias("spans"))
-    if len(few) <= PATTERNS:
-        places = checkpointed(occurrences(df, frozenset(few)))
-    else:
-        places = checkpointed(occurrences(df, None).join(counted.select("pattern").distinct(), "pattern", "left_semi"))
-    trusted = scored_patterns(places, each.join(counted, ["kind", "pattern"], "left_semi")).where(F.col("worth") >= worth)
+    found = checkpointed(scanned(df))
+    places = found.select("doc_id", "text_hash", F.explode("places").alias("p")).select("doc_id", "text_hash", "p.*")
+    able = checkpointed(places.select("pattern", "instance").distinct().groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= seeds_needed).select("pattern"))
+    few = [row["pattern"] for row in able.limit(PATTERNS + 1).collect()]
+    totals = pattern_counts(df, frozenset(few)) if len(few) <= PATTERNS else pattern_counts(df, None).join(able, "pattern", "left_semi")
+    trusted = bootstrapped(places, checkpointed(totals), seeds_needed, worth).where(F.col("worth") >= worth)
     best = trusted.groupBy("pattern").agg(F.max_by("kind", F.struct("worth", -F.col("kind"))).alias("kind"))
-    new = places.where("instance is not null").join(best, "pattern").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("kind", "start", "end")).alias("new"))
+    open_ = places.where("kind < 0 and free").drop("kind")
+    best = checkpointed(best.join(open_.groupBy("pattern").agg(F.count("*").alias("n")), "pattern"))
+    new = met(open_, best, ["pattern"], F.col("text_hash")).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("kind", "start", "end")).alias("new"))
     new = new.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"), "new")
-
-    @F.udf("string")
-    def merged(base: str, added: list) -> str:
-        have = [(KINDS.index(k), int(a), int(b)) for k, a, b in (s.split(":") for s in base.split(",") if s)]
-        return joined(have + [(k, a, b) for k, a, b in added or [] if not any(a < y and x < b for _, x, y in have)])
-
-    both = out.join(new, out["doc_id"].eqNullSafe(F.col("__d")) & (out["text_hash"] == F.col("__t")), "left")
-    return both.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", F.when(F.col("new").isNull(), F.col("base")).otherwise(merged("base", "new")).alias("spans"))
+    both = found.join(new, found["doc_id"].eqNullSafe(F.col("__d")) & (found["text_hash"] == F.col("__t")), "left")
+    none = F.array().cast("array<struct<kind: int, start: long, end: long>>")
+    return both.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", told(F.col("base")).alias("base"), told(F.concat("base", "seeds", F.coalesce("new", none))).alias("spans"))
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

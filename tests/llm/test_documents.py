@@ -135,7 +135,7 @@ def test_no_task_of_a_large_cell_sees_more_than_two_blocks(spark, monkeypatch, g
     monkeypatch.setattr(simhash, "SHARD_ROWS", 60)
     monkeypatch.setattr(simhash, "groups_for", lambda n: 1)
     fps = np.unique(np.random.default_rng(3).integers(0, 1 << 63, 2000, np.uint64))
-    df = spark.createDataFrame([(int(x),) for x in fps], "fp long").localCheckpoint()
+    df = spark.createDataFrame([(int(x),) for x in fps], "fp long").checkpoint()
     # dealt by hash, so a block of 16 may hold some more; a cell has up to 200 at home, which the last block held before
     assert grouped_rows(lambda: simhash.hamming_links(df)) <= 100
 
@@ -204,7 +204,7 @@ def brute_spans(t):
 def test_pii_base_spans():
     parts = ["a", ".", "@", "1", "2", "25", "256", "+", "4", "-", " ", "(", ")", "b.c", "é", "\n", "4111 1111 1111 1111", "@x.y"]
     texts = ["".join(random.choices(parts, k=random.randint(0, 30))) for _ in range(20000)]
-    assert [pii.joined(pii.base_spans(t)) for t in texts] == [brute_spans(t) for t in texts]
+    assert [",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in pii.base_spans(t)) for t in texts] == [brute_spans(t) for t in texts]
 
 
 def test_pii_bootstrapping(spark, docs):
