@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievespark.llm.common import broadcast_if_small, checkpointed, connected_components, spare, table
+from sievespark.llm.common import broadcast_if_small, checkpointed, connected_components, dealt_join, met, spare, table
 
 #: Words of a shingle, seed of its hash and bits that linked fingerprints may differ in, as the query's contract has them.
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -234,13 +234,13 @@ def components(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> D
     rows and texts. A null doc_id takes part, but is never the smallest unless the whole component has none. Tables of no rows give none.
     """
     prints = checkpointed(fingerprints(df, shingle))
-    least = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    least = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     linked = connected_components(hamming_links(least.select("fp"), radius))
-    joined = least.join(linked.withColumnRenamed("node", "fp"), "fp")
-    smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    across = joined.join(smallest, "component").select("fp", "component_id")
-    named = least.join(across, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    joined = checkpointed(least.select("fp", "least").join(linked.withColumnRenamed("node", "fp"), "fp"))
+    smallest = checkpointed(joined.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
+    across = dealt_join(joined, smallest, ["component"], F.col("fp")).select("fp", "component_id")
+    named = checkpointed(least.join(across, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "n"))
+    return dealt_join(prints, named, ["fp"], F.col("doc_id")).select("doc_id", "fp", "component_id")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,22 +249,15 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Near-duplicates by similarity. At a similarity of 0.8 fingerprints of 64 bits differ in up to 16, where a tree of Hamming distances
-# prunes nothing; so documents first meet by bands of minima of their shingles, and wide fingerprints and exact sets decide.
+# prunes nothing; so documents first meet by bands of minima of their shingles, and exact sets decide. Where many documents meet, codes whose
+# Hamming distance never exceeds the sets' difference prune by distances to a vantage point.
 
-#: Words of a shingle, the least Jaccard similarity of near-duplicates, bands and minima in a band.
-NEAR_SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 14, 5
-#: Words of 64 bits in a wide fingerprint, and documents of a group's block; a task of a large group sees two blocks.
-WIDE, MEMBERS = 8, 2048
+#: Words of a shingle, the least Jaccard similarity of near-duplicates, bands and minima in a band: a pair of similarity 0.8 misses all bands once in 150,000 times.
+NEAR_SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 30, 5
+#: Bits of a code, and documents of a bucket's block; a task of a large bucket sees two blocks.
+CODE_BITS, MEMBERS = 512, 2048
 _ODD = np.random.default_rng(11).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
 _MORE = np.random.default_rng(12).integers(0, 1 << 64, BANDS * ROWS, np.uint64)
-_SALT = np.random.default_rng(13).integers(1, 1 << 63, WIDE, np.uint64)
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    """A bijection of 64 bits that spreads every bit (the finaliser of SplitMix64)."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
 
 
 def bands(hashes: np.ndarray) -> list[int]:
@@ -277,51 +270,95 @@ def bands(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(row.tobytes(), seed=i) - (1 << 63) for i, row in enumerate(low.reshape(BANDS, ROWS))]
 
 
-def wide_code(hashes: np.ndarray) -> np.ndarray:
-    return np.array([simhash(mixed(hashes ^ salt)) for salt in _SALT], np.uint64)
-
-
-def farthest(similarity: float) -> int:
-    """Bits in which wide fingerprints of documents that similar differ, with four standard deviations to spare."""
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    bits = 64 * WIDE
-    return int(np.ceil(bits * p + 4 * np.sqrt(bits * p * (1 - p))))
+def parity_code(hashes: np.ndarray) -> np.ndarray:
+    """The parities of CODE_BITS classes of the shingles: an element more or less turns one bit, so codes differ in no more bits than sets in elements."""
+    return np.packbits(np.bincount((hashes % np.uint64(CODE_BITS)).astype(np.int64), minlength=CODE_BITS) & 1).view(np.uint64)
 
 
-def similar_pairs(codes: np.ndarray, sets: list[np.ndarray], first: int, similarity: float, within: bool = True) -> list[tuple[int, int]]:
-    """Edges of a spanning forest over the pairs (i, j), i < first, of at least that Jaccard similarity; with j >= first unless within.
+def similar_pairs(sets: list[np.ndarray], joined: list[int], first: int, similarity: float, within: bool = True) -> list[tuple[int, int]]:
+    """Edges over the pairs (i, j), i < first, of at least that Jaccard similarity that connect what isn't yet; with j >= first unless within.
 
-    Members are sorted by the distance to a vantage point, the first member, so that each is compared only with those whose distance
-    differs by no more than the bound; pairs that pass are compared exactly, the nearest first and unless already joined.
+    sets are different shingles; joined: numbers of the groups that are known already. Sets so similar differ in (1 - s) / (1 + s) of their sizes' sum at most. Members are
+    sorted by their codes' distance to a vantage point, the first member's, and each meets those only whose distance differs by no more than that; codes and then sets are compared.
     """
-    limit, forest, out = farthest(similarity), Forest(len(sets)), []
-    apart = np.bitwise_count(codes ^ codes[0]).sum(1)
+    forest, out, seen = Forest(len(sets)), [], {}
+    for i, group in enumerate(joined):
+        forest.join(seen.setdefault(group, i), i)
+    sizes, codes = np.array([len(x) for x in sets], np.int64), np.stack([parity_code(x) for x in sets])
+    apart = np.bitwise_count(codes ^ codes[0]).sum(1).astype(np.int64)
     order = np.argsort(apart, kind="stable")
-    ends = np.searchsorted(apart[order], apart[order] + limit, side="right")
+    ends = np.searchsorted(apart[order], apart[order] + np.floor(sizes[order] * (1 - similarity) / similarity + 1e-9), side="right")
     for at, (i, end) in enumerate(zip(order.tolist(), ends.tolist(), strict=True)):
         others = order[at + 1 : end]
         others = others[(others < first) | (i < first)] if within else others[(others < first) != (i < first)]
-        gap = np.bitwise_count(codes[others] ^ codes[i]).sum(1)
-        near = np.flatnonzero(gap <= limit)
-        for j in others[near[np.argsort(gap[near], kind="stable")]].tolist():
-            if forest.root(i) == forest.root(j):
-                continue
-            a, b = sets[i], sets[j]
-            if min(len(a), len(b)) < similarity * max(len(a), len(b)):
-                continue
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            if both >= similarity * (len(a) + len(b) - both):
-                forest.join(i, j)
-                out.append((i, j))
+        near = others[np.bitwise_count(codes[others] ^ codes[i]).sum(1) <= (sizes[others] + sizes[i]) * (1 - similarity) / (1 + similarity) + 1e-9]
+        for j in near.tolist():
+            if forest.root(i) != forest.root(j) and min(sizes[i], sizes[j]) >= similarity * max(sizes[i], sizes[j]):
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both >= similarity * (sizes[i] + sizes[j] - both):
+                    forest.join(i, j)
+                    out.append((i, j))
     return out
 
 
+def verified(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets are so similar; b may be one document for many. sketches: (node, shingles)."""
+    hubs = pairs.groupBy("b").agg(F.count("*").alias("n"))
+    hubs = checkpointed(hubs.join(sketches.withColumnsRenamed({"node": "b", "shingles": "sb"}), "b"))
+    both = dealt_join(pairs, hubs, ["b"], F.col("a")).join(sketches.withColumnsRenamed({"node": "a", "shingles": "sa"}), "a")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+
+def across(banded: DataFrame, linked: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame | None:
+    """Further edges (a, b) among documents of one bucket that linked (node, component) leaves apart; None if there are no such buckets.
+
+    Buckets of the same documents are compared once. A large bucket's documents are dealt to blocks, and each task (i, j) compares two of them, or a block within itself.
+    """
+    kind = banded.schema["node"].dataType.simpleString()
+    held = banded.join(linked, "node", "left").select("band", "key", "node", F.coalesce("component", "node").alias("component"))
+    own = F.xxhash64("node").cast("decimal(38,0)")
+    buckets = held.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum(own).alias("sum"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("least"))
+    once = buckets.where("low <> high").groupBy("n", "sum", "least").agg(F.min(F.struct("band", "key")).alias("x"))
+    once = checkpointed(once.select("x.band", "x.key", "n", F.ceil(F.col("n") / MEMBERS).cast("int").alias("blocks")))
+    rows = once.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0]
+    if not rows:
+        return None
+    members = met(held, once, ["band", "key"], F.col("node")).withColumn("bucket", F.xxhash64("band", "key"))
+    members = members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.withColumns({"i": F.least("own", "to"), "j": F.greatest("own", "to"), "alone": F.col("blocks") > 1})
+    shard = F.when(F.col("alone"), F.xxhash64("bucket", "i", "j")).otherwise(F.pmod(F.xxhash64("bucket"), F.lit(max(12, rows // 2000))))
+    listed = checkpointed(members.select("node", F.xxhash64("component").alias("component"), "bucket", "i", "j", "alone", (F.col("own") == F.col("i")).alias("home"), shard.alias("shard")))
+    counted = checkpointed(listed.groupBy("node").agg(F.count("*").alias("n")).join(sketches, "node"))
+    placed = dealt_join(listed, counted, ["node"], F.col("shard"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["bucket", "i", "j", "home"], ascending=[True, True, True, False], kind="stable").reset_index(drop=True)
+        bucket, first, second = pdf["bucket"].to_numpy(), pdf["i"].to_numpy(), pdf["j"].to_numpy()
+        new = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])])).tolist()
+        left, right = [], []
+        for a, b in zip(new, [*new[1:], len(pdf)], strict=True):
+            sets = [np.sort(np.asarray(x, np.int64)).view(np.uint64) for x in pdf["shingles"].iloc[a:b]]
+            for i, j in similar_pairs(sets, pdf["component"].iloc[a:b].tolist(), int(pdf["home"].iloc[a:b].sum()), similarity, bool(first[a] == second[a])):
+                left.append(a + i)
+                right.append(a + j)
+        x, y = pdf.iloc[left], pdf.iloc[right]
+        return pd.DataFrame({"d1": x["doc_id"].array, "t1": x["text_hash"].array, "d2": y["doc_id"].array, "t2": y["text_hash"].array})
+
+    doc = banded.schema["node"].dataType["doc_id"].dataType.simpleString()
+    flat = placed.select("shard", "alone", "bucket", "i", "j", "home", "component", "node.doc_id", "node.text_hash", "shingles")
+    found = flat.groupBy("alone", "shard").applyInPandas(compare, f"d1 {doc}, t1 long, d2 {doc}, t2 long")
+    node = lambda d, t: F.struct(F.col(d).alias("doc_id"), F.col(t).alias("text_hash")).cast(kind)
+    return checkpointed(found.select(node("d1", "t1").alias("a"), node("d2", "t2").alias("b")))
+
+
 def near_duplicates(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, text_hash, group_doc_id, group_text_hash, first): the group of each document and whether the row's document stands for it.
 
     Documents are told apart by (doc_id, hash of the text). Texts whose lower-cased words are equal, and texts whose sets of shingles have at least
     that Jaccard similarity, are linked; groups are connected components and the smallest (doc_id, hash) stands for each. Null, empty and
-    wordless texts are one group. A null doc_id comes first.
+    wordless texts are one group. Texts of any length count whole. A null doc_id comes first. Documents meet where their minima of a band agree; each
+    is compared with the smallest one there, and then with all those of the bucket that aren't in its group by then.
     """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,63 +370,46 @@ def near_duplicates(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: floa
                 found.append(bands(np.unique(shingle_hashes(text, shingle))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "text_hash", "same", "bands"])
 
-    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [np.unique(shingle_hashes(t, shingle)) for t in batch.column(1).to_pylist()]
-            codes = pa.array([wide_code(h).tobytes() for h in hashes], pa.binary())
-            sets = pa.array([np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes() for h in hashes], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), codes, sets], ["node", "code", "shingles"])
+            hashes = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.list_(pa.int64()))], ["node", "shingles"])
 
     kind = dict(df.dtypes)["doc_id"]
     rows = df.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     keyed = checkpointed(rows.mapInArrow(keys, f"doc_id {kind}, text_hash long, same binary, bands array<long>"))
     node = F.struct("doc_id", "text_hash")
     # one document for all with the same words; the others follow it
-    chosen = checkpointed(keyed.groupBy("same").agg(F.min(node).alias("node"), F.first("bands").alias("bands")))
+    chosen = checkpointed(keyed.groupBy("same").agg(F.min(node).alias("node"), F.first("bands").alias("bands"), F.count("*").alias("n")))
     banded = chosen.select("node", F.posexplode("bands").alias("band", "key"))
-    shared = banded.groupBy("band", "key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = checkpointed(banded.join(shared, ["band", "key"]).where(F.col("node") != F.col("least")).select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
-    groups = checkpointed(connected_components(met))
-    sizes = groups.groupBy("component").agg(F.count("*").alias("n"), F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
-    large = checkpointed(sizes.where(F.col("n") > MEMBERS // 8))
-    wanted = groups.select(F.col("node"), F.col("node.doc_id").alias("__d"), F.col("node.text_hash").alias("__t"))
-    texts = df.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("text_hash") == F.col("__t")))
-    node_type = f"struct<doc_id: {kind}, text_hash: bigint>"
-    sketched = texts.select("node", "text").mapInArrow(sketches, f"node {node_type}, code binary, shingles binary").groupBy("node").agg(F.first(F.struct("code", "shingles")).alias("s")).select("node", "s.code", "s.shingles")
-    # a large group's documents are dealt to blocks; each task (i, j) compares two of them, or a block within itself. Small groups share tasks
-    own = F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int")
-    placed = sketched.join(groups, "node").join(broadcast_if_small(large.drop("n")), "component", "left").withColumn("own", own)
-    placed = placed.withColumn("to", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).withColumns({"i": F.least("own", "to"), "j": F.greatest("own", "to")})
-    shards = max(12, (groups.count() - (large.agg(F.sum("n")).first()[0] or 0)) // 2000)
-    shard = F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("component"), F.lit(shards))).otherwise(F.xxhash64("component", "i", "j"))
-    placed = placed.select(F.col("blocks").isNotNull().alias("alone"), shard.alias("shard"), F.xxhash64("component").alias("group"), "i", "j", (F.col("own") == F.col("i")).alias("home"), "node.doc_id", "node.text_hash", "code", "shingles")
-
-    def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["group", "i", "j", "home"], ascending=[True, True, True, False], kind="stable").reset_index(drop=True)
-        codes = np.frombuffer(b"".join(pdf["code"]), np.uint64).reshape(len(pdf), WIDE)
-        group, first, second = pdf["group"].to_numpy(), pdf["i"].to_numpy(), pdf["j"].to_numpy()
-        new = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])])).tolist()
-        left, right = [], []
-        for a, b in zip(new, [*new[1:], len(pdf)], strict=True):
-            sets = [np.frombuffer(x, np.uint32) for x in pdf["shingles"].iloc[a:b]]
-            for i, j in similar_pairs(codes[a:b], sets, int(pdf["home"].iloc[a:b].sum()), similarity, bool(first[a] == second[a])):
-                left.append(a + i)
-                right.append(a + j)
-        x, y = pdf.iloc[left], pdf.iloc[right]
-        return pd.DataFrame({"d1": x["doc_id"].array, "t1": x["text_hash"].array, "d2": y["doc_id"].array, "t2": y["text_hash"].array})
-
-    edges = placed.groupBy("alone", "shard").applyInPandas(verify, f"d1 {kind}, t1 long, d2 {kind}, t2 long")
-    edges = edges.select(F.struct(F.col("d1").alias("doc_id"), F.col("t1").alias("text_hash")).alias("a"), F.struct(F.col("d2").alias("doc_id"), F.col("t2").alias("text_hash")).alias("b"))
-    linked = connected_components(edges)
-    named = chosen.select("same", "node").join(linked, "node", "left").select("same", F.coalesce("component", "node").alias("group"))
-    out = keyed.select("doc_id", "text_hash", "same").join(named, "same")
+    shared = checkpointed(banded.groupBy("band", "key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1"))
+    banded = checkpointed(dealt_join(banded, shared, ["band", "key"], F.col("node")))
+    pairs = checkpointed(banded.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
+    banded = banded.drop("least")
+    wanted = checkpointed(banded.select("node").distinct().select("node", F.col("node.doc_id").alias("__d"), F.col("node.text_hash").alias("__t")))
+    texts = rows.join(broadcast_if_small(wanted), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("text_hash") == F.col("__t")))
+    sketched = texts.select("node", "text").mapInArrow(sets, f"node struct<doc_id: {kind}, text_hash: bigint>, shingles array<long>")
+    sketched = checkpointed(sketched.groupBy("node").agg(F.first("shingles").alias("shingles")))
+    edges = checkpointed(verified(pairs, sketched, similarity))
+    linked = checkpointed(connected_components(edges))
+    more = across(banded, linked, sketched, similarity)
+    if more is not None and more.limit(1).count():
+        linked = checkpointed(connected_components(edges.unionByName(more)))
+    named = checkpointed(chosen.select("same", "node", "n").join(linked, "node", "left").select("same", F.coalesce("component", "node").alias("group"), "n"))
+    out = dealt_join(keyed.select("doc_id", "text_hash", "same"), named, ["same"], F.col("text_hash"))
     return out.select("doc_id", "text_hash", F.col("group.doc_id").alias("group_doc_id"), F.col("group.text_hash").alias("group_text_hash"), (F.struct("doc_id", "text_hash") == F.col("group")).alias("first"))
 
 
 def one_of_each(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The documents that stand for their group of near-duplicates, with all their columns; of repeated rows with one doc_id and text one stays."""
     d, t, h = spare(df, "d", "t", "h")
-    kept = near_duplicates(df, shingle, similarity).where("first").select(F.col("doc_id").alias(d), F.col("text_hash").alias(t)).distinct()
-    rows = df.withColumn(h, F.xxhash64("text"))
-    stay = rows.join(kept, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(h) == F.col(t)), "left_semi")
-    return stay.dropDuplicates(["doc_id", h]).drop(h)
+    judged = checkpointed(near_duplicates(df, shingle, similarity).select(F.col("doc_id").alias(d), F.col("text_hash").alias(t), "first"))
+    seen = checkpointed(judged.groupBy(d, t).agg(F.max("first").alias("first"), F.count("*").alias("n")))
+    same = F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(h) == F.col(t))
+    gone = broadcast_if_small(checkpointed(seen.where("not first").select(d, t)))
+    stay = df.withColumn(h, F.xxhash64("text")).join(gone, same, "left_anti")
+    often = checkpointed(seen.where("first and n > 1").select(d, t))
+    if not often.limit(1).count():
+        return stay.drop(h)
+    often = broadcast_if_small(often)
+    return stay.join(often, same, "left_anti").unionByName(stay.join(often, same, "left_semi").dropDuplicates(["doc_id", h])).drop(h)

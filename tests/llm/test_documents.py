@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -140,12 +141,60 @@ def test_no_task_of_a_large_cell_sees_more_than_two_blocks(spark, monkeypatch, g
     assert grouped_rows(lambda: simhash.hamming_links(df)) <= 100
 
 
+def shingles(text, size=5):
+    w = words(text)
+    return {b" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def brute_groups(rows, least=0.8):
+    """The smallest id of each id's component of pairs that similar, or of equal words."""
+    sets, root = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and (a == b or 5 * len(a & b) >= 4 * len(a | b)):
+                x, y = root[i], root[j]
+                root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
+    return root
+
+
+def families(rng, n, size, changes):
+    """Texts that differ from one of n bases in some of their words: similarities lie on both sides of 0.8."""
+    rows = []
+    for f in range(n):
+        base = rng.choices(VOCABULARY, k=size)
+        for k in changes:
+            text = list(base)
+            for at in rng.sample(range(size), k):
+                text[at] = f"x{rng.random()}"
+            rows.append((100 * f + len(rows), " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize("members", [2048, 4])
+def test_near_duplicates_around_the_threshold(spark, monkeypatch, members):
+    monkeypatch.setattr(simhash, "MEMBERS", members)
+    rng = random.Random(7)
+    rows = families(rng, 8, 150, (0, 1, 2, 2, 3, 3, 4, 5, 9)) + [(10_000 + i, t) for i, t in families(rng, 20, 9, (0, 0, 1, 1))] + [(20_000 + i, COPY[: 400 + i]) for i in range(0, 200, 5)]
+    got = {r["doc_id"]: r["group_doc_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_groups(rows)
+
+
 def test_no_task_of_a_large_group_sees_more_than_two_blocks(spark, monkeypatch, grouped_rows):
     monkeypatch.setattr(simhash, "MEMBERS", 16)
-    df = spark.createDataFrame([(i, f"{COPY} tail{i}") for i in range(400)] + [(1000 + i, f"{' '.join(COPY.split()[::-1])} other{i}") for i in range(3)], "doc_id long, text string")
-    assert grouped_rows(lambda: simhash.near_duplicates(df)) <= 64
-    kept = sorted(r["doc_id"] for r in simhash.one_of_each(df).collect())
-    assert kept == [0, 1000]
+    rng = random.Random(9)
+    rows = [(i, f"{COPY} " + " ".join(f"y{rng.random()}" for _ in range(45))) for i in range(300)]  # half alike: they meet, but no two are near-duplicates
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert grouped_rows(lambda: simhash.near_duplicates(df)) <= 4 * 16 * 12  # small buckets share tasks of some 2,000 rows in all
+    assert simhash.one_of_each(df).count() == 300
+
+
+def test_parity_codes_bound_the_difference():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 400)).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 63, rng.integers(0, 30)).astype(np.uint64)]))
+        gap = int(np.bitwise_count(simhash.parity_code(a) ^ simhash.parity_code(b)).sum()) if len(b) else 0
+        assert gap <= len(np.setxor1d(a, b))
 
 
 def test_line_dedup(spark, docs):
@@ -155,7 +204,13 @@ def test_line_dedup(spark, docs):
     assert out[(0, None)] == 0 and out[(1, "")] == 0 and out[(3, LONG)] == 0
     assert sum(r["lines_removed"] for r in line_dedup.dedup_lines(docs).collect()) == 7
     twice = spark.createDataFrame([(1, "a\nb\nc\na\nb\nc\na\nb"), (1, "a\nb\nc\na\nb\nc\na\nb")], "doc_id long, text string")
-    assert [r["text"] for r in line_dedup.dedup_lines(twice).collect()] == ["a\nb\nc"] * 2 or [r["lines_removed"] for r in line_dedup.dedup_lines(twice).collect()] == [5, 5]
+    assert [(r["text"], r["lines_removed"]) for r in line_dedup.dedup_lines(twice).collect()] == [("a\nb\nc", 5)] * 2
+    passage = "here is the first sentence of a passage, and a second part of it. The third one ends it here."
+    inside = spark.createDataFrame([(1, f"An opening of one kind, {passage} One end, of so many words that the line is long."), (2, f"Quite another beginning. {passage} Another end; with more words so that it is long too."), (3, "a, b, c, d and"), (4, "a, b, c, d or")], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(inside).collect()}
+    assert passage in out[1] and out[2] == "Quite another beginning. Another end; with more words so that it is long too." and (out[3], out[4]) == ("a, b, c, d and", "a, b, c, d or")
+    many = spark.createDataFrame([(1, "\n".join(f"line {i} of many" for i in range(4000))), (2, "\n".join(f"line {i} of many" for i in range(1000, 3000)) + "\nlast")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lines_removed"] for r in line_dedup.dedup_lines(many).collect()} == {1: 0, 2: 2000}
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
@@ -291,6 +346,28 @@ def test_maximal_segments():
     assert toxicity.maximal_segments(np.zeros(0)) == []
 
 
+def brute_segments(s, at=0):
+    """The best run of scores, then the same on both sides of it."""
+    best = max(((sum(s[i:j]), i, j) for i in range(len(s)) for j in range(i + 1, len(s) + 1)), default=(0, 0, 0))
+    if best[0] <= 0:
+        return []
+    return brute_segments(s[: best[1]], at) + [(at + best[1], at + best[2])] + brute_segments(s[best[2] :], at + best[2])
+
+
+def test_maximal_segments_against_brute_force():
+    rng = np.random.default_rng(1)
+    for _ in range(1500):
+        s = rng.integers(-5, 5, rng.integers(0, 13)) + rng.random()
+        s = (s + rng.random(len(s)) * 1e-3).tolist()
+        assert [(a, b) for a, b, _ in toxicity.maximal_segments(np.array(s))] == brute_segments(s)
+
+
+def test_maximal_segments_take_linear_time():
+    alone = np.where(np.arange(100_000) % 4 == 0, 1.0, -0.5)
+    started = time.process_time()
+    assert len(toxicity.maximal_segments(alone)) == 25_000 and time.process_time() - started < 2
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     neutral = [f"calm{chr(97 + i)}{chr(97 + j)}" for i in range(12) for j in range(12)]
