@@ -8,10 +8,17 @@ lines, which go; what is left is joined as it stood.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievespark.llm.common import WORD, checkpointed, dealt_join, spare, table
+from sievespark.llm.common import checkpointed, dealt_join, spare, table
 
 #: Lines of a window.
 WINDOW = 3
@@ -19,37 +26,78 @@ WINDOW = 3
 LONG, LEAST = 24, 12
 #: A part of a long line: up to and with the space after punctuation, or the rest.
 PART = r"(?s)(.*?[.!?,;:] |.+)"
+_PART = re.compile(PART)
+#: Windows that a task hands on at a time.
+HANDED = 1 << 17
 
 
-def _lines(text: Column) -> Column:
-    """array<struct(line, part, whole)>: the parts of all lines in order, with the number of their line."""
+def _words(text: str) -> int:
+    return len(text.encode().split())
 
-    def parts(line: Column, i: Column) -> Column:
-        whole = F.coalesce(F.regexp_count(line, F.lit(WORD)) <= LONG, F.lit(True))
-        cut = F.when(whole, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(PART), F.lit(1)))
-        return F.transform(cut, lambda p: F.struct(i.alias("line"), p.alias("part"), whole.alias("whole")))
 
-    return F.flatten(F.transform(F.split(text, "\n", -1), parts))
+def cut(text: str) -> tuple[list[str], list[int], list[bool]]:
+    """(parts, lines, whole): the parts of all lines in order, the number of each one's line, and whether it is the whole line."""
+    parts, lines, whole = [], [], []
+    for n, line in enumerate(text.split("\n")):
+        long = len(line) > 2 * LONG and _words(line) > LONG
+        some = _PART.findall(line) if long else [line]
+        parts += some
+        lines += [n] * len(some)
+        whole += [not long] * len(some)
+    return parts, lines, whole
+
+
+def window_hashes(text: str, window: int = WINDOW) -> tuple[list[int], list[bytes]]:
+    """The places of the windows that count, and their 128-bit hashes."""
+    parts, _, whole = cut(text)
+    bare, at, hashes = [p.strip(" ") for p in parts], [], []
+    for i in range(len(bare) - window + 1):
+        run = "\n".join(bare[i : i + window])
+        if all(whole[i : i + window]) or _words(run) >= LEAST:
+            at.append(i)
+            hashes.append(xxhash.xxh3_128_digest(run.encode()))
+    return at, hashes
 
 
 def repeated_windows(df: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, text_hash, positions): the first lines of windows that occurred before, for each document that has any."""
-    lines = df.where("text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), _lines(F.col("text")).alias("lines")).where(F.size("lines") >= window)
 
-    def hashed(i: Column) -> Column:
-        run = F.slice("lines", i + 1, window)
-        text = F.array_join(F.transform(run, lambda x: F.trim(x["part"])), "\n")
-        counts = F.forall(run, lambda x: x["whole"]) | (F.regexp_count(text, F.lit(WORD)) >= LEAST)
-        return F.when(counts, F.struct(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2")))
-
-    each = lines.select("doc_id", "text_hash", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("lines") - window), hashed)).alias("pos", "w")).where("w is not null")
-    each = each.select("doc_id", "text_hash", "pos", "w.h1", "w.h2")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, places, hashes = [], [], []
+            for row, text in enumerate(batch.column(2).to_pylist()):
+                at, found = window_hashes(text, window)
+                rows += [row] * len(at)
+                places += at
+                hashes += found
+                if len(rows) >= HANDED or row == batch.num_rows - 1:
+                    h = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+                    own = [batch.column(i).take(pa.array(rows, pa.int64())) for i in range(2)]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(places, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1])], ["doc_id", "text_hash", "pos", "h1", "h2"])
+                    rows, places, hashes = [], [], []
+
+    texts = df.where("text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    each = texts.mapInArrow(run, f"doc_id {dict(df.dtypes)['doc_id']}, text_hash long, pos int, h1 long, h2 long")
     at = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("d"), F.col("text_hash").alias("t"), F.col("pos").alias("p"))
     firsts = checkpointed(each.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n")).where("first <> last").select("h1", "h2", "first", "n"))
     again = dealt_join(each, firsts, ["h1", "h2"], F.col("text_hash")).where(at != F.col("first"))
     return again.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("positions"))
 
 
+def without(text: str, positions: np.ndarray, window: int) -> tuple[str, int]:
+    """The text without the lines that windows at these places cover, and how many those are."""
+    parts, lines, _ = cut(text)
+    gone = np.zeros(len(parts), bool)
+    for k in range(window):
+        gone[np.asarray(positions) + k] = True
+    out, last = [], None
+    for i in np.flatnonzero(~gone).tolist():
+        out += ["\n"] if last is not None and lines[i] != last else []
+        out.append(parts[i])
+        last = lines[i]
+    return "".join(out), int(gone.sum())
+
+
 def dedup_lines(df: DataFrame, window: int = WINDOW) -> DataFrame:
     """Documents with repeated windows cut from their text; adds lines_removed (long), keeps every other column.
 
@@ -59,17 +107,18 @@ def dedup_lines(df: DataFrame, window: int = WINDOW) -> DataFrame:
     document by doc_id keeps a passage; a null doc_id comes first. Columns named lines_removed are replaced.
     """
     kept = [c for c in df.columns if c != "lines_removed"]
-    d, t, p, c, m, k = spare(df, "d", "t", "p", "c", "m", "k")
+    d, t, p, c = spare(df, "d", "t", "p", "c")
+
+    @F.pandas_udf("text string, n long")
+    def rest(text: pd.Series, positions: pd.Series) -> pd.DataFrame:
+        found = [(None, 0) if x is None else without(x, at, window) for x, at in zip(text, positions, strict=True)]
+        return pd.DataFrame(found, columns=["text", "n"])
+
     found = repeated_windows(df, window).select(F.col("doc_id").alias(d), F.col("text_hash").alias(t), F.col("positions").alias(p))
     joined = df.join(found, F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(t)), "left")
-    joined = joined.withColumn(c, F.array_distinct(F.flatten(F.transform(p, lambda x: F.sequence(x, x + window - 1)))))
-    gone = F.map_from_arrays(F.col(c), F.transform(c, lambda x: F.lit(True)))
-    joined = joined.withColumn(m, F.when(F.col(c).isNotNull(), gone))
-    joined = joined.withColumn(k, F.when(F.col(c).isNotNull(), F.filter(_lines(F.col("text")), lambda x, i: ~F.map_contains_key(m, i))))
-    glue = lambda x, i: F.when((i == 0) | (F.get(k, i - 1)["line"] == x["line"]), "").otherwise("\n")
-    rest = F.array_join(F.transform(k, lambda x, i: F.concat(glue(x, i), x["part"])), "")
-    cols = [F.when(F.col(c).isNull(), F.col("text")).otherwise(rest).alias("text") if name == "text" else F.col(f"`{name}`") for name in kept]
-    return joined.select(*cols, F.coalesce(F.size(c), F.lit(0)).cast("long").alias("lines_removed"))
+    joined = joined.withColumn(c, rest(F.when(F.col(p).isNotNull(), F.col("text")), p))  # other texts don't leave the JVM
+    cols = [F.when(F.col(p).isNull(), F.col("text")).otherwise(F.col(f"{c}.text")).alias("text") if name == "text" else F.col(f"`{name}`") for name in kept]
+    return joined.select(*cols, F.when(F.col(p).isNull(), 0).otherwise(F.col(f"{c}.n")).cast("long").alias("lines_removed"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
