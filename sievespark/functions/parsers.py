@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,9 +13,25 @@ from sievespark.functions import text as T
 MONTHS = ["Ocak", "Şubat", "Mart", "Nisan", "Mayıs", "Haziran", "Temmuz", "Ağustos", "Eylül", "Ekim", "Kasım", "Aralık"]
 ENGLISH_MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 NUMBER_WORDS = ["bir", "iki", "üç", "dört", "beş", "altı", "yedi", "sekiz", "dokuz", "on"]
+#: Fixed value: what counts as an address.
 EMAIL = r"^[a-z0-9._%+\-]+@[a-z0-9\-]+(\.[a-z0-9\-]+)*\.[a-z]{2,}$"
 
 
+def let(x: Column, body) -> Column:  # noqa: ANN001
+    """body(x) with x evaluated once a row."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
+def once(f):  # noqa: ANN001, ANN201
+    """A parser of a Column that evaluates its input once a row, however often it names it: parsers are put into one another."""
+
+    @wraps(f)
+    def run(s: Column, *rest) -> Column:  # noqa: ANN002
+        return let(s, lambda x: f(x, *rest))
+
+    return run
+
+
 def _plain(word: str) -> str:
     return word.replace("I", "ı").replace("İ", "i").lower().translate(str.maketrans(T.ACCENTED, T.PLAIN))
 
@@ -40,6 +58,7 @@ def _full_year(year: Column) -> Column:
     return F.when(year < 50, year + 2000).when(year < 100, year + 1900).otherwise(year)
 
 
+@once
 def date_candidates(s: Column) -> Column:
     """array<date> of the ways to read a date, the day-first one first; empty if there is none."""
     s = F.trim(F.coalesce(s, F.lit("")))
@@ -63,35 +82,39 @@ def within(candidates: Column, low: str, high: str) -> Column:
     return F.filter(candidates, lambda d: (d >= F.lit(low).cast("date")) & (d < F.lit(high).cast("date")))
 
 
+@once
 def money(s: Column) -> Column:
     """decimal(18,2). Of two different separators the right one is decimal; a lone comma or point is one unless three digits follow."""
-    bare = F.regexp_replace(F.coalesce(s, F.lit("")), r"(?iU)tl|try|₺|\s", "")
-    comma, point = F.length(bare) - F.instr(F.reverse(bare), ","), F.length(bare) - F.instr(F.reverse(bare), ".")
-    has_comma, has_point = bare.contains(","), bare.contains(".")
+    return let(F.regexp_replace(F.coalesce(s, F.lit("")), r"(?iU)tl|try|₺|\s", ""), _number)
+
+
+def _number(bare: Column) -> Column:
+    comma, point = F.instr(F.reverse(bare), ","), F.instr(F.reverse(bare), ".")
     no_point, no_comma = F.replace(bare, F.lit("."), F.lit("")), F.replace(bare, F.lit(","), F.lit(""))
     comma_decimal = F.replace(no_point, F.lit(","), F.lit("."))
-    thousands_comma, thousands_point = bare.rlike(r",\d{3}$"), bare.rlike(r"\.\d{3}$") | (F.length(bare) - F.length(no_point) > 1)
+    thousands_point = bare.rlike(r"\.\d{3}$") | (F.length(bare) - F.length(no_point) > 1)
     number = (
-        F.when(has_comma & has_point, F.when(comma > point, comma_decimal).otherwise(no_comma))
-        .when(has_comma, F.when(thousands_comma, no_comma).otherwise(comma_decimal))
-        .when(has_point, F.when(thousands_point, no_point).otherwise(bare))
+        F.when((comma > 0) & (point > 0), F.when(comma < point, comma_decimal).otherwise(no_comma))
+        .when(comma > 0, F.when(bare.rlike(r",\d{3}$"), no_comma).otherwise(comma_decimal))
+        .when((point > 0) & thousands_point, no_point)
         .otherwise(bare)
     )
     return F.when(bare.rlike(r"^-?[\d.,]+$"), F.round(number.try_cast("decimal(24,6)"), 2).cast("decimal(18,2)"))
 
 
+@once
 def ratio(s: Column) -> Column:
     """decimal(6,4) in [0, 1); percentages and numbers over 1 count in hundredths."""
-    s = F.coalesce(s, F.lit(""))
-    value = _precise(F.replace(s, F.lit("%"), F.lit("")))
-    value = F.when(s.contains("%") | (value > 1), value / 100).otherwise(value)
-    return F.when((value >= 0) & (value < 1), F.round(value, 4).cast("decimal(6,4)"))
+    share = s.contains("%")
+    hundred = let(_precise(F.replace(s, F.lit("%"), F.lit(""))), lambda v: F.when(share | (v > 1), v / 100).otherwise(v))
+    return let(hundred, lambda v: F.when((v >= 0) & (v < 1), F.round(v, 4).cast("decimal(6,4)")))
 
 
 def _precise(s: Column) -> Column:
     return money(s).cast("decimal(18,4)")
 
 
+@once
 def count(s: Column) -> Column:
     """int: a number word up to ten, or a whole number with a unit before or after."""
     s = T.lower(F.trim(F.coalesce(s, F.lit(""))))
@@ -100,6 +123,7 @@ def count(s: Column) -> Column:
     return F.coalesce(word, F.when(s.rlike(shape), F.regexp_extract(s, shape, 1).try_cast("int")))
 
 
+@once
 def phone(s: Column) -> Column:
     """+90 5XX XXX XX XX from the last ten digits of a mobile number."""
     digits = F.regexp_replace(F.coalesce(s, F.lit("")), r"\D", "")
@@ -108,6 +132,7 @@ def phone(s: Column) -> Column:
     return F.when((F.length(digits) >= 10) & last.startswith("5"), F.concat_ws(" ", F.lit("+90"), piece(1, 3), piece(4, 3), piece(7, 2), piece(9, 2)))
 
 
+@once
 def email_text(s: Column) -> Column:
     """An address made comparable: plain lower-case letters, no spaces, one at sign, points for commas in the domain."""
     s = F.regexp_replace(T.fold(F.lower(F.replace(F.coalesce(s, F.lit("")), F.lit("İ"), F.lit("i")))), "[ ̇]", "")
@@ -120,8 +145,9 @@ def is_email(s: Column) -> Column:
     return s.rlike(EMAIL)
 
 
+@once
 def identifier(s: Column, prefix: str, digits: int) -> Column:
-    """prefix + digits from forms like '#367', 'm-00367' or '367'; null if the number is too long for it."""
+    """prefix + digits from forms like '#367', 'm-00367', 'M 12' or '367', white space anywhere; null if the number is too long for it."""
     shape = rf"(?i)^#?{prefix}?-?(\d{{1,{digits}}})$"
-    s = F.trim(F.coalesce(s, F.lit("")))
+    s = F.regexp_replace(F.coalesce(s, F.lit("")), T.WHITE, "")
     return F.when(s.rlike(shape), F.concat(F.lit(prefix), F.lpad(F.regexp_extract(s, shape, 1), digits, "0")))

@@ -45,26 +45,18 @@ def decided_pairs(df: DataFrame, first: str, last: str, columns: dict[str, str],
     return pairs.where("decision <> 'no'").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(node, root): components of (a, b) by the smallest node, spreading minima and halving paths until nothing changes."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    both = both.checkpoint()
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root): components of (a, b) by the smallest node, spreading minima and halving paths until nothing changes. Needs a checkpoint folder."""
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     roots = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("root")).select(F.col("a").alias("node"), "root").checkpoint()
-    for _ in range(rounds):
+    while True:
         near = both.join(roots, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("m"))
-        spread = roots.join(near, F.col("node") == F.col("a")).select("node", F.least("root", "m").alias("root"))
+        spread = roots.join(near, F.col("node") == F.col("a")).select("node", F.least("root", "m").alias("root"), F.col("root").alias("old"))
         up = spread.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
-        new = spread.join(up, F.col("root") == F.col("n2"), "left").select("node", F.least("root", F.coalesce("r2", "root")).alias("root")).checkpoint()
-        changed = new.join(roots.withColumnRenamed("root", "old"), "node").where("root <> old").limit(1).count()
-        roots = new
-        if not changed:
-            break
-    return roots
+        new = spread.join(up, F.col("root") == F.col("n2"), "left").select("node", F.least("root", F.coalesce("r2", "root")).alias("root"), "old").checkpoint()
+        roots = new.select("node", "root")
+        if not new.where("root <> old").limit(1).count():
+            return roots
 
 
 def merge(df: DataFrame, clusters: DataFrame, key: str, order: str, own: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -93,18 +85,20 @@ def keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(F.col(key).alias("__k")).agg(F.min_by(F.struct(*df.columns), order).alias("r")).select("r.*")
 
 
-def expand_pairs(mapping: DataFrame) -> DataFrame:
-    """(a, b), a < b: all pairs within the clusters of (old_id, new_id), the survivor included. For scoring, where clusters are small."""
-    members = mapping.select("new_id", F.col("old_id").alias("m")).unionByName(mapping.select("new_id", F.col("new_id").alias("m"))).distinct()
-    listed = members.groupBy("new_id").agg(F.array_sort(F.collect_set("m")).alias("all"))
-    return listed.select(F.explode(F.flatten(F.transform("all", lambda x, i: F.transform(F.slice("all", i + 2, F.size("all")), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b").distinct()
+def pairs_within(members: DataFrame, *by: str) -> DataFrame:
+    """One row: the pairs of members that agree in the columns, as sums of n (n - 1) / 2; none are listed."""
+    sizes = members.groupBy(*by).agg(F.count("*").alias("n"))
+    return sizes.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0)).cast("long").alias("pairs"))
 
 
 def pair_scores(predicted: DataFrame, truth: DataFrame) -> DataFrame:
-    """One row: true_pairs, predicted_pairs, precision, recall and f1 of two mappings; 0 where nothing can be divided."""
-    p, t = expand_pairs(predicted), expand_pairs(truth)
-    both = p.withColumn("p", F.lit(1)).join(t.withColumn("t", F.lit(1)), ["a", "b"], "full")
-    n = both.agg(F.count("t").alias("true_pairs"), F.count("p").alias("predicted_pairs"), F.sum(F.when(F.col("p").isNotNull() & F.col("t").isNotNull(), 1).otherwise(0)).alias("hits"))
+    """One row: true_pairs, predicted_pairs, precision, recall and f1 of two mappings (old_id, new_id), whose clusters hold the survivor too; 0 where nothing can be divided."""
+
+    def members(mapping: DataFrame, name: str) -> DataFrame:
+        return mapping.select(F.col("new_id").alias(name), F.col("old_id").alias("m")).unionByName(mapping.select(F.col("new_id").alias(name), F.col("new_id").alias("m"))).distinct()
+
+    p, t = members(predicted, "p"), members(truth, "t")
+    n = pairs_within(t, "t").withColumnRenamed("pairs", "true_pairs").join(pairs_within(p, "p").withColumnRenamed("pairs", "predicted_pairs")).join(pairs_within(p.join(t, "m"), "p", "t").withColumnRenamed("pairs", "hits"))  # three single rows
     share = lambda a, b: F.when(b > 0, a / F.when(b > 0, b)).otherwise(0.0)
     hits = F.coalesce("hits", F.lit(0))
     rates = n.select("true_pairs", "predicted_pairs", share(hits, F.col("predicted_pairs")).alias("precision"), share(hits, F.col("true_pairs")).alias("recall"))

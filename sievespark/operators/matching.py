@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievespark.functions import parsers as P
 from sievespark.functions import similarity
 from sievespark.functions import text as T
 
@@ -101,19 +102,24 @@ def spellings(df: DataFrame, column: str, order: str) -> DataFrame:
     """(key, spelling): the most frequent spelling of each comparison key, the first seen of equals. Values with a question mark don't count."""
     rows = df.where(F.col(column).isNotNull() & ~F.col(column).contains("?")).select(T.key(F.col(column)).alias("key"), F.col(column).alias("spelling"), F.col(order).alias("o"))
     counted = rows.groupBy("key", "spelling").agg(F.count("*").alias("n"), F.min("o").alias("o"))
-    return counted.groupBy("key").agg(F.max_by("spelling", F.struct("n", -F.col("o"))).alias("spelling"))
+    return counted.groupBy("key").agg(F.min_by("spelling", F.struct(-F.col("n"), "o")).alias("spelling"))
 
 
 def repair_words(df: DataFrame, column: str, order: str, titled: bool) -> DataFrame:
     """Adds <column>_words: each word in its key's usual spelling; titled words take a capital. A word with question marks becomes the only
-    word of that length that fits; if there is none, or several, the cell is null."""
-    words = df.where(F.col(column).isNotNull()).select(F.col(order).alias("o"), F.posexplode(F.split(column, " ")).alias("pos", "word"))
+    word of that length that fits; if there is none, or several, the cell is null, as placeholders are. Damaged words meet the others by their length and
+    first letter where that is known, else by length and last letter, else by length alone."""
+    words = df.where(F.col(column).isNotNull() & ~T.is_placeholder(F.col(column))).select(F.col(order).alias("o"), F.posexplode(F.split(column, " ")).alias("pos", "word"))
     words = words.withColumn("word", F.when(F.lit(titled), T.title(F.col("word"))).otherwise(F.col("word")))
-    usual = spellings(words.withColumn("seq", F.col("o") * 64 + F.col("pos")), "word", "seq")
+    usual = spellings(words.withColumn("seq", F.struct("o", "pos")), "word", "seq")
     plain = words.where(~F.col("word").contains("?")).withColumn("key", T.key(F.col("word"))).join(usual, "key", "left").select("o", "pos", F.coalesce("spelling", "word").alias("fixed"))
     damaged = words.where(F.col("word").contains("?")).withColumn("wild", T.wildcard_key(F.col("word")))
-    patterns = damaged.select("wild").distinct().withColumn("length", F.length("wild"))
-    fits = patterns.join(usual.withColumn("length", F.length("key")), "length").where(F.regexp_like("key", F.concat(F.lit("^"), F.replace(F.col("wild"), F.lit("?"), F.lit(".")), F.lit("$"))))
+    n, first, last = F.length("wild"), F.left("wild", F.lit(1)), F.right("wild", F.lit(1))
+    way = F.when(first != "?", F.concat_ws("<", n, first)).when(last != "?", F.concat_ws(">", n, last)).otherwise(n.cast("string"))
+    patterns = damaged.select("wild").distinct().withColumn("way", way)
+    m = F.length("key")
+    ways = usual.withColumn("way", F.explode(F.array(F.concat_ws("<", m, F.left("key", F.lit(1))), F.concat_ws(">", m, F.right("key", F.lit(1))), m.cast("string"))))
+    fits = patterns.join(ways, "way").where(F.regexp_like("key", F.concat(F.lit("^"), F.replace(F.col("wild"), F.lit("?"), F.lit(".")), F.lit("$"))))
     one = fits.groupBy("wild").agg(F.count("*").alias("n"), F.first("spelling").alias("fixed")).where("n = 1").drop("n")
     mended = damaged.join(one, "wild", "left").select("o", "pos", "fixed")
     every = plain.unionByName(mended).groupBy("o").agg(F.array_sort(F.collect_list(F.struct("pos", "fixed"))).alias("w"))
@@ -134,7 +140,7 @@ def usual_domains(df: DataFrame, column: str, order: str) -> list[str]:
     """E-mail domains of at least one per cent of the addresses and five of them, in the order they were first seen. The share bounds them to a hundred."""
     mails = df.where(~T.is_placeholder(F.col(column))).select(F.col(column).alias("m"), F.col(order).alias("o"))
     total = mails.count()
-    domains = mails.where(F.col("m").contains("@")).groupBy(F.substring_index("m", "@", -1).alias("d")).agg(F.count("*").alias("n"), F.min("o").alias("o"))
+    domains = mails.where(F.col("m").contains("@")).groupBy(F.expr("substring(m, instr(m, '@') + 1)").alias("d")).agg(F.count("*").alias("n"), F.min("o").alias("o"))
     return [r["d"] for r in domains.where(F.col("n") >= max(5, total * 0.01)).orderBy("o").collect()]
 
 
@@ -143,11 +149,12 @@ def repair_email(prepared: Column, domains: list[str], threshold: float = 80.0)
     known = F.array(*[F.lit(d) for d in domains]).cast("array<string>")
     ends = F.get(F.filter(known, lambda d: prepared.endswith(d) & (F.length(prepared) > F.length(d))), F.lit(0))
     joined = F.when(~prepared.contains("@") & ends.isNotNull(), F.concat(F.substr(prepared, F.lit(1), F.length(prepared) - F.length(ends)), F.lit("@"), ends)).otherwise(prepared)
-    local, domain = F.substring_index(joined, "@", 1), F.substring_index(joined, "@", -1)
+    at = F.instr(joined, "@")
+    local, domain = F.substr(joined, F.lit(1), at - 1), F.substr(joined, at + 1)  # cut at the first sign: with two the address stays invalid
     near = F.array_max(F.transform(known, lambda d, i: F.struct(similarity.indel_ratio(domain, d).alias("s"), (-i).alias("i"))))
     moved = joined.contains("@") & ~F.array_contains(known, domain) & (near["s"] >= threshold)
     fixed = F.when(moved, F.concat(local, F.lit("@"), F.get(known, -near["i"]))).otherwise(joined)
-    return F.when(fixed.rlike(r"^[a-z0-9._%+\-]+@[a-z0-9\-]+(\.[a-z0-9\-]+)*\.[a-z]{2,}$"), fixed)
+    return F.when(P.is_email(fixed), fixed)
 
 
 def top_k(df: DataFrame, by: list[str], score: str, k: int, tie: str) -> DataFrame:

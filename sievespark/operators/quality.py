@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievespark.functions import parsers as P
+from sievespark.functions import text as T
 from sievespark.plans.schema import KEYS, TABLES
 
 OUTCOMES = ("correct", "blank", "wrong", "row_missing")
@@ -24,25 +26,31 @@ def comparable(value: Column, kind: str) -> Column:
     return v
 
 
-def cells(df: DataFrame, table: str) -> DataFrame:
-    """(key, column, value): one row for each cell besides the key, blanks included."""
-    key = KEYS[table]
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), comparable(F.col(c), k).alias("value")) for c, k in TABLES[table].items() if c != key])
-    return df.select(F.col(key).alias("key"), F.explode(pairs).alias("c")).select("key", "c.column", "c.value")
+def code_number(code: Column) -> Column:
+    """The number of a code such as B12, for the order of codes."""
+    return F.regexp_extract(code, r"(\d+)$", 1).try_cast("int")
 
 
-def cell_outcomes(truth: DataFrame, clean: DataFrame, log: DataFrame, table: str) -> DataFrame:
-    """(table, key, column, corruption, recoverable, truth_blank, outcome, truth, clean) for each cell of the truth.
+def cell_outcomes(truth: DataFrame, clean: DataFrame, log: DataFrame, table: str, order: str | None = None, sample: DataFrame | None = None) -> DataFrame:
+    """(table, key, column, corruption, recoverable, truth_blank, outcome, truth, clean) for each cell of the truth besides its key.
 
-    log: (tablo, anahtar, sutun, bozma, kurtarilabilir boolean); the cell's entry that comes last in bozma counts, cells without one are "temiz" and
-    recoverable. Of clean rows with one key any one counts, as they should be unique.
+    log: (tablo, anahtar, sutun, bozma, kurtarilabilir boolean); the cell's last entry counts, by sira if the log has it, else by the code's number; cells without one
+    are "temiz" and recoverable. Of clean rows with one key the first by `order` counts (without it the smallest row). sample: (key) of the rows to score, all if None.
+    Rows are joined by their keys and only then taken apart into cells.
     """
-    t = cells(truth, table).withColumnRenamed("value", "truth")
-    c = cells(clean.dropDuplicates([KEYS[table]]), table).select(F.col("key").alias("k"), F.col("column").alias("col"), F.col("value").alias("clean"), F.lit(True).alias("found"))
-    entries = log.where(F.col("tablo") == table).groupBy(F.col("anahtar").alias("lk"), F.col("sutun").alias("lc")).agg(F.max(F.struct("bozma", "kurtarilabilir")).alias("e"))
-    joined = t.join(c, (F.col("key") == F.col("k")) & (F.col("column") == F.col("col")), "left").join(entries, (F.col("key") == F.col("lk")) & (F.col("column") == F.col("lc")), "left")
-    outcome = F.when(F.col("found").isNull(), "row_missing").when(F.col("clean").eqNullSafe(F.col("truth")), "correct").when(F.col("clean").isNull(), "blank").otherwise("wrong")
-    return joined.select(F.lit(table).alias("table"), "key", "column", F.coalesce("e.bozma", F.lit("temiz")).alias("corruption"), F.coalesce("e.kurtarilabilir", F.lit(True)).alias("recoverable"), F.col("truth").isNull().alias("truth_blank"), outcome.alias("outcome"), "truth", "clean")
+    key, columns = KEYS[table], {c: k for c, k in TABLES[table].items() if c != KEYS[table]}
+    wanted = truth if sample is None else truth.join(sample.select(F.col("key").alias("__key")).distinct(), F.col(key) == F.col("__key"), "left_semi")
+    t = wanted.select(F.col(key).alias("key"), F.struct(*[comparable(F.col(c), k).alias(c) for c, k in columns.items()]).alias("t"))
+    row = F.struct(*[comparable(F.col(c), k).alias(c) for c, k in columns.items()])
+    c = clean.groupBy(F.col(key).alias("k")).agg(F.min_by(row, order).alias("c") if order else F.min(row).alias("c"))
+    place = F.struct(F.col("sira") if "sira" in log.columns else F.lit(0), code_number(F.col("bozma")), "bozma")
+    entries = log.where(F.col("tablo") == table).groupBy(F.col("anahtar").alias("lk"), "sutun").agg(F.max_by(F.struct("bozma", "kurtarilabilir"), place).alias("e"))
+    entries = entries.groupBy("lk").agg(F.map_from_entries(F.collect_list(F.struct("sutun", "e"))).alias("log"))
+    joined = t.join(c, F.col("key") == F.col("k"), "left").join(entries, F.col("key") == F.col("lk"), "left")
+    each = F.array(*[F.struct(F.lit(name).alias("column"), F.col(f"t.{name}").alias("truth"), F.col(f"c.{name}").alias("clean"), F.try_element_at("log", F.lit(name)).alias("e")) for name in columns])
+    cells = joined.select("key", F.col("k").isNotNull().alias("found"), F.explode(each).alias("x")).select("key", "found", "x.*")
+    outcome = F.when(~F.col("found"), "row_missing").when(F.col("clean").eqNullSafe(F.col("truth")), "correct").when(F.col("clean").isNull(), "blank").otherwise("wrong")
+    return cells.select(F.lit(table).alias("table"), "key", "column", F.coalesce("e.bozma", F.lit("temiz")).alias("corruption"), F.coalesce("e.kurtarilabilir", F.lit(True)).alias("recoverable"), F.col("truth").isNull().alias("truth_blank"), outcome.alias("outcome"), "truth", "clean")
 
 
 def rates(outcomes: DataFrame, *by: str) -> DataFrame:
@@ -86,16 +94,38 @@ def row_success(clean: DataFrame, log: DataFrame, key: str) -> DataFrame:
     return found.groupBy(F.col("bozma").alias("corruption")).agg(F.count("*").alias("n"), F.avg(ok.cast("double")).alias("success"))
 
 
-def issues(before: DataFrame, after: DataFrame, table: str, order: str) -> DataFrame:
-    """(tablo, anahtar, sutun, ham, temiz, islem): every cell that cleaning changed, with what was done to it."""
-    columns = list(TABLES[table])
+def issues(before: DataFrame, after: DataFrame, table: str, order: str, decided: DataFrame | None = None) -> DataFrame:
+    """(tablo, anahtar, sutun, ham, temiz, islem): every cell that cleaning changed, with what was done to it.
+
+    A placeholder that stays blank is no entry, one that is filled is turetildi; a text without a value gecersiz; a count that others imply turetildi, and bosaltildi if nothing
+    does; a total that was off yeniden_hesaplandi; a date with several readings varsayilan; any other change duzeltildi. decided: (row_idx, column, islem) of
+    the cells that the rules left open, whose action counts instead.
+    """
+    columns = TABLES[table]
     raw = before.select(order, *[F.col(c).alias(f"r_{c}") for c in columns])
     both = after.select(order, *columns).join(raw, order)
+    taken = F.lit(None).cast("string")
+    if decided is not None:
+        listed = decided.groupBy(F.col("row_idx").alias("__r")).agg(F.map_from_entries(F.collect_list(F.struct("column", "islem"))).alias("__d"))
+        both = both.join(listed, F.col(order) == F.col("__r"), "left")
     changes = []
-    for c in columns:
+    for c, kind in columns.items():
         ham, temiz = F.col(f"r_{c}"), F.col(c).cast("string")
-        action = F.when(temiz.isNull() & (F.coalesce(F.trim(ham), F.lit("")) != ""), "gecersiz").when(temiz.isNotNull() & (F.coalesce(F.trim(ham), F.lit("")) == ""), "turetildi").when(temiz != ham, "duzeltildi")
-        changes.append(F.struct(F.lit(c).alias("sutun"), ham.alias("ham"), temiz.alias("temiz"), action.alias("islem")))
+        text = T.clean(ham)
+        blank = T.is_placeholder(text)
+        lost, other = F.lit("gecersiz"), F.lit("duzeltildi")
+        if kind == "count":
+            read = P.count(text)
+            lost, other = F.when(read.isNotNull(), "bosaltildi").otherwise("gecersiz"), F.when(read.eqNullSafe(F.col(c).cast("int")), "duzeltildi").otherwise("turetildi")
+        elif c == "toplam_tutar":
+            other = F.when(P.money(text).eqNullSafe(F.col(c).cast("decimal(18,2)")), "duzeltildi").otherwise("yeniden_hesaplandi")
+        elif kind == "date":
+            other = F.when(F.size(P.date_candidates(text)) > 1, "varsayilan").otherwise("duzeltildi")
+        same = temiz == ham if kind not in ("money", "ratio", "count") else temiz.try_cast("decimal(24,6)") == ham.try_cast("decimal(24,6)")
+        action = F.when(temiz.isNull(), F.when(~blank, lost)).when(blank, "turetildi").when(~F.coalesce(same, F.lit(False)), other)
+        if decided is not None:
+            taken = F.try_element_at("__d", F.lit(c))
+        changes.append(F.struct(F.lit(c).alias("sutun"), ham.alias("ham"), temiz.alias("temiz"), F.coalesce(taken, action).alias("islem")))
     each = both.select(F.coalesce(KEYS[table], f"r_{KEYS[table]}").alias("anahtar"), F.explode(F.filter(F.array(*changes), lambda x: x["islem"].isNotNull())).alias("x"))
     return each.select(F.lit(table).alias("tablo"), "anahtar", "x.*")
 

@@ -12,7 +12,7 @@ TABLES = {
 }
 KEYS = {"musteriler": "musteri_id", "urunler": "urun_id", "siparisler": "siparis_id"}
 ID_FORMATS = {"musteri_id": ("M", 5), "urun_id": ("U", 4), "siparis_id": ("S", 6)}
-#: The closed lists of the option columns, and short forms of their values.
+#: The closed lists of the option columns.
 OPTIONS = {
     "cinsiyet": ["Kadın", "Erkek"],
     "kategori": ["Elektronik", "Giyim", "Ev & Yaşam", "Kozmetik", "Kitap", "Spor & Outdoor", "Oyuncak", "Süpermarket"],
@@ -20,6 +20,7 @@ OPTIONS = {
     "kargo_firmasi": ["Yurtiçi Kargo", "Aras Kargo", "MNG Kargo", "PTT Kargo", "Sürat Kargo", "Trendyol Express", "HepsiJet"],
     "durum": ["Teslim Edildi", "Kargoda", "Hazırlanıyor", "İptal Edildi", "İade Edildi"],
 }
+#: Short forms and foreign words that stand for an option, as the exports have them.
 SYNONYMS = {
     "cinsiyet": {"k": "Kadın", "bayan": "Kadın", "f": "Kadın", "e": "Erkek", "bay": "Erkek", "m": "Erkek"},
     "durum": {"teslim": "Teslim Edildi", "iptal": "İptal Edildi", "iade": "İade Edildi", "delivered": "Teslim Edildi", "cancelled": "İptal Edildi", "returned": "İade Edildi", "shipped": "Kargoda"},
@@ -27,11 +28,17 @@ SYNONYMS = {
     "kategori": {"market": "Süpermarket"},
 }
 #: Provinces in the order of their plate codes, from 1.
-PROVINCES = """Adana Adıyaman Afyonkarahisar Ağrı Amasya Ankara Antalya Artvin Aydın Balıkesir Bilecik Bingöl Bitlis Bolu Burdur Bursa
-Çanakkale Çankırı Çorum Denizli Diyarbakır Edirne Elazığ Erzincan Erzurum Eskişehir Gaziantep Giresun Gümüşhane Hakkari Hatay Isparta
-Mersin İstanbul İzmir Kars Kastamonu Kayseri Kırklareli Kırşehir Kocaeli Konya Kütahya Malatya Manisa Kahramanmaraş Mardin Muğla Muş
-Nevşehir Niğde Ordu Rize Sakarya Samsun Siirt Sinop Sivas Tekirdağ Tokat Trabzon Tunceli Şanlıurfa Uşak Van Yozgat Zonguldak Aksaray
-Bayburt Karaman Kırıkkale Batman Şırnak Bartın Ardahan Iğdır Yalova Karabük Kilis Osmaniye Düzce""".split()
+PROVINCES = [
+    "Adana", "Adıyaman", "Afyonkarahisar", "Ağrı", "Amasya", "Ankara", "Antalya", "Artvin", "Aydın",
+    "Balıkesir", "Bilecik", "Bingöl", "Bitlis", "Bolu", "Burdur", "Bursa", "Çanakkale", "Çankırı",
+    "Çorum", "Denizli", "Diyarbakır", "Edirne", "Elazığ", "Erzincan", "Erzurum", "Eskişehir", "Gaziantep",
+    "Giresun", "Gümüşhane", "Hakkari", "Hatay", "Isparta", "Mersin", "İstanbul", "İzmir", "Kars",
+    "Kastamonu", "Kayseri", "Kırklareli", "Kırşehir", "Kocaeli", "Konya", "Kütahya", "Malatya", "Manisa",
+    "Kahramanmaraş", "Mardin", "Muğla", "Muş", "Nevşehir", "Niğde", "Ordu", "Rize", "Sakarya",
+    "Samsun", "Siirt", "Sinop", "Sivas", "Tekirdağ", "Tokat", "Trabzon", "Tunceli", "Şanlıurfa",
+    "Uşak", "Van", "Yozgat", "Zonguldak", "Aksaray", "Bayburt", "Karaman", "Kırıkkale", "Batman",
+    "Şırnak", "Bartın", "Ardahan", "Iğdır", "Yalova", "Karabük", "Kilis", "Osmaniye", "Düzce",
+]
 #: The districts that occur, by province.
 DISTRICTS = {
     "İstanbul": ["Kadıköy", "Beşiktaş", "Üsküdar", "Şişli", "Bakırköy", "Ataşehir", "Maltepe", "Pendik", "Esenyurt", "Bahçelievler", "Beylikdüzü", "Sarıyer", "Kartal", "Ümraniye", "Fatih", "Beyoğlu", "Başakşehir", "Küçükçekmece"],
@@ -60,7 +67,7 @@ DISTRICTS = {
     "Malatya": ["Battalgazi", "Yeşilyurt"],
 }
 PROVINCE_OF = {district: province for province, districts in DISTRICTS.items() for district in districts}
-#: Bounds [low, high) of dates, the longest delivery in days, and what a count may be.
+#: Bounds [low, high) of dates (the shop's first year, the day of the extract), the longest delivery in days, and what a count may be.
 EARLIEST, EXTRACT = "2015-01-01", "2025-01-01"
 BIRTHS = ("1920-01-01", "2010-12-31")
 LONGEST_DELIVERY, COUNTS = 30, (1, 100)

@@ -416,7 +416,7 @@ def clean_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = F.when(F.col("row_idx") % 3 == 0, "N/A").otherwise(F.concat("toplam_tutar", F.lit(" TL")))
     damaged = records.withColumns({"toplam_tutar": total, "odeme_yontemi": F.when(F.col("row_idx") % 4 == 0, "kk").otherwise("KREDI  KARTI"), "kargo_firmasi": F.lit("aras"), "adet": F.lit("bir")})
     repeated = damaged.unionByName(damaged.where("row_idx % 6 = 0").withColumn("row_idx", F.col("row_idx") + 10_000_000_000))
-    cleaned, _ = cleaning.orders(repeated, cleaning.NoResolver())
+    cleaned, _, _ = cleaning.orders(repeated, cleaning.NoResolver())
     once = entity.keep_first(cleaning.completed(cleaned), "siparis_id", "row_idx")
     return once.select("siparis_id", "musteri_id", "adet", "toplam_tutar", "odeme_yontemi", "kargo_firmasi", "durum")
 

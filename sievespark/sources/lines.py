@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievespark.plans.schema import OPTIONS, TABLES
@@ -15,16 +15,25 @@ _ID_SHAPES = {"siparis_id": r"^S\d{6}$", "musteri_id": r"(?i)^#?m?-?\d{1,5}$", "
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, line) of the text files at path, without byte order mark, header and blank lines.
+    """(line_no, line) of the text files at path, without byte order marks, blank lines and the header that every file begins with.
 
-    line_no grows with the place in the input; the first line of all is the header.
+    line_no grows with the place in the input: files by their path, lines by their place in the file. It is a decimal of file, first byte of
+    the split, row of the split and piece of the row, so that it neither overflows nor collides.
     """
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("part"), F.posexplode(F.split(F.regexp_replace("value", "^﻿", ""), RARE_BREAKS)).alias("piece", "line"))
-    first = rows.agg(F.min(F.struct("part", "piece"))).first()[0]
-    if first is None:
-        return rows.select(F.col("part").alias("line_no"), "line")
-    body = rows.where(~((F.col("part") == first["part"]) & (F.col("piece") == first["piece"])) & (F.trim("line") != ""))
-    return body.select((F.col("part") * 1024 + F.col("piece")).alias("line_no"), "line")
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("row"))
+    rows = rows.select("file", "block", "row", F.posexplode(F.split(F.regexp_replace("value", "^﻿", ""), RARE_BREAKS)).alias("piece", "line"))
+    heads = rows.where("block = 0 and piece = 0").groupBy("file").agg(F.min("row").alias("head"))
+    files = heads.select("file", "head", F.row_number().over(Window.orderBy("file")).alias("n"))  # one row a file
+    body = rows.join(files, "file").where(~((F.col("block") == 0) & (F.col("row") == F.col("head")) & (F.col("piece") == 0)) & (F.trim("line") != ""))
+    return body.select(_place(F.col("n"), (F.col("block"), 10**13), (F.col("row"), 10**10), (F.col("piece"), 10**6)).alias("line_no"), "line")
+
+
+def _place(first: Column, *rest: tuple[Column, int]) -> Column:
+    """One number for several, each of the rest being smaller than its bound."""
+    out = first.cast("decimal(38,0)")
+    for x, bound in rest:
+        out = (out * F.lit(bound).cast("decimal(16,0)") + x).cast("decimal(38,0)")
+    return out
 
 
 def fields(line: Column, separator: str = ",") -> Column:
