@@ -31,7 +31,9 @@ S_LETTER, S_NUMBER, S_OTHER, S_SHORT, S_LONG, S_RUN, S_PREFIX, S_LAST, S_END = r
 # States: what the token that holds the last code point is; two and one code points of a contraction are left; nothing may join.
 IN_LETTERS, IN_NUMBERS, IN_OTHERS, PREFIX, IN_WHITE, LEFT2, LEFT1, CLOSED = range(8)
 #: Code points scanned at once, and the most merged slices a worker remembers.
-CHUNK, CACHED = 1 << 20, 1 << 18
+CHUNK, CACHED = 1 << 18, 1 << 17
+#: Texts that a task holds at a time.
+ROWS = 512
 
 
 def _automaton() -> tuple[np.ndarray, np.ndarray]:
@@ -242,7 +244,7 @@ def encoded(df: DataFrame, path: str, ids: bool = False) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             keys = batch.column(0)
             at = 0

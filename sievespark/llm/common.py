@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def values(column: pa.Array, at_once: int = 256) -> Iterator:
+    """The values of an Arrow column as Python objects, few of them at a time: texts may be long."""
+    for at in range(0, len(column), at_once):
+        yield from column.slice(at, at_once).to_pylist()
+
+
 def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """df, hinted for a broadcast if it has at most so many (narrow) rows; else left to a shuffled join. df is counted: checkpoint it before."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

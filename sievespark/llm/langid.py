@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievespark.llm.common import broadcast_if_small, checkpointed, met, spare, table
+from sievespark.llm.common import broadcast_if_small, checkpointed, met, spare, table, values
 
 #: Buckets of hashed trigrams, and the pseudo-count of a bucket.
 BUCKETS, SMOOTHING = 1 << 14, 0.5
@@ -71,7 +71,7 @@ def trained(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str, int], np.ndarray] = {}
         for batch in batches:
-            for text, lang, side in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for text, lang, side in zip(*(values(c) for c in batch.columns), strict=True):
                 own = sums.setdefault((lang, side), np.zeros(BUCKETS, np.int64))
                 for at in range(0, len(text), CHUNK):
                     found = trigrams(text[at : at + CHUNK])
@@ -101,7 +101,7 @@ def text_likelihoods(items: DataFrame, models: np.ndarray, pages: bool = False)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, k in zip(batch.column(len(others) + 1).to_pylist(), batch.column(len(others)).to_pylist(), strict=True):
+            for text, k in zip(values(batch.column(len(others) + 1)), values(batch.column(len(others))), strict=True):
                 text = visible_text(text) if pages else text or ""
                 total, n = np.zeros(models.shape[2]), 0
                 for at in range(0, len(text), CHUNK):

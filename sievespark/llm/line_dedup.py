@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievespark.llm.common import checkpointed, dealt_join, spare, table
+from sievespark.llm.common import checkpointed, dealt_join, spare, table, values
 
 #: Lines of a window.
 WINDOW = 3
@@ -28,7 +28,7 @@ LONG, LEAST = 24, 12
 PART = r"(?s)(.*?[.!?,;:] |.+)"
 _PART = re.compile(PART)
 #: Windows that a task hands on at a time.
-HANDED = 1 << 17
+HANDED = 1 << 15
 
 
 def _words(text: str) -> int:
@@ -65,7 +65,7 @@ def repeated_windows(df: DataFrame, window: int = WINDOW) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, places, hashes = [], [], []
-            for row, text in enumerate(batch.column(2).to_pylist()):
+            for row, text in enumerate(values(batch.column(2))):
                 at, found = window_hashes(text, window)
                 rows += [row] * len(at)
                 places += at

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievespark.llm.common import checkpointed, met, table
+from sievespark.llm.common import checkpointed, met, table, values
 
 #: The kinds in order and their patterns. A look-behind only keeps a run of digits from being tried again inside. Secrets have
 #: no fixed pattern; their seeds are hexadecimal runs that have digits and letters.
@@ -144,7 +144,7 @@ def scanned(df: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, base, more, places = [[], [], [], []], [], [], []
-            for text in batch.column(2).to_pylist():
+            for text in values(batch.column(2)):
                 text = text or ""
                 spans, hidden = base_spans(text), secrets(text)
                 per_kind = Counter(k for k, _, _ in spans)
@@ -167,7 +167,7 @@ def pattern_counts(df: DataFrame, patterns: frozenset[str] | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in values(batch.column(0)):
                 for line in text.split("\n"):
                     words = line.lower().split()
                     for i, last in enumerate(words[1:-1], 1):

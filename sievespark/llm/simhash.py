@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievespark.llm.common import broadcast_if_small, checkpointed, connected_components, dealt_join, met, spare, table
+from sievespark.llm.common import broadcast_if_small, checkpointed, connected_components, dealt_join, met, spare, table, values
 
 #: Words of a shingle, seed of its hash and bits that linked fingerprints may differ in, as the query's contract has them.
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -57,7 +57,7 @@ def fingerprints(df: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([simhash(shingle_hashes(t, shingle)) for t in batch.column(1).to_pylist()], np.uint64)
+            fps = np.array([simhash(shingle_hashes(t, shingle)) for t in values(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     return df.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(df.dtypes)['doc_id']}, fp long")
@@ -364,7 +364,7 @@ def near_duplicates(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: floa
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             same, found = [], []
-            for text in batch.column(2).to_pylist():
+            for text in values(batch.column(2)):
                 words = (text or "").encode().lower().split()
                 same.append(xxhash.xxh3_128_digest(b" ".join(words)))
                 found.append(bands(np.unique(shingle_hashes(text, shingle))))
@@ -372,7 +372,7 @@ def near_duplicates(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: floa
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in batch.column(1).to_pylist()]
+            hashes = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in values(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.list_(pa.int64()))], ["node", "shingles"])
 
     kind = dict(df.dtypes)["doc_id"]

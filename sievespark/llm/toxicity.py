@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievespark.llm.common import broadcast_if_small, checkpointed, table
+from sievespark.llm.common import broadcast_if_small, checkpointed, table, values
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Folds of crc32(doc_id as text) mod 4.
@@ -57,7 +57,7 @@ def token_counts(train: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen = (Counter(), Counter())
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, toxic in zip(values(batch.column(0)), values(batch.column(1)), strict=True):
                 own = {""}
                 for word in set(WORDS.findall(text.lower())):
                     own.update(tokens(word))
@@ -76,7 +76,7 @@ def credits(train: DataFrame, odds: dict[str, float]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dealt = Counter()
-            for text in batch.column(0).to_pylist():
+            for text in values(batch.column(0)):
                 best = {t for word in set(WORDS.findall(text.lower())) if (t := max(tokens(word), key=lambda x: odds.get(x, 0.0))) in odds}
                 whole = sum(np.exp(odds[t]) for t in best)
                 for t in best:
@@ -163,7 +163,7 @@ def segments(docs: DataFrame, odds: dict[str, float]) -> DataFrame:
         scorer = Scorer(odds)
         for batch in batches:
             lengths, found = [], []
-            for text in batch.column(1).to_pylist():
+            for text in values(batch.column(1)):
                 low = (text or "").lower()
                 scores = np.array([scorer[w] for w in WORDS.findall(low)], float)
                 runs = maximal_segments(scores)
