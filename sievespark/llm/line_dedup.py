@@ -50,12 +50,12 @@ def cut(text: str) -> tuple[list[str], list[int], list[bool]]:
 def window_hashes(text: str, window: int = WINDOW) -> tuple[list[int], list[bytes]]:
     """The places of the windows that count, and their 128-bit hashes."""
     parts, _, whole = cut(text)
-    bare, at, hashes = [p.strip(" ") for p in parts], [], []
+    bare = [p.strip(" ").encode() for p in parts]
+    sizes, at, hashes = [len(p.split()) for p in bare], [], []
     for i in range(len(bare) - window + 1):
-        run = "\n".join(bare[i : i + window])
-        if all(whole[i : i + window]) or _words(run) >= LEAST:
+        if sum(sizes[i : i + window]) >= LEAST or all(whole[i : i + window]):
             at.append(i)
-            hashes.append(xxhash.xxh3_128_digest(run.encode()))
+            hashes.append(xxhash.xxh3_128_digest(b"\n".join(bare[i : i + window])))
     return at, hashes
 
 
