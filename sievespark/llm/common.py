@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,14 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage with files in the shared checkpoint folder, which the session names in ``spark.checkpoint.dir``.
 
-    A session that names none raises an error: a folder of one machine would lose the files of the others.
+    A local session that names none (a test) gets one of its own; on a cluster that raises an error, as a folder of one machine would lose the files of the others.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named:
+        if not named and not context.master.startswith("local"):
             raise ValueError("name a shared folder in spark.checkpoint.dir")
-        context.setCheckpointDir(named)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 
