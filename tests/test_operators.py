@@ -76,6 +76,11 @@ def test_derivation(spark):
     assert out[2]["d"] == Decimal("0.1000") and out[3]["t"] == Decimal("180.00")
 
 
+def test_counts_near_a_whole_number(spark):
+    df = spark.createDataFrame([(9999, Decimal(100), Decimal(0), Decimal(302)), (9999, Decimal(1000), Decimal(0), Decimal(3001))], "q int, p decimal(12,2), d decimal(6,4), t decimal(18,2)")
+    assert [r["q"] for r in df.select(derive.repaired_count(*(F.col(c) for c in "qpdt")).alias("q")).collect()] == [None, 3]
+
+
 def test_votes_and_modes(spark):
     df = spark.createDataFrame([("a", "K", 1), ("a", "K", 2), ("a", "K", 3), ("b", "K", 4), ("b", "K", 5), ("c", "K", 6), ("c", "E", 7), (None, "E", 8)], "n string, g string, o long")
     assert {r["n"]: r["voted"] for r in derive.voted(df, "n", "g").collect()} == {"a": "K"}

@@ -62,6 +62,10 @@ def test_contacts_and_identifiers(spark):
     assert apply(spark, P.email_text, ["  AYSE@GMAIL.COM ", "ayse@@gmail.com", "ayse@gmail,com"]) == ["ayse@gmail.com"] * 3
 
 
+def test_identifiers_with_white_space(spark):
+    assert apply(spark, lambda s: P.identifier(s, "M", 5), ["# 41", "m - 00041", "M 41 ", "4 1", "41x"]) == ["M00041"] * 4 + [None]
+
+
 def test_indel(spark):
     df = spark.createDataFrame([("gmial", "gmail"), ("", ""), ("", "a"), ("abc", "abc")], "a string, b string")
     assert [r[0] for r in df.select(similarity.indel_ratio(F.col("a"), F.col("b")).alias("x")).collect()] == [80.0, 100.0, 0.0, 100.0]
