@@ -341,6 +341,17 @@ def test_languages(spark):
     assert langid.keep_accepted(df.limit(0)).count() == 0
 
 
+def test_undetermined_and_hidden_languages(spark):
+    rng = random.Random(2)
+    en, fr = "the thing of that and this with other they have".split(), "les choses que nous avons dans la maison une autre".split()
+    text = lambda words: " ".join(rng.choices(words, k=30))
+    rows = [(i, text(en), "en" if i < 150 else None, "a") for i in range(200)] + [(1000 + i, text(fr), "fr" if i < 150 else None, "b") for i in range(200)]
+    rows += [(5000, "人人生而自由在尊严和权利上一律平等" * 4, None, "a"), (5001, " ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=6)) for _ in range(40)), None, "b")]
+    out = {r["doc_id"]: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(out[i]["lang"] == ("en" if i < 1000 else "fr") and out[i]["accepted"] for i, *_ in rows if i < 5000)  # a quarter of them judged without a label
+    assert not out[5000]["accepted"] and not out[5001]["accepted"]
+
+
 def test_maximal_segments():
     assert toxicity.maximal_segments(np.array([4, -5, 3, -3, 1, 2, -2, 2, -2, 1, 5.0])) == [(0, 1, 4.0), (2, 3, 3.0), (4, 11, 7.0)]
     assert toxicity.maximal_segments(np.zeros(0)) == []
