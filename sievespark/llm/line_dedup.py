@@ -78,9 +78,13 @@ def repeated_windows(df: DataFrame, window: int = WINDOW) -> DataFrame:
 
     texts = df.where("text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     each = texts.mapInArrow(run, f"doc_id {dict(df.dtypes)['doc_id']}, text_hash long, pos int, h1 long, h2 long")
+    # which hashes stand in several places takes half of each only; whole ones are compared among the few windows that are left
+    place = F.xxhash64("doc_id", "text_hash", "pos")
+    several = each.groupBy("h1").agg(F.min(place).alias("least"), F.max(place).alias("most"), F.count("*").alias("n")).where("least <> most")
+    some = checkpointed(dealt_join(each, checkpointed(several.select("h1", "n")), ["h1"], F.col("text_hash")))
     at = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("d"), F.col("text_hash").alias("t"), F.col("pos").alias("p"))
-    firsts = checkpointed(each.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("n")).where("first <> last").select("h1", "h2", "first", "n"))
-    again = dealt_join(each, firsts, ["h1", "h2"], F.col("text_hash")).where(at != F.col("first"))
+    firsts = checkpointed(some.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count("*").alias("n")))
+    again = dealt_join(some, firsts, ["h1", "h2"], F.col("text_hash")).where(at != F.col("first"))
     return again.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("positions"))
 
 
