@@ -39,6 +39,13 @@ def values(column: pa.Array, at_once: int = 256) -> Iterator:
         yield from column.slice(at, at_once).to_pylist()
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, so that what a task makes of long texts is handed on in small pieces."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """df, hinted for a broadcast if it has at most so many (narrow) rows; else left to a shuffled join. df is counted: checkpoint it before."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

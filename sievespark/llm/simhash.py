@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievespark.llm.common import broadcast_if_small, checkpointed, connected_components, dealt_join, met, spare, table, values
+from sievespark.llm.common import broadcast_if_small, checkpointed, connected_components, dealt_join, met, sliced, spare, table, values
 
 #: Words of a shingle, seed of its hash and bits that linked fingerprints may differ in, as the query's contract has them.
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -362,7 +362,7 @@ def near_duplicates(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: floa
     """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             same, found = [], []
             for text in values(batch.column(2)):
                 words = (text or "").encode().lower().split()
@@ -371,7 +371,7 @@ def near_duplicates(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: floa
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "text_hash", "same", "bands"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             hashes = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in values(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.list_(pa.int64()))], ["node", "shingles"])
 
