@@ -88,7 +88,7 @@ def row_summary(truth: DataFrame, clean: DataFrame, key: str) -> DataFrame:
 
 def row_success(clean: DataFrame, log: DataFrame, key: str) -> DataFrame:
     """(corruption, n, success): repeated rows (B2) must be left once, broken ones (B14) at least once."""
-    rows = log.where("sutun = '*satir*' and bozma in ('B2', 'B14')").select("bozma", F.col("anahtar").alias("k"))
+    rows = log.where("sutun = '*satir*' and bozma in ('B2', 'B14')").select("bozma", F.col("anahtar").alias("k")).distinct()
     found = rows.join(clean.groupBy(F.col(key).alias("k")).count(), "k", "left")
     ok = F.when(F.col("bozma") == "B2", F.coalesce("count", F.lit(0)) == 1).otherwise(F.coalesce("count", F.lit(0)) >= 1)
     return found.groupBy(F.col("bozma").alias("corruption")).agg(F.count("*").alias("n"), F.avg(ok.cast("double")).alias("success"))
@@ -134,8 +134,32 @@ def issue_statistics(log: DataFrame) -> DataFrame:
     return log.groupBy("tablo", "islem").agg(F.count("*").alias("n"))
 
 
+def scorecard(cells: DataFrame, pairs: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """(place, measure, detail, n, value): what a reader of the scores wants first, ordered by place.
+
+    corrected: share of the n damaged cells that can be recovered and are right. fabricated: n wrong values where nothing can be known, and their rate. clean_damaged: share of
+    the n undamaged cells that aren't right. pairs_f1 from pair_scores and recovered_rows from row_success, if given. corrected_kind: the first one by kind, in the order of the codes' numbers.
+    """
+    right = F.count_if(F.col("outcome") == "correct")
+    groups = cells.groupBy("recoverable", "corruption").agg(F.count("*").alias("n"), right.alias("right"))
+    dirty = F.col("corruption") != "temiz"
+    share = lambda a: F.when(F.col("n") > 0, a / F.when(F.col("n") > 0, F.col("n"))).otherwise(0.0)
+    entry = lambda place, measure, detail, value: (place.alias("place"), F.lit(measure).alias("measure"), detail.alias("detail"), F.col("n").cast("long").alias("n"), value.cast("double").alias("value"))
+    none = F.lit("")
+    total = lambda test: groups.where(test).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("right"), F.lit(0)).alias("right"))
+    out = total(dirty & F.col("recoverable")).select(*entry(F.lit(1), "corrected", none, share(F.col("right"))))
+    out = out.unionByName(fabrication(cells).withColumn("n", F.col("fabricated")).select(*entry(F.lit(2), "fabricated", none, F.col("rate"))))
+    out = out.unionByName(total(~dirty).select(*entry(F.lit(3), "clean_damaged", none, share(F.col("n") - F.col("right")))))
+    if pairs is not None:
+        out = out.unionByName(pairs.withColumn("n", F.col("true_pairs")).select(*entry(F.lit(4), "pairs_f1", none, F.col("f1"))))
+    if rows is not None:
+        out = out.unionByName(rows.select(*entry(F.lit(5), "recovered_rows", F.col("corruption"), F.col("success"))))
+    kinds = groups.where(dirty & F.col("recoverable")).select(*entry(10 + F.coalesce(code_number(F.col("corruption")), F.lit(0)), "corrected_kind", F.col("corruption"), share(F.col("right"))))
+    return out.unionByName(kinds).orderBy("place", "detail")
+
+
 def error_sample(outcomes: DataFrame, log: DataFrame, n: int = 500) -> DataFrame:
-    """The first n wrong or blank cells by key and column, with the corrupted text."""
-    bad = outcomes.where(F.col("outcome").isin("wrong", "blank"))
+    """The first n wrong or blank cells by key and column, with the corrupted text. A blank where nothing can be known is no error."""
+    bad = outcomes.where((F.col("outcome") == "wrong") | ((F.col("outcome") == "blank") & F.col("recoverable")))
     text = log.select(F.col("tablo").alias("t"), F.col("anahtar").alias("k"), F.col("sutun").alias("c"), F.col("bozuk").alias("corrupted"))
     return bad.join(text, (F.col("table") == F.col("t")) & (F.col("key") == F.col("k")) & (F.col("column") == F.col("c")), "left").drop("t", "k", "c").orderBy("table", "key", "column").limit(n)

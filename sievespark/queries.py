@@ -365,6 +365,14 @@ def fabrication_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.fabrication(_outcomes(spark, sf_dir))
 
 
+@query(f"""select 1 as place, 'corrected' as measure, '' as detail, count(*) as n, avg(case when outcome = 'correct' then 1.0 else 0 end) as "value" from ({_CELLS}) where corruption <> 'temiz' and recoverable
+ union all select 2, 'fabricated', '', 0, 0.0
+ union all select 3, 'clean_damaged', '', count(*) filter (corruption = 'temiz') + 10 * count(*), (count(*) filter (corruption = 'temiz' and outcome <> 'correct') + 10 * count(*) filter (outcome = 'row_missing')) / (count(*) filter (corruption = 'temiz') + 10.0 * count(*)) from ({_CELLS})
+ union all select 10 + cast(substr(corruption, 2) as integer), 'corrected_kind', corruption, count(*), avg(case when outcome = 'correct' then 1.0 else 0 end) from ({_CELLS}) where corruption <> 'temiz' and recoverable group by corruption""")
+def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scorecard(_outcomes(spark, sf_dir))
+
+
 @query("""select 'B2' as corruption, count(*) as n, avg(case when o_orderkey % 5 = 0 then 0.0 else 1.0 end) as success from orders where o_orderkey % 3 = 0
  union all select 'B14', count(*), avg(case when o_orderkey % 7 = 0 then 0.0 else 1.0 end) from orders where o_orderkey % 3 = 1""")
 def row_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
