@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from sievespark.llm.line_dedup import LEAST, LONG, PART
 from sievespark.llm.mixing import REPEATS, SHARE, WEIGHTS
+from sievespark.llm.resample import BUCKETS, LEAST as DRAWN_LEAST, PERCENT, SEED
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -80,4 +81,40 @@ select conv_id, cast(id as varchar) as call_id, case when call_turn is null then
 from checked
 """
 
-ORACLE_SQL = {"op1_tool_calls": TOOL_CALLS, "op3_line_dedup": LINE_DEDUP, "op10_mixing": MIXING}
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PARTS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+RESAMPLING = f"""
+with recursive steps as (
+  select i::bigint as i, 0 as bit, i::bigint as c from range(256) t(i)
+  union all select i, bit + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end from steps where bit < 8
+), codes as (
+  select list(c order by i) as code from steps where bit = 8
+), words as (
+  select 0 as target, doc_id, unnest(regexp_extract_all({_LOWER}, '{_PARTS}')) as word from documents union all
+  select 1, item_id, unnest(regexp_extract_all({_LOWER}, '{_PARTS}')) from benchmark
+), hexed as (
+  select word, hex(encode(word)) as h from (select distinct word from words)
+), buckets as (
+  select word, cast(xor(list_reduce(
+    list_concat([4294967295::bigint], list_transform(range(0, len(h) // 2), lambda i: ((instr('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 1)::bigint)),
+    lambda c, b: xor(c >> 8, code[(xor(c, b) & 255) + 1])), 4294967295::bigint) % {BUCKETS} as bigint) as bucket from hexed, codes
+), counts as (
+  select bucket, count(*) filter (where target = 0) as s, count(*) filter (where target = 1) as t from words join buckets using (word) group by bucket
+), totals as (
+  select sum(s) as s, sum(t) as t from counts
+), gains as (
+  select bucket, cast(floor(1000 * ln((c.t + 1)::double * (a.s + {BUCKETS})::double / ((c.s + 1)::double * (a.t + {BUCKETS})::double))) as bigint) as gain from counts c, totals a
+), weights as (
+  select doc_id, count(*) as n_features, cast(floor(sum(gain)::double / count(*)) as bigint) as weight from words join buckets using (word) join gains using (bucket) where target = 0 group by doc_id
+), noise as (
+  select doc_id, cast('0x' || substr(sha256('{SEED}:' || coalesce(doc_id::varchar, '')), 1, 8) as bigint) as h from documents
+), scored as (
+  select n.doc_id, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight, coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double))) as bigint) as score from noise n left join weights w on n.doc_id = w.doc_id
+), placed as (
+  select *, row_number() over (partition by n_features >= {DRAWN_LEAST} order by score desc, doc_id) as place, count(*) over (partition by n_features >= {DRAWN_LEAST}) as able from scored
+)
+select doc_id, n_features, weight, score, case when n_features >= {DRAWN_LEAST} and place <= able * {PERCENT} // 100 then place end as rank from placed
+"""
+
+ORACLE_SQL = {"op1_tool_calls": TOOL_CALLS, "op3_line_dedup": LINE_DEDUP, "op10_mixing": MIXING, "op12_resampling": RESAMPLING}

@@ -10,9 +10,12 @@ from sievespark.llm.line_dedup import op3_line_dedup
 from sievespark.llm.media import op8_media_columns
 from sievespark.llm.mixing import op10_mixing
 from sievespark.llm.oracles import ORACLE_SQL
+from sievespark.llm.packing import op13_packing
 from sievespark.llm.pii import op7_personal_data
+from sievespark.llm.resample import op12_resampling
 from sievespark.llm.simhash import op2_simhash
 from sievespark.llm.toxicity import op6_toxicity
+from sievespark.llm.whitening import op11_whitening
 
 QUERIES = {
     "op1_tool_calls": op1_tool_calls,
@@ -25,5 +28,8 @@ QUERIES = {
     "op8_media_columns": op8_media_columns,
     "op9_language_id": op9_language_id,
     "op10_mixing": op10_mixing,
+    "op11_whitening": op11_whitening,
+    "op12_resampling": op12_resampling,
+    "op13_packing": op13_packing,
 }
 __all__ = ["ORACLE_SQL", "QUERIES"]
