@@ -10,10 +10,11 @@ workers at a time and fill bins again, until one task has the last few, which ar
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,10 @@ CAPACITY, END, SLACK = 2048, 1, 32
 FAN = 8
 #: Texts that are cut at blanks at a time, chunks of text that a worker remembers, the longest of them, and tokens of a batch it hands on.
 TEXTS, CACHED, KEPT, TOKENS = 64, 1 << 17, 64, 1 << 19
+#: Lower-case letters whose words are sent to the merges directly. Their capitals, however composed, normalise to them.
+_LETTERS = "".join(map(chr, [*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100)]))
+_MARKS = ",.;:!?"
+_WORD = re.compile(f"([{_LETTERS}]{{1,64}})([{_MARKS}]?)").fullmatch
 _COLUMNS = ["doc_id", "start", "ids", "doc_tokens", "sequence_id", "offset"]
 
 
@@ -38,26 +43,48 @@ def _tokenizer(path: str) -> Chunks:
     return Chunks(Tokenizer.from_file(path))
 
 
-class Chunks(dict):
-    """chunk between blanks -> its ids as little-endian 32-bit bytes. The tokenizer parts words at white space, so a text's ids are those of its chunks in order."""
+class Chunks:
+    """Ids of texts as little-endian 32-bit bytes, by their chunks between blanks: the tokenizer parts words at white space, so a text's ids are those of its chunks in order.
+
+    Chunks met lately are remembered in two generations: when the newer one is full it becomes the older one, and what is met again moves over. A chunk of Latin letters, with at most a mark after them, is
+    one word, which goes to the tokenizer's merges at once if that is found to give the same ids at the start; any other goes through all of the tokenizer.
+    """
 
     def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
+        from tokenizers import pre_tokenizers
+
+        self.tokenizer, self.new, self.old = tokenizer, {}, {}
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.merges, self.letters = tokenizer.model, {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in _LETTERS}
+        some = [*_LETTERS, *("".join(_LETTERS[(i * j + i) % len(_LETTERS)] for j in range(9)) for i in range(500))]
+        self.marks = dict(zip(["", *_MARKS], self.whole(["", *_MARKS]), strict=True))
+        self.direct = [self.word(c) for c in some] == self.whole(some)
+
+    def word(self, letters: str) -> bytes:
+        return array("I", [t.id for t in self.merges.tokenize(letters.translate(self.letters))]).tobytes()
+
+    def whole(self, chunks: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [text.replace("\n", " ").split(" ") for text in texts]
-        new = list({c for some in parts for c in some if c not in self})
-        if len(self) + len(new) > CACHED:
-            self.clear()
-            new = list({c for some in parts for c in some})
-        for at in range(0, len(new), 1024):
-            found = self.tokenizer.encode_batch_fast(new[at : at + 1024], add_special_tokens=False)
-            self.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(new[at : at + 1024], found, strict=True))
-        out = [b"".join([self[c] for c in some]) for some in parts]
-        for c in new:
+        parts = [(text.lower() if text.isascii() else text).replace("\n", " ").split(" ") for text in texts]
+        if len(self.new) > CACHED:
+            self.new, self.old = {}, self.new
+        new, old, rest = self.new, self.old, []
+        for chunk in set().union(*parts).difference(new):
+            if chunk in old:
+                new[chunk] = old[chunk]
+            elif self.direct and (plain := _WORD(chunk.lower())):
+                word, mark = plain.groups()
+                new[chunk] = (new.get(word) or self.word(word)) + self.marks[mark]
+            else:
+                rest.append(chunk)
+        for at in range(0, len(rest), 1024):
+            new.update(zip(rest[at : at + 1024], self.whole(rest[at : at + 1024]), strict=True))
+        out = [b"".join([new[c] for c in some]) for some in parts]
+        for c in rest:
             if len(c) > KEPT:
-                del self[c]
+                del new[c]
         return out
 
 
