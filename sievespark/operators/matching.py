@@ -105,23 +105,34 @@ def spellings(df: DataFrame, column: str, order: str) -> DataFrame:
     return counted.groupBy("key").agg(F.min_by("spelling", F.struct(-F.col("n"), "o")).alias("spelling"))
 
 
+def blanked(key: Column, mask: Column) -> Column:
+    """The key with a question mark wherever the mask has one; both of one length."""
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(mask)), lambda i: F.when(F.substr(mask, i, F.lit(1)) == "?", "?").otherwise(F.substr(key, i, F.lit(1)))), "")
+
+
+def completions(wild: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(wild, spelling) for the texts with question marks, distinct, that just one key of the dictionary (key, spelling) fits letter by letter.
+
+    The places of the question marks are a text's mask. Keys are blanked by each mask of their length that occurs, once for all texts that share it, and the blanked keys, counted, meet the
+    texts in an equi-join: no text meets keys that merely have its length, and a text of nothing but question marks, which all keys of its length fit, is one row after the count.
+    """
+    masked = wild.select("wild", F.regexp_replace("wild", r"[^?]", ".").alias("mask"))
+    masks = masked.select("mask", F.length("mask").alias("n")).distinct()
+    keys = dictionary.select("key", "spelling", F.length("key").alias("n"))
+    once = keys.join(masks, "n").groupBy(blanked(F.col("key"), F.col("mask")).alias("wild")).agg(F.count("*").alias("fits"), F.min("spelling").alias("spelling"))
+    return masked.join(once.where("fits = 1"), "wild").select("wild", "spelling")
+
+
 def repair_words(df: DataFrame, column: str, order: str, titled: bool) -> DataFrame:
     """Adds <column>_words: each word in its key's usual spelling; titled words take a capital. A word with question marks becomes the only
-    word of that length that fits; if there is none, or several, the cell is null, as placeholders are. Damaged words meet the others by their length and
-    first letter where that is known, else by length and last letter, else by length alone."""
+    word of that length that fits; if there is none, or several, the cell is null, as placeholders are."""
     words = df.where(F.col(column).isNotNull() & ~T.is_placeholder(F.col(column))).select(F.col(order).alias("o"), F.posexplode(F.split(column, " ")).alias("pos", "word"))
     words = words.withColumn("word", F.when(F.lit(titled), T.title(F.col("word"))).otherwise(F.col("word")))
     usual = spellings(words.withColumn("seq", F.struct("o", "pos")), "word", "seq")
     plain = words.where(~F.col("word").contains("?")).withColumn("key", T.key(F.col("word"))).join(usual, "key", "left").select("o", "pos", F.coalesce("spelling", "word").alias("fixed"))
     damaged = words.where(F.col("word").contains("?")).withColumn("wild", T.wildcard_key(F.col("word")))
-    n, first, last = F.length("wild"), F.left("wild", F.lit(1)), F.right("wild", F.lit(1))
-    way = F.when(first != "?", F.concat_ws("<", n, first)).when(last != "?", F.concat_ws(">", n, last)).otherwise(n.cast("string"))
-    patterns = damaged.select("wild").distinct().withColumn("way", way)
-    m = F.length("key")
-    ways = usual.withColumn("way", F.explode(F.array(F.concat_ws("<", m, F.left("key", F.lit(1))), F.concat_ws(">", m, F.right("key", F.lit(1))), m.cast("string"))))
-    fits = patterns.join(ways, "way").where(F.regexp_like("key", F.concat(F.lit("^"), F.replace(F.col("wild"), F.lit("?"), F.lit(".")), F.lit("$"))))
-    one = fits.groupBy("wild").agg(F.count("*").alias("n"), F.first("spelling").alias("fixed")).where("n = 1").drop("n")
-    mended = damaged.join(one, "wild", "left").select("o", "pos", "fixed")
+    found = completions(damaged.select("wild").distinct(), usual)
+    mended = damaged.join(found, "wild", "left").select("o", "pos", F.col("spelling").alias("fixed"))
     every = plain.unionByName(mended).groupBy("o").agg(F.array_sort(F.collect_list(F.struct("pos", "fixed"))).alias("w"))
     whole = F.when(F.forall("w", lambda x: x["fixed"].isNotNull()), F.array_join(F.transform("w", lambda x: x["fixed"]), " "))
     return df.join(every.select(F.col("o").alias("__o"), whole.alias(f"{column}_words")), F.col(order) == F.col("__o"), "left").drop("__o")

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievespark.functions import parsers as P
-from sievespark.functions import text as T
 from sievespark.plans.schema import KEYS, TABLES
 
 OUTCOMES = ("correct", "blank", "wrong", "row_missing")
@@ -94,42 +92,6 @@ def row_success(clean: DataFrame, log: DataFrame, key: str) -> DataFrame:
     return found.groupBy(F.col("bozma").alias("corruption")).agg(F.count("*").alias("n"), F.avg(ok.cast("double")).alias("success"))
 
 
-def issues(before: DataFrame, after: DataFrame, table: str, order: str, decided: DataFrame | None = None) -> DataFrame:
-    """(tablo, anahtar, sutun, ham, temiz, islem): every cell that cleaning changed, with what was done to it.
-
-    A placeholder that stays blank is no entry, one that is filled is turetildi; a text without a value gecersiz; a count that others imply turetildi, and bosaltildi if nothing
-    does; a total that was off yeniden_hesaplandi; a date with several readings varsayilan; any other change duzeltildi. decided: (row_idx, column, islem) of
-    the cells that the rules left open, whose action counts instead.
-    """
-    columns = TABLES[table]
-    raw = before.select(order, *[F.col(c).alias(f"r_{c}") for c in columns])
-    both = after.select(order, *columns).join(raw, order)
-    taken = F.lit(None).cast("string")
-    if decided is not None:
-        listed = decided.groupBy(F.col("row_idx").alias("__r")).agg(F.map_from_entries(F.collect_list(F.struct("column", "islem"))).alias("__d"))
-        both = both.join(listed, F.col(order) == F.col("__r"), "left")
-    changes = []
-    for c, kind in columns.items():
-        ham, temiz = F.col(f"r_{c}"), F.col(c).cast("string")
-        text = T.clean(ham)
-        blank = T.is_placeholder(text)
-        lost, other = F.lit("gecersiz"), F.lit("duzeltildi")
-        if kind == "count":
-            read = P.count(text)
-            lost, other = F.when(read.isNotNull(), "bosaltildi").otherwise("gecersiz"), F.when(read.eqNullSafe(F.col(c).cast("int")), "duzeltildi").otherwise("turetildi")
-        elif c == "toplam_tutar":
-            other = F.when(P.money(text).eqNullSafe(F.col(c).cast("decimal(18,2)")), "duzeltildi").otherwise("yeniden_hesaplandi")
-        elif kind == "date":
-            other = F.when(F.size(P.date_candidates(text)) > 1, "varsayilan").otherwise("duzeltildi")
-        same = temiz == ham if kind not in ("money", "ratio", "count") else temiz.try_cast("decimal(24,6)") == ham.try_cast("decimal(24,6)")
-        action = F.when(temiz.isNull(), F.when(~blank, lost)).when(blank, "turetildi").when(~F.coalesce(same, F.lit(False)), other)
-        if decided is not None:
-            taken = F.try_element_at("__d", F.lit(c))
-        changes.append(F.struct(F.lit(c).alias("sutun"), ham.alias("ham"), temiz.alias("temiz"), F.coalesce(taken, action).alias("islem")))
-    each = both.select(F.coalesce(KEYS[table], f"r_{KEYS[table]}").alias("anahtar"), F.explode(F.filter(F.array(*changes), lambda x: x["islem"].isNotNull())).alias("x"))
-    return each.select(F.lit(table).alias("tablo"), "anahtar", "x.*")
-
-
 def issue_statistics(log: DataFrame) -> DataFrame:
     return log.groupBy("tablo", "islem").agg(F.count("*").alias("n"))
 

@@ -158,7 +158,12 @@ def test_cleaning_run(spark):
     assert str(o["S000002"]["birim_fiyat"]) == "1250.50" and o["S000002"]["indirim_orani"] == 0 and str(o["S000002"]["siparis_tarihi"]) == "2024-03-05"
     assert [tuple(r) for r in got.mapping.collect()] == [("M02501", "M00001")]
     assert {r["column"] for r in got.uncertain.collect()} == {"kategori", "siparis_tarihi"}
-    assert {r["islem"] for r in got.statistics().collect()} >= {"duzeltildi", "turetildi", "gecersiz"}
+    log = [(r["anahtar"], r["sutun"], r["ham"], r["temiz"], r["islem"]) for r in got.issues.orderBy("tablo", "anahtar", "sira").collect()]
+    assert [e for e in log if e[0] == "S000002" and e[1] not in ("odeme_yontemi", "kargo_firmasi", "durum")] == [("S000002", "siparis_tarihi", "05/03/2024", "2024-03-05", "belirsiz_varsayilan"), ("S000002", "birim_fiyat", None, "1250.50", "turetildi"), ("S000002", "indirim_orani", None, "0.00", "turetildi")]
+    assert ("M00002", "dogum_tarihi", "1800-01-01", None, "gecersiz") in log and ("M02501", "il", None, "İstanbul", "turetildi") in log and ("U0001", "birim_fiyat", None, "100.00", "turetildi") in log
+    counts = got.counters.values()
+    assert {r["tablo"] + "." + r["islem"]: r["n"] for r in got.statistics().collect()} == {k: v for k, v in counts.items() if "." in k and v and not k.endswith("ham_satir")}
+    assert (counts["siparisler.ham_satir"], counts["belirsiz_hucre"], counts["belirsiz_cift"], counts["birlesen_musteri"], counts["silinen_tekrar_siparis"]) == (3, got.uncertain.count(), 0, 1, 1)
     answered = cleaning.TableResolver(spark.createDataFrame([("urunler:U0003:kategori:2", "Oyuncak"), ("siparisler:S000002:siparis_tarihi:2", "2024-05-03")], "id string, answer string"))
     again = cleaning.clean(table(spark, "musteriler", customers), table(spark, "urunler", products), table(spark, "siparisler", orders), answered)
     assert again.products.where("urun_id = 'U0003'").first()["kategori"] == "Oyuncak"
