@@ -26,8 +26,8 @@ from sievespark.llm.common import checkpointed, sliced, table, values
 CAPACITY, END, SLACK = 2048, 1, 32
 #: Workers whose open bins one worker goes on with.
 FAN = 8
-#: Texts that are cut at blanks at a time, chunks of text that a worker remembers, the longest of them, and tokens of a batch it hands on.
-TEXTS, CACHED, KEPT, TOKENS = 64, 1 << 17, 64, 1 << 19
+#: Texts read at a time, chunks of text that a worker remembers, the longest of them, and tokens of a batch it hands on.
+TEXTS, CACHED, KEPT, TOKENS = 64, 1 << 18, 64, 1 << 19
 #: Lower-case letters whose words are sent to the merges directly. Their capitals, however composed, normalise to them.
 _LETTERS = "".join(map(chr, [*range(0x61, 0x7B), *range(0xDF, 0xF7), *range(0xF8, 0x100)]))
 _MARKS = ",.;:!?"
@@ -43,7 +43,7 @@ def _tokenizer(path: str) -> Chunks:
     return Chunks(Tokenizer.from_file(path))
 
 
-class Chunks:
+class Chunks(dict):
     """Ids of texts as little-endian 32-bit bytes, by their chunks between blanks: the tokenizer parts words at white space, so a text's ids are those of its chunks in order.
 
     Chunks met lately are remembered in two generations: when the newer one is full it becomes the older one, and what is met again moves over. A chunk of Latin letters, with at most a mark after them, is
@@ -53,7 +53,8 @@ class Chunks:
     def __init__(self, tokenizer):
         from tokenizers import pre_tokenizers
 
-        self.tokenizer, self.new, self.old = tokenizer, {}, {}
+        super().__init__()
+        self.tokenizer, self.old = tokenizer, {}
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.merges, self.letters = tokenizer.model, {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in _LETTERS}
         some = [*_LETTERS, *("".join(_LETTERS[(i * j + i) % len(_LETTERS)] for j in range(9)) for i in range(500))]
@@ -66,26 +67,24 @@ class Chunks:
     def whole(self, chunks: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [(text.lower() if text.isascii() else text).replace("\n", " ").split(" ") for text in texts]
-        if len(self.new) > CACHED:
-            self.new, self.old = {}, self.new
-        new, old, rest = self.new, self.old, []
-        for chunk in set().union(*parts).difference(new):
-            if chunk in old:
-                new[chunk] = old[chunk]
-            elif self.direct and (plain := _WORD(chunk.lower())):
+    def __missing__(self, chunk: str) -> bytes:
+        found = self.old.get(chunk)
+        if found is None:
+            plain = _WORD(chunk.lower()) if self.direct else None
+            if plain:
                 word, mark = plain.groups()
-                new[chunk] = (new.get(word) or self.word(word)) + self.marks[mark]
+                found = self.word(word) if chunk == word else self[word] + self.marks[mark]
             else:
-                rest.append(chunk)
-        for at in range(0, len(rest), 1024):
-            new.update(zip(rest[at : at + 1024], self.whole(rest[at : at + 1024]), strict=True))
-        out = [b"".join([new[c] for c in some]) for some in parts]
-        for c in rest:
-            if len(c) > KEPT:
-                del new[c]
-        return out
+                found = self.whole([chunk])[0]
+        if len(chunk) <= KEPT:
+            self[chunk] = found
+        return found
+
+    def encode(self, text: str) -> bytes:
+        if len(self) > CACHED:
+            self.old = dict(self)
+            self.clear()
+        return b"".join([self[c] for c in (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")])
 
 
 def cuts(n: int, capacity: int = CAPACITY, slack: int = SLACK) -> list[tuple[int, int]]:
@@ -169,9 +168,8 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, s
     def texts(batches: Iterator[pa.RecordBatch], bins: Bins) -> Iterator[tuple]:
         tokens, last = _tokenizer(path), end.to_bytes(4, "little")
         for batch in sliced(batches, TEXTS):
-            found = tokens.encode([t or "" for t in values(batch.column(1))])
-            for doc_id, ids in zip(batch.column(0).to_pylist(), found, strict=True):
-                ids += last
+            for doc_id, text in zip(batch.column(0).to_pylist(), values(batch.column(1)), strict=True):
+                ids = tokens.encode(text or "") + last
                 for start, length in cuts(len(ids) // 4, capacity, slack):
                     yield from bins.add((doc_id, start, ids[4 * start : 4 * (start + length)], len(ids) // 4))
 
