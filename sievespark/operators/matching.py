@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sievespark.functions import parsers as P
 from sievespark.functions import similarity
 from sievespark.functions import text as T
+from sievespark.operators import similar
 
 #: Steps in order, with the scores they give; a fuzzy match needs a least score and a lead over the second best.
 EXACT, WILDCARD, PREFIX, REVERSE, LEAD = 100.0, 95.0, 90.0, 86.0, 5.0
@@ -45,6 +46,22 @@ def match(value: Column, options: list[str], synonyms: dict[str, str] | None = N
     def only(hits: Column, score: float) -> Column:
         return bound(hits, lambda h: F.when(F.size(h) == 1, result(F.try_element_at(by_key, F.get(h, F.lit(0))), F.lit(score))))
 
+    def likeliest(k: Column) -> Column:
+        """All options if they are few, else the first by weighted ratio, then by their order. Keys are single words, so that ratio is the plain one or that of a window."""
+        if len(options) <= 10:
+            return names
+        n = F.length(k)
+
+        def score(x: Column) -> Column:
+            m = F.length(x)
+            scale = F.when(F.greatest(n, m) < similarity.MUCH_LONGER * F.least(n, m), similarity.WINDOW).otherwise(similarity.FAR)
+            window = F.when(n <= m, similarity.best_window(k, x)).otherwise(similarity.best_window(x, k))
+            plain = similarity.indel_ratio(k, x)
+            return F.when(n == 0, 0.0).when(F.greatest(n, m) < similarity.LONGER * F.least(n, m), plain).otherwise(F.greatest(plain, scale * window))
+
+        ranked = F.array_sort(F.transform(keys, lambda x, i: F.struct((-score(x)).alias("s"), i.alias("i"))))
+        return F.transform(F.slice(ranked, 1, top), lambda x: F.get(names, x["i"]))
+
     def fuzzy(k: Column) -> Column:
         # ranked by score, then by the order of the options
         ranked = F.array_sort(F.transform(keys, lambda x, i: F.struct((-similarity.indel_ratio(k, x)).alias("s"), i.alias("i"))))
@@ -52,8 +69,7 @@ def match(value: Column, options: list[str], synonyms: dict[str, str] | None = N
         def decide(r: Column) -> Column:
             best, second = F.get(r, F.lit(0)), F.get(r, F.lit(1))
             near = (k != "") & (-best["s"] >= threshold) & (second.isNull() | (second["s"] - best["s"] >= LEAD))
-            likely = names if len(options) <= 10 else F.transform(F.slice(r, 1, top), lambda x: F.get(names, x["i"]))
-            return F.when(near, result(F.get(names, best["i"]), -best["s"])).otherwise(result(F.lit(None).cast("string"), F.lit(0.0), likely))
+            return F.when(near, result(F.get(names, best["i"]), -best["s"])).otherwise(result(F.lit(None).cast("string"), F.lit(0.0), likeliest(k)))
 
         return bound(ranked, decide)
 
@@ -90,6 +106,25 @@ def matched(df: DataFrame, column: str, matcher) -> DataFrame:  # noqa: ANN001
     return df.join(found, F.col(column) == F.col("__v"), "left").drop("__v")
 
 
+def onto(df: DataFrame, column: str, dictionary: DataFrame, threshold: float = 85.0, lead: float = LEAD) -> DataFrame:
+    """Adds <column>_match, struct(value, score), from a dictionary (key, spelling) of any size, such as spellings() learns.
+
+    Equal keys decide first, then question marks as any letter if one key fits, last the nearest key by indel ratio if it is near enough and leads. Each distinct value is matched once, by
+    equi-joins only; a value without a match, a null or an empty one has null.
+    """
+    values = df.select(F.col(column).alias("v")).where("v is not null").distinct()
+    values = values.select("v", T.key(F.col("v")).alias("text"), T.wildcard_key(F.col("v")).alias("wild")).checkpoint()
+    known = dictionary.where("key <> ''").select("key", "spelling").checkpoint()
+    exact = values.join(known, F.col("text") == F.col("key")).select("v", "spelling", F.lit(EXACT).alias("score"))
+    rest = values.join(known, F.col("text") == F.col("key"), "left_anti")
+    fitted = completions(rest.where(F.col("wild").contains("?")).select("wild").distinct(), known)
+    filled = rest.join(fitted, "wild").select("v", "spelling", F.lit(WILDCARD).alias("score"))
+    texts = rest.where(~F.col("wild").contains("?")).select("text").distinct().checkpoint()
+    near = similar.nearest(texts, known.select("key"), threshold, lead).join(known, "key").join(rest.where(~F.col("wild").contains("?")), "text").select("v", "spelling", F.col("ratio").alias("score"))
+    found = exact.unionByName(filled).unionByName(near).select(F.col("v").alias("__v"), F.struct(F.col("spelling").alias("value"), "score").alias(f"{column}_match"))
+    return df.join(found, F.col(column) == F.col("__v"), "left").drop("__v")
+
+
 def resolve_option(raw: Column, found: Column) -> Column:
     """struct(value, action, candidates) of a cell: a placeholder is null, a match its value, anything else uncertain."""
     empty = F.array().cast("array<string>")

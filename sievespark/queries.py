@@ -542,3 +542,32 @@ def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = read(spark, sf_dir, "part").limit(1).select(F.lit("U0001").alias("urun_id"), F.lit("10.00").cast("decimal(18,2)").alias("birim_fiyat"))
     counters.actions(cleaning.completed(cleaning.priced(cleaned, price)), "siparisler").write.format("noop").mode("overwrite").save()
     return counters.table(spark)
+
+
+_DAMAGED_WORDS = r"""with names as (select p_partkey, regexp_replace(p_name, '\s+', ' ', 'g') as name from part),
+ words as (select p_partkey, unnest(string_split(name, ' ')) as w, unnest(range(len(string_split(name, ' ')))) as pos from names),
+ lost as (select *, case when p_partkey % 15 = 0 and length(w) > 2 then '?' || substr(w, 2, length(w) - 2) || '?' else w end as d from words),
+ known as (select distinct w from lost where not contains(d, '?')),
+ fits as (select d, case when count(*) = 1 then min(k.w) end as fixed from (select distinct d from lost where contains(d, '?')) join known k on k.w like replace(d, '?', '_') group by d)
+ select p_partkey, case when count(*) = count(case when contains(l.d, '?') then f.fixed else l.w end) then string_agg(case when contains(l.d, '?') then f.fixed else l.w end, ' ' order by pos) end as name from lost l left join fits f on l.d = f.d group by p_partkey"""
+
+
+@query(_DAMAGED_WORDS)
+def word_repair_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of which every fifteenth has lost the first and the last letter of each word."""
+    name = F.regexp_replace("p_name", r"\s+", " ")
+    lost = F.array_join(F.transform(F.split(name, " "), lambda w: F.when(F.length(w) > 2, F.concat(F.lit("?"), F.substr(w, F.lit(2), F.length(w) - 2), F.lit("?"))).otherwise(w)), " ")
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 15 == 0, lost).otherwise(name).alias("name"))
+    return matching.repair_words(rows, "name", "p_partkey", titled=False).select("p_partkey", F.col("name_words").alias("name"))
+
+
+@query("""select c_custkey, case when c_custkey % 6 = 5 then null else substr(md5(c_custkey::varchar), 1, 9 + c_custkey % 2 * 20) end as code, case c_custkey % 6 when 0 then 100.0 when 1 then 5600.0 / 57 when 2 then 1800.0 / 19 when 3 then 100 * 28.0 / 29 when 4 then 95.0 end as score from customer""")
+def dictionary_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of 9 and 29 letters with a letter too few, too many, changed or lost, onto the dictionary of all codes; every sixth is none of them."""
+    k = F.col("c_custkey")
+    code = F.substr(F.md5(k.cast("string").cast("binary")), F.lit(1), 9 + k.cast("int") % 2 * 20)
+    c = read(spark, sf_dir, "customer").select("c_custkey", code.alias("code"))
+    spoilt = pick(k, F.upper(code), F.concat(F.substr(code, F.lit(1), F.lit(4)), F.substr(code, F.lit(6))), F.concat(F.substr(code, F.lit(1), F.lit(4)), F.lit("z"), F.substr(code, F.lit(5))), F.concat(F.substr(code, F.lit(1), F.lit(4)), F.lit("z"), F.substr(code, F.lit(6))), F.concat(F.substr(code, F.lit(1), F.lit(4)), F.lit("?"), F.substr(code, F.lit(6))), F.concat(F.lit("zyxw"), F.reverse(code)))
+    dictionary = c.select(F.col("code").alias("key"), F.col("code").alias("spelling"))
+    found = matching.onto(c.withColumn("raw", spoilt), "raw", dictionary)
+    return found.select("c_custkey", F.col("raw_match.value").alias("code"), F.col("raw_match.score").cast("double").alias("score"))
