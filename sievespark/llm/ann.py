@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievespark.llm.common import checkpointed, table
+from sievespark.llm.common import checkpointed, smallest, table
 
 #: Vectors that fit the centre (those of smallest hash of the id), the rotation's seed, and the width of the error bound.
 SAMPLE, SEED, WIDTH = 20_000, 7, 1.9
@@ -41,7 +41,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 def index(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """((vec_id, v, code, length, correction), centre) for (vec_id, v array<double>); v comes back as packed doubles."""
-    sample = rows.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).select("v").toPandas()["v"]
+    sample = smallest(rows, F.xxhash64("vec_id"), SAMPLE).select("v").toPandas()["v"]
     dim = len(sample.iloc[0]) if len(sample) else 1
     centre = np.mean(np.stack(sample), 0) if len(sample) else np.zeros(1)
     turn = rotation(dim)

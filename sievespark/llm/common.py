@@ -68,6 +68,24 @@ def dealt_join(many: DataFrame, one: DataFrame, keys: list[str], salt: Column, n
     return left.join(right, [*keys, part]).drop(part)
 
 
+def smallest(df: DataFrame, h: Column, n: int) -> DataFrame:
+    """The n rows of the smallest hash h (64 bits, as xxhash64 gives it), all if they are fewer: a bounded sample for fitting.
+
+    One count gives a threshold under which little more than n hashes lie; only those rows are gathered and sorted, however many partitions there are. The threshold
+    grows in the unlikely case that too few lie under it. df is counted and then read once or more.
+    """
+    total = df.count()
+    if total <= n:
+        return df
+    wide = n + 8 * int(n**0.5) + 64
+    while wide < total:
+        few = checkpointed(df.where(h < F.lit(min((1 << 63) - 1, wide * (1 << 64) // total - (1 << 63)))))
+        if few.count() >= n:
+            return few.orderBy(h).limit(n)
+        wide *= 2
+    return df.orderBy(h).limit(n)
+
+
 def spare(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores before them until df has no such column."""
     taken = {c.lower() for c in df.columns}

@@ -11,14 +11,16 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievespark.llm.common import broadcast_if_small, checkpointed, met, spare, table, values
+from sievespark.llm.common import broadcast_if_small, checkpointed, met, smallest, spare, table, values
 
 #: Buckets of hashed trigrams, and the pseudo-count of a bucket.
 BUCKETS, SMOOTHING = 1 << 14, 0.5
@@ -41,12 +43,18 @@ def visible_text(page: str | None) -> str:
     return html.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page or "")))
 
 
+@lru_cache(1)
+def _letters() -> np.ndarray:
+    """Whether a code point is a letter or a mark that belongs to one."""
+    return np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)), bool, 0x110000)
+
+
 def trigrams(text: str) -> np.ndarray:
     """The buckets of a lower-cased text's trigrams that have a letter in the middle; white space counts as one space."""
     line = f" {' '.join(text.lower().split())} "
     x = np.frombuffer(line.encode("utf-32-le"), np.uint32)
     mid = x[1:-1]
-    letter = ((mid >= 97) & (mid <= 122)) | (mid >= 0xAA)
+    letter = _letters()[mid]
     h = (x[:-2] * np.uint32(0x9E3779B1)) ^ (mid * np.uint32(0x85EBCA6B)) ^ (x[2:] * np.uint32(0xC2B2AE35))
     h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
     return ((h >> np.uint32(18)) & np.uint32(BUCKETS - 1))[letter]
@@ -118,7 +126,7 @@ def text_likelihoods(items: DataFrame, models: np.ndarray, pages: bool = False)
 def temperature(items: DataFrame, languages: list[str]) -> float:
     """The temperature under which the texts of labelled documents tell their languages best."""
     labelled = items.where(F.col("doc_id").isNotNull() & F.col("likelihood").isNotNull() & F.col("declared").isin(languages))
-    rows = labelled.orderBy(F.xxhash64("text_hash", "doc_id")).limit(LABELLED).select("declared", "likelihood").collect()
+    rows = smallest(labelled, F.xxhash64("text_hash", "doc_id"), LABELLED).select("declared", "likelihood").collect()
     if not rows:
         return 1.0
     logs, at = np.array([r["likelihood"] for r in rows]), np.array([languages.index(r["declared"]) for r in rows])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievespark.llm.common import broadcast_if_small, checkpointed, table, values
+from sievespark.llm.common import broadcast_if_small, checkpointed, smallest, table, values
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Folds of crc32(doc_id as text) mod 4.
@@ -46,8 +46,7 @@ def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("fold", fold(F.col("doc_id"))).where(F.col("fold") != HELD_OUT)
     named = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h")).join(known, "doc_id")
     chosen = named.groupBy("h", "toxic").agg(F.min(F.struct("doc_id", "fold")).alias("c")).select(F.col("c.doc_id").alias("doc_id"), "toxic", F.col("c.fold").alias("fold"))
-    some = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    some = broadcast_if_small(checkpointed(some), LABELLED)
+    some = broadcast_if_small(checkpointed(smallest(checkpointed(chosen), F.xxhash64("doc_id"), LABELLED)), LABELLED)
     return docs.select("doc_id", "text").join(some, "doc_id").select("text", "toxic", "fold")
 
 
@@ -89,7 +88,7 @@ def credits(train: DataFrame, odds: dict[str, float]) -> DataFrame:
 
 def learnt(train: DataFrame) -> dict[str, float]:
     """Token -> log-odds: first from document counts, then from the credit that the first odds deal."""
-    counts = checkpointed(token_counts(train).where("toxic > 1 or token = ''"))
+    counts = checkpointed(token_counts(train).where("toxic > 0 or token = ''"))
     first = log_odds(counts)
     if not first:
         return first
@@ -223,7 +222,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held = F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False))
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold(F.col("doc_id")) == CALIBRATE)
     fit = found.join(known, "doc_id").select("toxic", "n_words", F.xxhash64("doc_id").alias("h"), "segments")
-    rows = fit.orderBy("h").limit(CALIBRATION_ROWS).select("toxic", "n_words", F.coalesce(F.array_max(F.transform("segments", lambda s: s["score"])), F.lit(0.0)).alias("best"), F.transform("segments", lambda s: s["score"]).alias("all")).collect()
+    rows = smallest(checkpointed(fit), F.col("h"), CALIBRATION_ROWS).select("toxic", "n_words", F.coalesce(F.array_max(F.transform("segments", lambda s: s["score"])), F.lit(0.0)).alias("best"), F.transform("segments", lambda s: s["score"]).alias("all")).collect()
     y = np.array([r["toxic"] == 1 for r in rows], float)
     if not odds or not y.any() or y.all():
         return found.select("doc_id", held.alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), "n_words", "segments")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import public_tokenizers
-from sievespark.llm import packing, resample, whitening
+from sievespark.llm import common, langid, packing, resample, whitening
 
 VECTORS = "vec_id long, embedding array<double>"
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -177,3 +177,18 @@ def test_chunks_know_what_the_tokenizer_knows():
     texts = ["".join(f"a {p} {p}b'{p} é" for p in points[i : i + 400]) for i in range(0, len(points), 400)]
     assert [chunks.encode(t) for t in texts] == [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch(texts, add_special_tokens=False)]
     assert os.environ.get("TOKENIZERS_PARALLELISM") in (None, "false")
+
+
+def test_smallest_hashes(spark):
+    """The bounded samples of the fitted operators: just the rows of the smallest hashes, also where more than the bound lie under the first threshold's expectation."""
+    df = spark.range(5000).repartition(9)
+    h = F.xxhash64("id")
+    want = [r["id"] for r in df.orderBy(h).limit(300).collect()]
+    assert [r["id"] for r in common.smallest(df, h, 300).collect()] == want
+    assert common.smallest(df, h, 5000).count() == 5000 and common.smallest(df, h, 4990).count() == 4990 and common.smallest(df.limit(0), h, 3).count() == 0
+    same = spark.createDataFrame([(7,)] * 100, "id long")
+    assert common.smallest(same, h, 10).count() == 10
+
+
+def test_only_letters_speak_for_a_language():
+    assert len(langid.trigrams("— “ ” – … 😀 12 !?")) == 0 and len(langid.trigrams("été")) == 3 and len(langid.trigrams("中文")) == 2
