@@ -119,7 +119,7 @@ def count(s: Column) -> Column:
     """int: a number word up to ten, or a whole number with a unit before or after."""
     s = T.lower(F.trim(F.coalesce(s, F.lit(""))))
     word = F.try_element_at(_lookup({w: i for i, w in enumerate(NUMBER_WORDS, 1)}), s)
-    shape = r"^x?\s*(-?\d+)(?:[.,]0+)?\s*(?:adet|ad.?|pcs|x)?$"
+    shape = r"^x?\s*(-?\d+)(?:[.,]0+)?\s*(?:adet|ad\.?|pcs|x)?$"
     return F.coalesce(word, F.when(s.rlike(shape), F.regexp_extract(s, shape, 1).try_cast("int")))
 
 
@@ -147,7 +147,7 @@ def is_email(s: Column) -> Column:
 
 @once
 def identifier(s: Column, prefix: str, digits: int) -> Column:
-    """prefix + digits from forms like '#367', 'm-00367', 'M 12' or '367', white space anywhere; null if the number is too long for it."""
-    shape = rf"(?i)^#?{prefix}?-?(\d{{1,{digits}}})$"
-    s = F.regexp_replace(F.coalesce(s, F.lit("")), T.WHITE, "")
+    """prefix + digits from forms like '#367', 'm-00367', 'M 12' or '367'; null if the number is too long for it, or white space parts its digits."""
+    shape = rf"(?iU)^\s*#?\s*{prefix}?\s*-?\s*(\d{{1,{digits}}})\s*$"
+    s = F.translate(F.coalesce(s, F.lit("")), "\u00a0\u202f", "  ")
     return F.when(s.rlike(shape), F.concat(F.lit(prefix), F.lpad(F.regexp_extract(s, shape, 1), digits, "0")))

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievespark.functions import text as T
+from sievespark.operators.joins import dealt
+
+#: Rows that share a sign and meet all others in one task; more are dealt to blocks that meet two at a time.
+BLOCK = 1000
 
 
 def block_key(first: Column, last: Column) -> Column:
@@ -30,48 +34,103 @@ def decision(evidence: Column) -> Column:
     return F.when((strong >= 2) | ((strong >= 1) & (medium >= 1)), "yes").when((strong == 1) | (medium >= 2), "uncertain").otherwise("no")
 
 
+def _local(email: Column) -> Column:
+    return F.substring_index(email, "@", 1)
+
+
 def decided_pairs(df: DataFrame, first: str, last: str, columns: dict[str, str], order: str) -> DataFrame:
     """(a, b, decision) of row orders for the pairs that aren't "no".
 
-    A pair needs a strong sign or two medium ones, so its rows share a block and a birth date, phone, e-mail or district: those are the join
-    keys. A frequent name alone never makes pairs; adaptive execution splits what is still skewed.
+    A pair needs a strong sign or both medium ones, so its rows share a block and a birth date, phone or e-mail, or a district and the local part that one of them has and the other
+    continues by a letter. Those are the keys of equi-joins; a frequent name or a frequent name in one district makes no pairs. Rows of a frequent key are dealt to blocks, and each
+    task sees two of them.
     """
     rows = df.withColumn("__block", block_key(F.col(first), F.col(last))).where("__block is not null")
-    signs = F.array(*[F.struct(F.lit(n).alias("sign"), F.col(columns[n]).cast("string").alias("v")) for n in ("birth", "phone", "email", "district")])
-    keyed = rows.select(F.explode(F.filter(signs, lambda s: s["v"].isNotNull())).alias("__s"), "*")
-    a, b = keyed.alias("a"), keyed.alias("b")
-    on = (F.col("a.__block") == F.col("b.__block")) & (F.col("a.__s") == F.col("b.__s")) & (F.col(f"a.{order}") < F.col(f"b.{order}"))
+    local, district = _local(F.col(columns["email"])), F.col(columns["district"])
+    sign = lambda name, side, v: F.when(v.isNotNull(), F.struct(F.lit(name).alias("sign"), F.lit(side).alias("side"), v.alias("v")))
+    full = lambda *v: F.when(sum(x.isNotNull().cast("int") for x in v) == len(v), F.concat_ws("\u0001", *v))
+    signs = [sign(n, 0, F.col(columns[n]).cast("string")) for n in ("birth", "phone", "email")]
+    longer = F.when(F.length(local) > 0, F.substr(local, F.lit(1), F.length(local) - 1))
+    signs += [sign("alike", 1, full(district, local)), sign("alike", 2, full(district, longer))]
+    keyed = rows.select(F.explode(F.array_compact(F.array(*signs))).alias("s"), "*").withColumn("__s", F.struct("s.sign", "s.v")).withColumn("__side", F.col("s.side")).drop("s").checkpoint()
+    sizes = keyed.groupBy("__block", "__s").agg(F.count("*").alias("n")).where("n > 1").select("__block", "__s", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("__blocks")).checkpoint()
+    met = dealt(keyed, sizes, ["__block", "__s"], F.col(order))
+    met = met.withColumn("__own", F.pmod(F.xxhash64(order), F.col("__blocks")).cast("int")).withColumn("__to", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
+    met = met.withColumns({"__i": F.least("__own", "__to"), "__j": F.greatest("__own", "__to")})
+    a, b = met.alias("a"), met.alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("__block", "__s", "__i", "__j")]
+    apart = ((F.col("a.__i") == F.col("a.__j")) | (F.col("a.__own") != F.col("b.__own"))) & ((F.col("a.__side") == 0) | (F.col("a.__side") != F.col("b.__side")))
+    on = same[0] & same[1] & same[2] & same[3] & apart & (F.col(f"a.{order}") < F.col(f"b.{order}"))
     pairs = a.join(b, on).select(F.col(f"a.{order}").alias("a"), F.col(f"b.{order}").alias("b"), decision(pair_evidence("a", "b", columns)).alias("decision"))
     return pairs.where("decision <> 'no'").distinct()
 
 
+def certain_links(df: DataFrame, first: str, last: str, columns: dict[str, str], order: str) -> DataFrame:
+    """(a, b): links, in proportion to the rows, that connect just what the pairs decided "yes" connect.
+
+    Rows of a block that agree in two strong signs, or a strong one and the district, are all linked to the first of them. Of rows that agree in a strong sign, those with a local part are
+    linked to the first of those that continue it by a letter, and the other way round: each of the ones forms a pair with each of the others.
+    """
+    rows = df.withColumn("__block", block_key(F.col(first), F.col(last))).where("__block is not null")
+    birth, phone, email, district = (F.col(columns[n]).cast("string") for n in ("birth", "phone", "email", "district"))
+    together = [(birth, phone), (birth, email), (phone, email), (birth, district), (phone, district), (email, district)]
+
+    def key(kind: int, *v: Column) -> Column:
+        there = v[0].isNotNull() if len(v) == 1 else v[0].isNotNull() & v[1].isNotNull() & (v[2].isNotNull() if len(v) > 2 else F.lit(True))
+        return F.when(there, F.struct(F.lit(kind).alias("kind"), F.concat_ws("\u0001", *v).alias("v")))
+
+    def to_first(keys: list[Column]) -> DataFrame:
+        each = rows.select("__block", F.col(order).alias("a"), F.explode(F.array_compact(F.array(*keys))).alias("k"))
+        least = each.groupBy("__block", "k").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1").checkpoint()
+        return dealt(each, least, ["__block", "k"], F.col("a")).where("a <> b").select("a", "b")
+
+    local = _local(email)
+    longer = F.when(F.length(local) > 0, F.substr(local, F.lit(1), F.length(local) - 1))
+    sides = []
+    for part in (local, longer):
+        keys = [key(10 + i, strong, part) for i, strong in enumerate((birth, phone))]
+        sides.append(rows.select("__block", F.col(order).alias("a"), F.explode(F.array_compact(F.array(*keys))).alias("k")).checkpoint())
+    firsts = [x.groupBy("__block", "k").agg(F.min("a").alias("least"), F.count("*").alias("n")).checkpoint() for x in sides]
+    across = [dealt(mine, other.drop("n").join(own.select("__block", "k", "n"), ["__block", "k"]).checkpoint(), ["__block", "k"], F.col("a")) for mine, own, other in ((sides[0], firsts[0], firsts[1]), (sides[1], firsts[1], firsts[0]))]
+    links = to_first([key(i, *pair) for i, pair in enumerate(together)]).unionByName(across[0].select("a", F.col("least").alias("b"))).unionByName(across[1].select("a", F.col("least").alias("b")))
+    return links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): components of (a, b) by the smallest node, spreading minima and halving paths until nothing changes. Needs a checkpoint folder."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    roots = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("root")).select(F.col("a").alias("node"), "root").checkpoint()
-    while True:
-        near = both.join(roots, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("m"))
-        spread = roots.join(near, F.col("node") == F.col("a")).select("node", F.least("root", "m").alias("root"), F.col("root").alias("old"))
-        up = spread.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
-        new = spread.join(up, F.col("root") == F.col("n2"), "left").select("node", F.least("root", F.coalesce("r2", "root")).alias("root"), "old").checkpoint()
-        roots = new.select("node", "root")
-        if not new.where("root <> old").limit(1).count():
-            return roots
+    """(node, root): components of (a, b) by the smallest node. Needs a checkpoint folder.
+
+    Large and small stars in turn: every node hands its greater neighbours, then its smaller ones, to the smallest of its neighbourhood, until only stars are left; that takes a number of
+    rounds in proportion to the logarithm of the nodes. A hub's edges are dealt to several tasks.
+    """
+    links = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+    before = None
+    while (now := links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()) != before and now[0]:
+        before = now
+        around = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = around.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")).checkpoint()
+        links = dealt(around, low, ["u"], F.col("v")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().checkpoint()
+        low = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).checkpoint()
+        handed = dealt(links, low, ["u"], F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        links = handed.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct().checkpoint()
+    return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def merge(df: DataFrame, clusters: DataFrame, key: str, order: str, own: list[str]) -> tuple[DataFrame, DataFrame]:
     """(merged rows, mapping (old_id, new_id)). clusters: (node = order, root).
 
-    The survivor of a cluster has the smallest key, nulls last. Its missing values come from the others in that order, except the columns in own.
+    The survivor of a cluster has the smallest key, nulls last. Its missing values come from the others in that order, except the columns in own. The members' keys meet the survivors
+    in a join; no row holds a cluster.
     """
     member = df.join(clusters.select(F.col("node").alias("__n"), "root"), F.col(order) == F.col("__n"), "left").drop("__n")
     alone = member.where("root is null").drop("root")
     place = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.col(order).alias("o"))
     values = [c for c in df.columns]
     first = [F.min_by(F.struct(*values), place).alias("s")] + [F.min_by(c, F.when(F.col(c).isNotNull(), place)).alias(f"__{c}") for c in values if c not in (key, order, *own)]
-    grouped = member.where("root is not null").groupBy("root").agg(*first, F.collect_set(key).alias("__ids"))
+    grouped = member.where("root is not null").groupBy("root").agg(*first, F.count("*").alias("__size")).checkpoint()
     survivors = grouped.select(*[F.coalesce(F.col(f"s.{c}"), F.col(f"__{c}")).alias(c) if c not in (key, order, *own) else F.col(f"s.{c}").alias(c) for c in values])
-    mapping = grouped.select(F.explode("__ids").alias("old_id"), F.col(f"s.{key}").alias("new_id")).where("old_id <> new_id")
+    heads = grouped.select("root", F.col(f"s.{key}").alias("new_id"), F.col("__size").alias("n"))
+    ids = member.where(F.col("root").isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("old_id"), "root")
+    mapping = dealt(ids, heads, ["root"], F.col("old_id")).where("old_id <> new_id").select("old_id", "new_id").distinct()
     return alone.unionByName(survivors), mapping
 
 

@@ -23,7 +23,7 @@ def test_line_repair(spark):
     rows = [tuple(r)[2:] for r in records.orderBy("row_idx").collect()]
     assert rows == [tuple(parts)] * 4 + [tuple(NEXT.split(","))] + [tuple(parts)]
     assert bad.count() == 2
-    assert [r["repaired"] for r in records.orderBy("row_idx").collect()] == [False, False, True, True, True, True] or records.where("repaired").count() == 5
+    assert records.where("repaired").count() == 5
     assert ingest(spark, "urunler", 'U0097,"Lenovo Tablet Pro 89')[1].count() == 1
 
 
@@ -45,12 +45,14 @@ def value(spark, text, matcher):
 
 def test_matching(spark):
     province = lambda s: matching.match_province(s, PROVINCES)
-    assert [value(spark, s, province)["value"] for s in ("34", "01", "İstanbul (Avrupa)", "Mu?la", "BUR.", "ANKRA", "Izmir")] == ["İstanbul", "Adana", "İstanbul", "Muğla", None, "Ankara", "İzmir"]
+    assert [value(spark, s, province)["value"] for s in ("07", "81", "82", "Ordu (il)", "T?KAT", "k?rs", "Gümüş", "Esksehir", "MA.")] == ["Antalya", "Düzce", None, "Ordu", "Tokat", "Kars", "Gümüşhane", "Eskişehir", None]
     carrier = lambda s: matching.match(s, OPTIONS["kargo_firmasi"])
-    assert value(spark, "Yurtiçi", carrier)["value"] == "Yurtiçi Kargo"
-    unresolved = value(spark, "TEX", carrier)
-    assert unresolved["value"] is None and "Trendyol Express" in unresolved["candidates"]
-    assert value(spark, "delivered", lambda s: matching.match(s, OPTIONS["durum"], SYNONYMS["durum"]))["value"] == "Teslim Edildi"
+    assert value(spark, "sürat", carrier)["value"] == "Sürat Kargo" and value(spark, "hepsi jet.", carrier)["value"] == "HepsiJet"
+    unresolved = value(spark, "UPS", carrier)
+    assert unresolved["value"] is None and unresolved["candidates"] == OPTIONS["kargo_firmasi"]
+    assert value(spark, "SHIPPED", lambda s: matching.match(s, OPTIONS["durum"], SYNONYMS["durum"]))["value"] == "Kargoda"
+    # of more than ten options the five likeliest, met by their windows where they are much longer, then in their own order
+    assert value(spark, "maras", province)["candidates"][0] == "Kahramanmaraş" and len(value(spark, "maras", province)["candidates"]) == 5
     assert len(PROVINCES) == 81 and sum(map(len, DISTRICTS.values())) == len({d for v in DISTRICTS.values() for d in v})
 
 
