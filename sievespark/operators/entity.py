@@ -150,8 +150,19 @@ def pairs_within(members: DataFrame, *by: str) -> DataFrame:
     return sizes.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0)).cast("long").alias("pairs"))
 
 
-def pair_scores(predicted: DataFrame, truth: DataFrame) -> DataFrame:
-    """One row: true_pairs, predicted_pairs, precision, recall and f1 of two mappings (old_id, new_id), whose clusters hold the survivor too; 0 where nothing can be divided."""
+def in_scope(predicted: DataFrame, truth: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both mappings (old_id, new_id) for a sample of survivors (key): the true entries that lead to one of them, and the predicted ones that name one of them or of their copies."""
+    wanted = ids.select(F.col("key").alias("__k")).distinct()
+    t = truth.join(wanted, F.col("new_id") == F.col("__k"), "left_semi")
+    related = wanted.unionByName(t.select(F.col("old_id").alias("__k"))).distinct()
+    named = predicted.select("old_id", "new_id", F.explode(F.array("old_id", "new_id")).alias("__k")).join(related, "__k", "left_semi")
+    return named.select("old_id", "new_id").distinct(), t
+
+
+def pair_scores(predicted: DataFrame, truth: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """One row: true_pairs, predicted_pairs, precision, recall and f1 of two mappings (old_id, new_id), whose clusters hold the survivor too; 0 where nothing can be divided. ids: (key) of the sample to score, all if None."""
+    if ids is not None:
+        predicted, truth = in_scope(predicted, truth, ids)
 
     def members(mapping: DataFrame, name: str) -> DataFrame:
         return mapping.select(F.col("new_id").alias(name), F.col("old_id").alias("m")).unionByName(mapping.select(F.col("new_id").alias(name), F.col("new_id").alias("m"))).distinct()

@@ -84,8 +84,9 @@ def row_summary(truth: DataFrame, clean: DataFrame, key: str) -> DataFrame:
     return both.agg(one(F.col("t").isNotNull()).alias("truth_rows"), one(F.col("t").isNotNull() & F.col("count").isNotNull()).alias("found"), one(F.col("t").isNull()).alias("extra"), F.coalesce(F.sum(F.when(F.col("count") > 1, F.col("count") - 1)), F.lit(0)).alias("repeated"))
 
 
-def row_success(clean: DataFrame, log: DataFrame, key: str) -> DataFrame:
-    """(corruption, n, success): repeated rows (B2) must be left once, broken ones (B14) at least once."""
+def row_success(clean: DataFrame, log: DataFrame, key: str, sample: DataFrame | None = None) -> DataFrame:
+    """(corruption, n, success): repeated rows (B2) must be left once, broken ones (B14) at least once. sample: (key) of the rows to score, all if None."""
+    log = log if sample is None else log.join(sample.select(F.col("key").alias("__key")).distinct(), F.col("anahtar") == F.col("__key"), "left_semi")
     rows = log.where("sutun = '*satir*' and bozma in ('B2', 'B14')").select("bozma", F.col("anahtar").alias("k")).distinct()
     found = rows.join(clean.groupBy(F.col(key).alias("k")).count(), "k", "left")
     ok = F.when(F.col("bozma") == "B2", F.coalesce("count", F.lit(0)) == 1).otherwise(F.coalesce("count", F.lit(0)) >= 1)

@@ -5,6 +5,8 @@ Dirty columns are derived from clean ones by the remainder of a key, so that the
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from sievespark.functions import text as T
 from sievespark.operators import changes, derive, entity, matching, quality
 from sievespark.plans import cleaning
 from sievespark.plans.schema import TABLES
+from sievespark.sources import files
 from sievespark.sources import lines as L
 from sievespark.streaming.drift import drift
 
@@ -376,10 +379,15 @@ def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""select 'B2' as corruption, count(*) as n, avg(case when o_orderkey % 5 = 0 then 0.0 else 1.0 end) as success from orders where o_orderkey % 3 = 0
  union all select 'B14', count(*), avg(case when o_orderkey % 7 = 0 then 0.0 else 1.0 end) from orders where o_orderkey % 3 = 1""")
 def row_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean, log, key = _repeats_and_breaks(spark, sf_dir)
+    return quality.row_success(clean, log, key)
+
+
+def _repeats_and_breaks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, str]:
     o = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("siparis_id"))
     log = o.where("o_orderkey % 3 < 2").select(F.col("siparis_id").alias("anahtar"), F.lit("*satir*").alias("sutun"), F.when(F.col("o_orderkey") % 3 == 0, "B2").otherwise("B14").alias("bozma"))
     clean = o.where("not (o_orderkey % 3 = 1 and o_orderkey % 7 = 0)").unionByName(o.where("o_orderkey % 3 = 0 and o_orderkey % 5 = 0"))
-    return quality.row_success(clean, log, "siparis_id")
+    return clean, log, "siparis_id"
 
 
 @query("""select 'urunler' as tablo, case when p_partkey % 6 < 2 then 'duzeltildi' else 'gecersiz' end as islem, count(*) as n from part where p_partkey % 6 < 3 group by 2""")
@@ -571,3 +579,42 @@ def dictionary_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     dictionary = c.select(F.col("code").alias("key"), F.col("code").alias("spelling"))
     found = matching.onto(c.withColumn("raw", spoilt), "raw", dictionary)
     return found.select("c_custkey", F.col("raw_match.value").alias("code"), F.col("raw_match.score").cast("double").alias("score"))
+
+
+@query("""select 'N' || lpad(cast(c_custkey as varchar), 8, '0') as old_id, 'M' || lpad(cast(c_custkey as varchar), 8, '0') as new_id, row_number() over (order by c_custkey) - 1 as place from customer where c_custkey % 4 = 0""")
+def ordered_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mapping of ids, written in several files in the order of the old ids and read back with the place of each row."""
+    c = read(spark, sf_dir, "customer").where("c_custkey % 4 = 0")
+    mapping = c.select(F.format_string("N%08d", "c_custkey").alias("old_id"), F.format_string("M%08d", "c_custkey").alias("new_id")).orderBy(F.xxhash64("c_custkey"))
+    path = f"{files.shared_folder(spark)}/{uuid.uuid4().hex}"
+    files.in_order(mapping, "old_id", rows=100).write.parquet(path)
+    return files.read_in_order(spark, path)
+
+
+_SAMPLE = "c_custkey % 12 = 0"
+
+
+@query(f"""select t as true_pairs, p as predicted_pairs, p * 1.0 / p as "precision", p * 1.0 / t as recall, 2.0 * (p * 1.0 / t) / (1 + p * 1.0 / t) as f1 from (select count(*) as t, count(*) filter (c_custkey % 8 = 0) as p from customer where c_custkey % 4 = 0 and {_SAMPLE})""")
+def pair_f1_of_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of pairs within a sample of the survivors."""
+    c = read(spark, sf_dir, "customer")
+    mapping = c.where("c_custkey % 4 = 0").select(F.format_string("N%08d", "c_custkey").alias("old_id"), F.format_string("M%08d", "c_custkey").alias("new_id"), "c_custkey")
+    ids = c.where(_SAMPLE).select(F.format_string("M%08d", "c_custkey").alias("key"))
+    return entity.pair_scores(mapping.where("c_custkey % 8 = 0"), mapping, ids)
+
+
+@query(f"""select 'B2' as corruption, count(*) as n, avg(case when o_orderkey % 5 = 0 then 0.0 else 1.0 end) as success from orders where o_orderkey % 3 = 0 and o_orderkey % 4 = 1
+ union all select 'B14', count(*), avg(case when o_orderkey % 7 = 0 then 0.0 else 1.0 end) from orders where o_orderkey % 3 = 1 and o_orderkey % 4 = 1""")
+def row_recovery_of_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean, log, _ = _repeats_and_breaks(spark, sf_dir)
+    return quality.row_success(clean, log, "siparis_id", read(spark, sf_dir, "orders").where("o_orderkey % 4 = 1").select(F.col("o_orderkey").cast("string").alias("key")))
+
+
+@query("""select o_orderkey, case o_orderkey % 18 when 12 then 'MNG Kargo' when 13 then null when 14 then null else 'Aras Kargo' end as kargo_firmasi from orders where o_orderkey < 1000000""")
+def kept_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders cleaned twice: the first run asks about carriers and keeps the valid answers, the second finds them, with nobody to ask."""
+    raw, path = _order_cells(spark, sf_dir).withColumn("durum", F.when(F.col("row_idx") % 18 == 12, "Teslim Edildi").otherwise(F.col("durum"))), f"{files.shared_folder(spark)}/{uuid.uuid4().hex}"
+    first, _ = cleaning.orders(raw, cleaning.KeptResolver(_Carriers(), path, batch=2))
+    first.write.format("noop").mode("overwrite").save()
+    again, _ = cleaning.orders(raw, cleaning.KeptResolver(cleaning.NoResolver(), path))
+    return again.select(F.col("row_idx").alias("o_orderkey"), "kargo_firmasi")
