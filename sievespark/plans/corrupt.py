@@ -37,8 +37,9 @@ LOST = {
 TOGETHER = [("adet", "B7"), ("indirim_orani", "B5"), ("toplam_tutar", "B5"), ("toplam_tutar", "B12")]
 #: Misspelt mail domains.
 DOMAINS = {"gmail.com": ["gmial.com", "gmail.con", "gmai.com", "gmail.co"], "hotmail.com": ["hotmial.com", "hotmail.con", "hotmal.com"], "outlook.com": ["outlok.com", "outlook.con"]}
-#: Orders and registrations end the day before the extract; tries to draw by weight before a draw counts whatever its weight.
-LAST_DAY, TRIES = "2024-12-31", 8
+#: Orders and registrations end the day before the extract. Weights of customers (Pareto's exponent), of prices, of days at weekends and in November, and of delivered orders.
+LAST_DAY, FIRST_DAY = "2024-12-31", "2023-01-01"
+PARETO, CHEAP, WEEKEND, NOVEMBER = 1.5, 0.3, 0.4, 1.5
 _FIRST = {"Kadın": ["Ayşe", "Fatma", "Zeynep", "Elif", "Özlem", "Büşra", "Gül", "Çağla", "İrem", "Pınar"], "Erkek": ["Mehmet", "Mustafa", "Ahmet", "Ali", "Hüseyin", "İbrahim", "Ömer", "Oğuz", "Barış", "Uğur"]}
 _LAST = ["Yılmaz", "Kaya", "Demir", "Şahin", "Çelik", "Yıldız", "Öztürk", "Aydın", "Arslan", "Kılıç", "Koç", "Şimşek", "Güneş", "Işık", "Çınar"]
 _BRANDS = ["Nike", "Adidas", "Puma", "Lenovo", "Karaca", "Nivea", "Lego", "Komili"]
@@ -55,10 +56,29 @@ def choice(options: list, seed: int, *what) -> Column:  # noqa: ANN002
     return F.get(listed, F.floor(uniform(seed, "choice", *what) * len(options)).cast("int"))
 
 
-def weighted(draw, weight) -> Column:  # noqa: ANN001
-    """The first of TRIES draws (draw(i), by try) that its weight in (0, 1] lets pass (weight(drawn, i) is a test); the last one if none does."""
-    tries = [draw(i) for i in range(TRIES)]
-    return F.coalesce(*[F.when(weight(x, i), x) for i, x in enumerate(tries)], tries[-1])
+#: Items whose weights are summed in one task, and the whole number that the mean weight becomes.
+SUMMED, MEAN = 4096, 1 << 20
+
+
+def drawn(draws: DataFrame, h: str, items: DataFrame, name: str, unit: float | None = None) -> DataFrame:
+    """draws with a column `name`: the id of an item, drawn just as often as its weight says.
+
+    draws[h]: a long that is as good as random; items: (id long from 0, weight), any number of them. Weights become whole numbers, of `unit` or else 1/MEAN of their mean, and are laid end to end in the order of the ids; the remainder
+    of h by their sum falls on one item. That line is cut into as many equal cells as there are items: items, in all cells that they reach (at most twice as many), and draws meet by their cells, so
+    the join has equal keys and an item with a third of all weight is spread over a third of the cells.
+    """
+    size = items.agg(F.count("*").alias("n"), F.avg("weight").alias("mean")).first()
+    w = F.greatest(F.round(F.col("weight") * (1 / unit if unit else MEAN / (size["mean"] or 1.0))).cast("long"), F.lit(1).cast("long"))
+    whole = items.select(F.col("id").alias("__id"), w.alias("__w"), F.floor(F.col("id") / SUMMED).alias("__s")).checkpoint()
+    sums = whole.groupBy("__s").agg(F.sum("__w").alias("t"))  # one row for so many items
+    before = sums.select("__s", (F.sum("t").over(Window.orderBy("__s")) - F.col("t")).alias("__before"))
+    within = F.sum("__w").over(Window.partitionBy("__s").orderBy("__id"))
+    line = whole.withColumn("__in", within).join(before, "__s").select("__id", (F.col("__before") + F.col("__in") - F.col("__w")).alias("__low"), (F.col("__before") + F.col("__in")).alias("__high"))
+    total = sums.agg(F.sum("t")).first()[0]
+    width = max(1, total // size["n"])
+    cells = line.withColumn("__cell", F.explode(F.sequence(F.floor(F.col("__low") / width), F.floor((F.col("__high") - 1) / width)))).checkpoint()
+    at = draws.withColumn("__at", F.pmod(F.col(h), F.lit(total))).withColumn("__cell", F.floor(F.col("__at") / width))
+    return at.join(cells, "__cell").where("__low <= __at and __at < __high").withColumnRenamed("__id", name).drop("__cell", "__at", "__low", "__high")
 
 
 def numbered(df: DataFrame, day: str, order: str, name: str) -> DataFrame:
@@ -84,19 +104,24 @@ def synthetic(spark: SparkSession, orders: int = 1500, customers: int = 400, pro
     c = c.select(i.alias("row_idx"), F.format_string("M%05d", i + 1).alias("musteri_id"), "ad", "soyad", mail.alias("eposta"), P.phone(F.concat(F.lit("5"), digits)).alias("telefon"), iso(day("1950-01-01", 20000, "birth", i)).alias("dogum_tarihi"), "cinsiyet", F.try_element_at(province, F.col("ilce")).alias("il"), "ilce", iso(since(i)).alias("kayit_tarihi"))
     brand = choice(_BRANDS, seed, "brand", i)
     p = spark.range(products).select(i.alias("row_idx"), F.format_string("U%04d", i + 1).alias("urun_id"), F.concat(brand, F.lit(" Model "), (i + 10).cast("string")).alias("urun_adi"), choice(OPTIONS["kategori"], seed, "category", i).alias("kategori"), brand.alias("marka"), price_of(i).cast("string").alias("birim_fiyat"))
-    # a few customers and the cheap products take most orders
-    who = F.floor(customers * F.pow(uniform(seed, "who", i), 2)).cast("long")
-    what = weighted(lambda t: F.floor(products * uniform(seed, "what", t, i)).cast("long"), lambda x, t: uniform(seed, "sold", t, i) < 0.3 / (0.3 + price_of(x).cast("double") / 1000))
-    busy = lambda d: 1 + F.when(F.weekday(d) >= 5, 0.4).otherwise(0.0) + F.when(F.month(d) == 11, 1.5).otherwise(0.0)
-    date = weighted(lambda t: day("2023-01-01", 731, "date", t, i), lambda d, t: uniform(seed, "busy", t, i) < busy(d) / 2.9)
-    o = spark.range(orders).withColumn("who", who).withColumn("what", what).withColumn("price", price_of(F.col("what"))).withColumn("q", choice([1] * 60 + [2] * 20 + [3] * 8 + [4] * 5 + [5] * 3 + [6] * 2 + [8, 10], seed, "q", i))
-    o = o.withColumn("d", choice([0.0] * 11 + [0.05] * 2 + [0.1] * 3 + [0.15] * 2 + [0.2, 0.25], seed, "d", i).cast("decimal(6,2)")).withColumn("date", date).withColumn("first", F.greatest(since(F.col("who")), F.lit("2023-01-01").cast("date")))
+    # a few customers and the cheap products take most orders, weekends and November have more of them
+    hashed = lambda *w: F.xxhash64(F.lit(seed), *[F.lit(x) for x in w], F.col("id"))
+    d = F.date_add(F.lit(FIRST_DAY).cast("date"), i.cast("int"))
+    busy = 1 + F.when(F.weekday(d) >= 5, WEEKEND).otherwise(0.0) + F.when(F.month(d) == 11, NOVEMBER).otherwise(0.0)
+    days = spark.sql(f"select datediff('{LAST_DAY}', '{FIRST_DAY}') + 1 n").first()["n"]
+    weights = {"who": (customers, F.pow(1 - uniform(seed, "who", i), -1 / PARETO)), "what": (products, 1 / (CHEAP + price_of(i).cast("double") / 1000)), "on": (days, busy)}
+    o = spark.range(orders)
+    for name, (n, weight) in weights.items():
+        o = drawn(o.withColumn("__h", hashed("draw", name)), "__h", spark.range(n).select("id", weight.alias("weight")), name).drop("__h")
+    o = o.withColumn("price", price_of(F.col("what"))).withColumn("q", choice([1] * 60 + [2] * 20 + [3] * 8 + [4] * 5 + [5] * 3 + [6] * 2 + [8, 10], seed, "q", i))
+    date = F.date_add(F.lit(FIRST_DAY).cast("date"), F.col("on").cast("int"))
+    o = o.withColumn("d", choice([0.0] * 11 + [0.05] * 2 + [0.1] * 3 + [0.15] * 2 + [0.2, 0.25], seed, "d", i).cast("decimal(6,2)")).withColumn("date", date).withColumn("first", F.greatest(since(F.col("who")), F.lit(FIRST_DAY).cast("date")))
     # nobody orders before registering, old orders aren't under way, and what would arrive after the extract hasn't arrived
     again = F.date_add("first", F.floor(uniform(seed, "again", i) * (F.datediff(F.lit(LAST_DAY).cast("date"), "first") + 1)).cast("int"))
     o = o.withColumn("date", F.when(F.col("date") < F.col("first"), again).otherwise(F.col("date")))
-    drawn = choice(OPTIONS["durum"][:1] * 16 + OPTIONS["durum"][1:], seed, "status", i)
+    state = choice(OPTIONS["durum"][:1] * 16 + OPTIONS["durum"][1:], seed, "status", i)
     arrival = F.date_add("date", (1 + F.floor(uniform(seed, "days", i) * 7)).cast("int"))
-    status = F.when(drawn.isin("Kargoda", "Hazırlanıyor") & (F.col("date") < "2024-12-20"), "Teslim Edildi").otherwise(drawn)
+    status = F.when(state.isin("Kargoda", "Hazırlanıyor") & (F.col("date") < "2024-12-20"), "Teslim Edildi").otherwise(state)
     o = o.withColumn("durum", status).withColumn("arrival", arrival).withColumn("durum", F.when(F.col("durum").isin("Teslim Edildi", "İade Edildi") & (F.col("arrival") > LAST_DAY), "Kargoda").otherwise(F.col("durum")))
     later = F.when(F.col("durum").isin("Teslim Edildi", "İade Edildi"), iso("arrival")).otherwise("")
     total = F.round(F.col("q").cast("decimal(10,0)") * F.col("price") * (1 - F.col("d")), 2).cast("decimal(18,2)")
@@ -227,8 +252,8 @@ def repeated_orders(dirty: DataFrame, seed: int = 8, share: float = 0.02) -> tup
     return rows, again.select(F.lit("siparisler").alias("tablo"), F.col("siparis_id").alias("anahtar"), F.lit("*satir*").alias("sutun"), F.lit("B2").alias("bozma"), F.lit("").alias("gercek"), F.lit("").alias("bozuk"), F.lit(True).alias("kurtarilabilir"))
 
 
-def repeated_customers(clean: DataFrame, orders: DataFrame, seed: int = 8, share: float = 0.05) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(customers with altered twins, orders of which some point to twins, truth (tekrar_id, asil_id))."""
+def repeated_customers(clean: DataFrame, orders: DataFrame, seed: int = 8, share: float = 0.05) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(customers with altered twins, orders of which some point to twins, truth (tekrar_id, asil_id), log of B1: a row for each twin, a cell for each order that points to one)."""
     number = F.regexp_extract("musteri_id", r"(\d+)$", 1).cast("long")
     last = clean.agg(F.max(F.struct(number.alias("n"), "row_idx"))).first()[0]
     last, rows = (last["n"], clean.agg(F.max("row_idx")).first()[0] + 1) if last else (0, 0)
@@ -240,8 +265,12 @@ def repeated_customers(clean: DataFrame, orders: DataFrame, seed: int = 8, share
     lost = uniform(seed, "lost", F.col("asil_id")) < 0.5
     altered = twins.withColumn("telefon", F.when(lost, "").otherwise(F.col("telefon"))).withColumn("ad", T.upper(F.col("ad")))
     moved = orders.join(truth.groupBy(F.col("asil_id").alias("a")).agg(F.min("tekrar_id").alias("tekrar_id")), F.col("musteri_id") == F.col("a"), "left")
-    moved = moved.withColumn("musteri_id", F.when(F.col("tekrar_id").isNotNull() & (uniform(seed, "move", F.col("siparis_id")) < 0.4), F.col("tekrar_id")).otherwise(F.col("musteri_id"))).drop("a", "tekrar_id")
-    return clean.unionByName(altered.select(*clean.columns)), moved, truth
+    moved = moved.withColumn("__to", F.when(uniform(seed, "move", F.col("siparis_id")) < 0.4, F.col("tekrar_id")))
+    entry = lambda table, key, column, true, now: (F.lit(table).alias("tablo"), key.alias("anahtar"), F.lit(column).alias("sutun"), F.lit("B1").alias("bozma"), true.alias("gercek"), now.alias("bozuk"), F.lit(True).alias("kurtarilabilir"))
+    log = truth.select(*entry("musteriler", F.col("tekrar_id"), "*satir*", F.col("asil_id"), F.col("tekrar_id")))
+    log = log.unionByName(moved.where("__to is not null").select(*entry("siparisler", F.col("siparis_id"), "musteri_id", F.col("musteri_id"), F.col("__to"))))
+    moved = moved.withColumn("musteri_id", F.coalesce("__to", "musteri_id")).drop("a", "tekrar_id", "__to")
+    return clean.unionByName(altered.select(*clean.columns)), moved, truth, log
 
 
 #: Rows among which a glued row finds its follower.

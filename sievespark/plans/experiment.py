@@ -16,8 +16,8 @@ from sievespark.sources import lines as L
 
 def damaged(truth: dict[str, DataFrame], seed: int = 8, factor: float = 1.0, new_forms: bool = False) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
     """(raw tables as read back from their damaged lines, log, twins (tekrar_id, asil_id)) of the clean tables."""
-    people, sold, twins = corrupt.repeated_customers(truth["musteriler"], truth["siparisler"], seed)
-    raw, logs = {}, []
+    people, sold, twins, repeats = corrupt.repeated_customers(truth["musteriler"], truth["siparisler"], seed)
+    raw, logs = {}, [repeats]
     for name, df in {"musteriler": people, "urunler": truth["urunler"], "siparisler": sold}.items():
         dirty, log = corrupt.corrupted(df, name, seed, factor=factor, new_forms=new_forms, sold=truth["siparisler"] if name == "urunler" else None)
         logs.append(log)

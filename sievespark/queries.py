@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sievespark.functions import parsers as P
 from sievespark.functions import text as T
 from sievespark.operators import changes, derive, entity, matching, quality
-from sievespark.plans import cleaning
+from sievespark.plans import cleaning, corrupt
 from sievespark.plans.schema import TABLES
 from sievespark.sources import files
 from sievespark.sources import lines as L
@@ -618,3 +618,12 @@ def kept_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     first.write.format("noop").mode("overwrite").save()
     again, _ = cleaning.orders(raw, cleaning.KeptResolver(cleaning.NoResolver(), path))
     return again.select(F.col("row_idx").alias("o_orderkey"), "kargo_firmasi")
+
+
+@query("""with line as (select c_custkey, sum(1 + c_custkey % 7) over (order by c_custkey) as high, 1 + c_custkey % 7 as w from customer), total as (select sum(w) as t from line)
+ select o_orderkey, c_custkey from orders, total, line where o_orderkey * 7919 % t >= high - w and o_orderkey * 7919 % t < high""")
+def weighted_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer for each order, by weights of one to seven. With whole weights whose mean is taken as the unit, the draw by the remainder of h is the one that the SQL states."""
+    items = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (1 + F.col("c_custkey") % 7).alias("weight"))
+    draws = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 7919).alias("h"))
+    return corrupt.drawn(draws, "h", items, "c_custkey", unit=1.0).select("o_orderkey", "c_custkey")

@@ -25,6 +25,29 @@ def test_synthetic_tables_keep_the_rules(spark):
     assert t["musteriler"].select("eposta").distinct().count() == 60
 
 
+def test_draws_follow_their_weights(spark):
+    weights = [5.0, 0.1, 1.0, 1.0, 30.0, 0.0001, 2.5, 7.0] * 3
+    n = 60_000
+    items = spark.createDataFrame(list(enumerate(weights)), "id long, weight double")
+    draws = spark.range(n).withColumn("h", F.xxhash64("id"))
+    got = {r["item"]: r["count"] for r in corrupt.drawn(draws, "h", items, "item").groupBy("item").count().collect()}
+    assert sum(got.values()) == n
+    for i, w in enumerate(weights):
+        p = w / sum(weights)
+        assert abs(got.get(i, 0) - n * p) <= 3.5 * (n * p * (1 - p)) ** 0.5 + 1
+
+
+def test_twins_are_in_the_log(spark):
+    t = corrupt.synthetic(spark, 300, 100, 20)
+    people, orders, truth, log = corrupt.repeated_customers(t["musteriler"], t["siparisler"], share=0.3)
+    twins = {r["tekrar_id"]: r["asil_id"] for r in truth.collect()}
+    was = {r["siparis_id"]: r["musteri_id"] for r in t["siparisler"].collect()}
+    now = {r["siparis_id"]: r["musteri_id"] for r in orders.collect()}
+    entries = {(r["tablo"], r["anahtar"]): (r["gercek"], r["bozuk"]) for r in log.collect()}
+    want = {("musteriler", k): (v, k) for k, v in twins.items()} | {("siparisler", k): (was[k], now[k]) for k in was if was[k] != now[k]}
+    assert entries == want and len(want) > len(twins) > 20 and people.count() == 100 + len(twins)
+
+
 def test_end_to_end(spark):
     """Generate, corrupt, write as lines, repair, clean, score."""
     truth = corrupt.synthetic(spark, 1500, 400, 80)
@@ -38,7 +61,9 @@ def test_end_to_end(spark):
     assert rates[(True, False)]["correct"] > 0.999
     scores = entity.pair_scores(got.mapping, twins.select(F.col("tekrar_id").alias("old_id"), F.col("asil_id").alias("new_id"))).first()
     assert scores["f1"] > 0.95
-    assert quality.fabrication(cells).first()["rate"] < 0.02
+    assert quality.fabrication(cells).first()["rate"] < 0.01
+    moved = quality.rates(cells.where("corruption = 'B1'")).first()
+    assert moved["n"] > 5 and moved["correct"] > 0.9
     assert quality.row_summary(truth["siparisler"], got.orders, "siparis_id").first()["found"] == 1500
     assert {r["corruption"]: r["success"] for r in quality.row_success(got.orders, log.where("tablo = 'siparisler'"), "siparis_id").collect()}["B2"] == 1.0
     print(rates, scores)
