@@ -8,6 +8,7 @@ level by level. Arguments are parsed into variants, checked against the tool's s
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ def _is(value: Column, kind: str) -> Column:
     """Whether a variant has a JSON Schema type; a number without a fraction is an integer."""
     if kind == "integer":
         number = F.when(_is(value, "number"), F.try_variant_get(value, "$", "double"))
-        return F.coalesce(number == F.floor(number), F.lit(False))
+        return F.coalesce(number % 1 == 0, F.lit(False))
     return F.schema_of_variant(value).rlike(f"^{TYPES[kind]}$")
 
 
@@ -44,15 +45,26 @@ def _equals(value: Column, constant: object) -> Column:
     return F.coalesce(_is(value, kind) & (F.try_variant_get(value, "$", read) == F.lit(constant)), F.lit(False))
 
 
-def _found(value: Column, schema: dict, root: dict, path: str, depth: int = 0) -> list[Column]:
-    """What is wrong with a variant that is there: texts or arrays of texts, null where nothing is."""
+#: Rules that nest or only describe; any other than these and the tests below isn't known.
+NESTING = {"properties", "required", "additionalProperties", "items", "$defs", "definitions", "title", "description", "default", "examples", "$schema", "$id", "$comment"}
+
+
+def _member(value: Column, name: str) -> Column:
+    """The variant under a name of an object, null if it isn't there. A path can't hold every name, a map can."""
+    if re.fullmatch(r"[^'\"\\?]+", name):
+        return F.try_variant_get(value, f"$['{name}']", "variant")
+    return F.try_element_at(F.try_variant_get(value, "$", "map<string,variant>"), F.lit(name))
+
+
+def _found(value: Column, schema: dict, root: dict, path: str, opened: frozenset = frozenset()) -> list[Column]:
+    """What is wrong with a variant that is there: texts or arrays of texts, null where nothing is. opened: the references that lead here. A rule that isn't known raises an error."""
     if "$ref" in schema:
-        if depth > 16:
+        if schema["$ref"] in opened:
             raise ValueError("schemas that refer to themselves aren't supported")
         target = root
         for part in schema["$ref"].removeprefix("#/").split("/"):
             target = target[part]
-        return _found(value, target, root, path, depth + 1)
+        return _found(value, target, root, path, opened | {schema["$ref"]})
     text, number = F.when(_is(value, "string"), F.try_variant_get(value, "$", "string")), F.when(_is(value, "number"), F.try_variant_get(value, "$", "double"))
     size = F.when(_is(value, "array"), F.size(F.try_variant_get(value, "$", "array<variant>")))
     tests = {
@@ -69,19 +81,22 @@ def _found(value: Column, schema: dict, root: dict, path: str, depth: int = 0) -
         "minItems": lambda v: size < v,
         "maxItems": lambda v: size > v,
     }
+    unknown = set(schema) - set(tests) - NESTING | ({"additionalProperties"} if not isinstance(schema.get("additionalProperties", True), bool) else set()) | ({"items"} if not isinstance(schema.get("items", {}), dict) else set())
+    if unknown:
+        raise ValueError(f"rules that aren't known: {', '.join(sorted(unknown))}")
     at = f"{path}: " if path else ""
     found = [F.when(tests[rule](limit), F.lit(f"{at}{rule}")) for rule, limit in schema.items() if rule in tests and (path or rule != "type")]
     inside = f"{path}." if path else ""
     for name, rule in schema.get("properties", {}).items():
-        child = F.when(_is(value, "object"), F.try_variant_get(value, f"$['{name}']", "variant"))
-        found += [F.when(child.isNotNull(), e) for e in _found(child, rule, root, f"{inside}{name}", depth + 1)]
-    found += [F.when(_is(value, "object") & F.try_variant_get(value, f"$['{name}']", "variant").isNull(), F.lit(f"{inside}{name}: required")) for name in schema.get("required", [])]
+        child = F.when(_is(value, "object"), _member(value, name))
+        found += [F.when(child.isNotNull(), e) for e in _found(child, rule, root, f"{inside}{name}", opened)]
+    found += [F.when(_is(value, "object") & _member(value, name).isNull(), F.lit(f"{inside}{name}: required")) for name in schema.get("required", [])]
     if schema.get("additionalProperties") is False:
         extra = F.array_except(F.json_object_keys(F.when(_is(value, "object"), F.to_json(value))), F.array(*[F.lit(x) for x in schema.get("properties", {})]).cast("array<string>"))
         found.append(F.when(F.size(extra) > 0, F.concat(F.lit(f"{at}unknown: "), F.array_join(F.array_sort(extra), " "))))
     if isinstance(schema.get("items"), dict):
         items = F.when(_is(value, "array"), F.try_variant_get(value, "$", "array<variant>"))
-        each = F.transform(items, lambda x, i: F.transform(_listed(_found(x, schema["items"], root, "item", depth + 1)), lambda e: F.concat(F.lit(f"{path}["), i.cast("string"), F.lit("] "), e)))
+        each = F.transform(items, lambda x, i: F.transform(_listed(_found(x, schema["items"], root, "item", opened)), lambda e: F.concat(F.lit(f"{path}["), i.cast("string"), F.lit("] "), e)))
         found.append(F.array_join(F.when(F.size(F.flatten(each)) > 0, F.flatten(each)), "; "))
     return found
 

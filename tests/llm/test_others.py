@@ -89,3 +89,68 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     import hashlib
 
     assert all(r["decoded_sha256"] == hashlib.sha256(left[r["doc_id"]].encode()).hexdigest() for r in out)
+
+
+SCHEMA = {
+    "type": "object", "required": ["id", "it's"], "additionalProperties": False, "$defs": {"place": {"type": "object", "properties": {"x": {"type": "number", "minimum": 0}, "y": {"type": ["integer", "null"]}}, "required": ["x"]}},
+    "properties": {"id": {"type": "integer", "maximum": 1e31}, "it's": {"enum": ["a", 1, None]}, "where": {"$ref": "#/$defs/place"}, "back": {"$ref": "#/$defs/place"}, "list": {"type": "array", "maxItems": 2, "items": {"$ref": "#/$defs/place"}}, "q?": {"const": {"b": [1, 2], "a": True}}},
+}
+
+
+def plainly(value, schema, path=""):
+    """What is wrong, as a set of (place, rule)."""
+    if "$ref" in schema:
+        return plainly(value, SCHEMA["$defs"]["place"], path)
+    number = isinstance(value, int | float) and not isinstance(value, bool)
+    is_kind = {"object": isinstance(value, dict), "array": isinstance(value, list), "string": isinstance(value, str), "number": number, "integer": number and value % 1 == 0, "null": value is None, "boolean": isinstance(value, bool)}
+    kinds = [schema["type"]] if isinstance(schema.get("type"), str) else schema.get("type", list(is_kind))
+    same = lambda a, b: type(a) is type(b) and a == b or (isinstance(a, int | float) and isinstance(b, int | float) and not isinstance(a, bool) and not isinstance(b, bool) and a == b)
+    out = {(path, "type")} if not any(is_kind[k] for k in kinds) else set()
+    out |= {(path, "enum")} if "enum" in schema and not any(same(value, x) for x in schema["enum"]) else set()
+    out |= {(path, "const")} if "const" in schema and not same(value, schema["const"]) else set()
+    out |= {(path, "minimum")} if number and value < schema.get("minimum", value) else set()
+    out |= {(path, "maximum")} if number and value > schema.get("maximum", value) else set()
+    if isinstance(value, list):
+        out |= {(path, "maxItems")} if len(value) > schema.get("maxItems", len(value)) else set()
+        for i, x in enumerate(value if "items" in schema else []):
+            out |= plainly(x, schema["items"], f"{path}[{i}] item")
+    if isinstance(value, dict):
+        inside = f"{path}." if path else ""
+        out |= {(f"{inside}{k}", "required") for k in schema.get("required", []) if k not in value}
+        for k, v in value.items():
+            if k in schema.get("properties", {}):
+                out |= plainly(v, schema["properties"][k], f"{inside}{k}")
+            elif schema.get("additionalProperties") is False:
+                out.add((path, f"unknown: {k}"))
+    return out
+
+
+def test_arguments_against_a_plain_validator(spark):
+    rng = np.random.default_rng(8)
+
+    def pick(*options):
+        return options[int(rng.integers(len(options)))]
+
+    def place():
+        return pick({"x": 1, "y": None}, {"x": -2.5, "y": 3}, {"y": "n"}, {"x": 0, "y": 1.5, "z": 2}, "nowhere", None, [], {"x": True})
+
+    values = []
+    for _ in range(120):
+        full = {"id": pick(1, 2.0, 2.5, 10**30, 1e44, 12345678901234567890123, "1", None), "it's": pick("a", 1, 1.0, None, "b", True), "where": place(), "back": place(), "list": pick([], [place()], [place(), place(), place()], 7), "q?": pick({"a": True, "b": [1, 2]}, {"b": [1, 2], "a": True}, {"a": True}, 0), "more": 1}
+        values.append({k: v for k, v in full.items() if rng.random() < 0.7})
+    rows = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)], "i int, a string")
+    for r in rows.select("i", chat.schema_errors(F.try_parse_json("a"), SCHEMA).alias("e")).collect():
+        found = [x for e in r["e"] for x in e.split("; ")]
+        want = {f"{p}: {rule}" if p else rule for p, rule in plainly(values[r["i"]], SCHEMA)}
+        assert set(found) == want, values[r["i"]]
+
+
+def test_schemas_that_arent_known(spark):
+    column = F.lit("{}")
+    for schema in ({"anyOf": [{"type": "string"}]}, {"type": "object", "properties": {"a": {"multipleOf": 2}}}, {"additionalProperties": {"type": "string"}}, {"$ref": "#/$defs/a", "$defs": {"a": {"properties": {"b": {"$ref": "#/$defs/a"}}}}}):
+        with pytest.raises(ValueError, match="aren't"):
+            chat.schema_errors(column, schema)
+    deep = {"type": "integer"}
+    for _ in range(20):
+        deep = {"properties": {"d": deep}}
+    chat.schema_errors(column, {"properties": {"d": {"$ref": "#/$defs/i"}, "e": {"$ref": "#/$defs/i"}}, "$defs": {"i": deep}})
