@@ -5,7 +5,7 @@ pattern of its kind once enough different known instances follow them. Over the
 identifier-like runs follow it, and scores the bipartite graph of patterns and instances in rounds: a pattern is worth the share of its
 occurrences that known instances follow; an instance is worth what its patterns are worth together, and is known from then on if that is
 enough, so that it makes patterns of its own in the next round. The rounds end when no instance is new. Patterns of high worth then mark the
-runs that no fixed pattern knows.
+runs that no fixed pattern knows. A run of hexadecimal digits alone is no find: it counts as a secret only where such a pattern precedes it.
 """
 
 from __future__ import annotations
@@ -138,26 +138,26 @@ PLACE = pa.struct([("kind", pa.int32()), ("pattern", pa.string()), ("instance",
 
 
 def scanned(df: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, n_email, n_ip, n_card, n_phone, base, seeds, places) for each row; base has the fixed patterns' spans, seeds those of secrets, and
-    places the candidates with their patterns."""
+    """(doc_id, text_hash, n_email, n_ip, n_card, n_phone, base, places) for each row; base has the fixed patterns' spans, places the candidates with their
+    patterns, seeds of secrets among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, base, more, places = [[], [], [], []], [], [], []
+            counts, base, places = [[], [], [], []], [], []
             for text in values(batch.column(2)):
                 text = text or ""
-                spans, hidden = base_spans(text), secrets(text)
+                spans = base_spans(text)
+                hidden = [h for h in secrets(text) if not any(h[1] < b and a < h[2] for _, a, b in spans)]
                 per_kind = Counter(k for k, _, _ in spans)
                 for k in range(4):
                     counts[k].append(per_kind[k])
                 base.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
-                more.append([{"kind": k, "start": a, "end": b} for k, a, b in hidden if not any(a < y and x < b for _, x, y in spans)] if hidden else [])
                 places.append([{"kind": k, "pattern": p, "instance": text[a:b], "start": a, "end": b, "free": f} for k, p, a, b, f in candidates(text, spans + hidden)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in counts], pa.array(base, pa.list_(SPAN)), pa.array(more, pa.list_(SPAN)), pa.array(places, pa.list_(PLACE))], ["doc_id", "text_hash", "n_email", "n_ip", "n_card", "n_phone", "base", "seeds", "places"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in counts], pa.array(base, pa.list_(SPAN)), pa.array(places, pa.list_(PLACE))], ["doc_id", "text_hash", "n_email", "n_ip", "n_card", "n_phone", "base", "places"])
 
     span, place = "array<struct<kind: int, start: long, end: long>>", "array<struct<kind: int, pattern: string, instance: string, start: long, end: long, free: boolean>>"
     rows = df.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, f"doc_id {dict(df.dtypes)['doc_id']}, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base {span}, seeds {span}, places {place}")
+    return rows.mapInArrow(run, f"doc_id {dict(df.dtypes)['doc_id']}, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base {span}, places {place}")
 
 
 def pattern_counts(df: DataFrame, patterns: frozenset[str] | None) -> DataFrame:
@@ -216,10 +216,10 @@ def told(spans: Column) -> Column:
 
 
 def personal_data(df: DataFrame, seeds_needed: int = SEEDS, worth: float = WORTH) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base, spans) for documents (doc_id, text), a row for each row.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base, spans, secrets) for documents (doc_id, text), a row for each row.
 
-    The counts and base have the fixed patterns' spans, spans these, the seeds of secrets, and the ones that learnt patterns add (none that overlap another
-    span but one another's). Null and empty texts have none. Texts of any length are read whole, line by line. Repeated rows get equal results. Of kinds
+    The counts and base have the fixed patterns' spans, spans these and the ones of their kinds that learnt patterns add (none that overlap another span but one
+    another's), secrets those that patterns of secrets mark, seeds or not. Null and empty texts have none. Texts of any length are read whole, line by line. Repeated rows get equal results. Of kinds
     that are worth the same to a pattern the first counts. Places are code points, ends exclusive. Other columns don't matter. With no pattern
     of enough different instances the same steps run and add nothing.
     """
@@ -230,15 +230,19 @@ def personal_data(df: DataFrame, seeds_needed: int = SEEDS, worth: float = WORTH
     totals = pattern_counts(df, frozenset(few)) if len(few) <= PATTERNS else pattern_counts(df, None).join(able, "pattern", "left_semi")
     trusted = bootstrapped(places, checkpointed(totals), seeds_needed, worth).where(F.col("worth") >= worth)
     best = trusted.groupBy("pattern").agg(F.max_by("kind", F.struct("worth", -F.col("kind"))).alias("kind"))
-    open_ = places.where("kind < 0 and free").drop("kind")
+    secret = F.lit(KINDS.index("secret"))
+    open_ = places.where((F.col("kind") == secret) | ((F.col("kind") < 0) & F.col("free"))).withColumnRenamed("kind", "seed")
     best = checkpointed(best.join(open_.groupBy("pattern").agg(F.count("*").alias("n")), "pattern"))
-    new = met(open_, best, ["pattern"], F.col("text_hash")).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("kind", "start", "end")).alias("new"))
+    marked = met(open_, best, ["pattern"], F.col("text_hash")).where((F.col("seed") < 0) | (F.col("kind") == secret))
+    new = marked.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("kind", "start", "end")).alias("new"))
     new = new.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"), "new")
     both = found.join(new, found["doc_id"].eqNullSafe(F.col("__d")) & (found["text_hash"] == F.col("__t")), "left")
     none = F.array().cast("array<struct<kind: int, start: long, end: long>>")
-    return both.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", told(F.col("base")).alias("base"), told(F.concat("base", "seeds", F.coalesce("new", none))).alias("spans"))
+    new_ones = F.coalesce("new", none)
+    listed = told(F.concat("base", F.filter(new_ones, lambda s: s["kind"] != secret)))
+    return both.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", told(F.col("base")).alias("base"), listed.alias("spans"), told(F.filter(new_ones, lambda s: s["kind"] == secret)).alias("secrets"))
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "secrets")
