@@ -87,16 +87,25 @@ def parsed(lines: DataFrame, table: str) -> DataFrame:
     return cut.withColumn("records", out).drop("semicolon", "tries", "best")
 
 
+def mended(table: str) -> Column:
+    """Whether a parsed line's records took a repair."""
+    return (F.size("records") > 1) | (F.col("size") != len(TABLES[table]))
+
+
+def quarantined(cut: DataFrame, table: str) -> DataFrame:
+    """(tablo, ham_satir, sebep) of the parsed lines that can't be repaired."""
+    bad = cut.select(F.explode(F.when(F.col("records").isNull(), F.array("line"))).alias("ham_satir"))
+    return bad.select(F.lit(table).alias("tablo"), "ham_satir", F.lit(REASON).alias("sebep"))
+
+
 def ingest(lines: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
     """(records, quarantine) of (line_no, line). Records have row_idx (line order), repaired (boolean) and the table's columns as text."""
     columns = list(TABLES[table])
     cut = parsed(lines, table)
-    mended = (F.size("records") > 1) | (F.col("size") != len(columns))
     # exploding drops what is null; a filter would be pushed down and would cut every line again
-    each = cut.select("line_no", mended.alias("repaired"), F.posexplode("records").alias("part", "r"))
+    each = cut.select("line_no", mended(table).alias("repaired"), F.posexplode("records").alias("part", "r"))
     records = each.select((F.col("line_no") * 2 + F.col("part")).alias("row_idx"), "repaired", *[F.get("r", F.lit(i)).alias(c) for i, c in enumerate(columns)])
-    bad = cut.select(F.explode(F.when(F.col("records").isNull(), F.array("line"))).alias("ham_satir"))
-    return records, bad.select(F.lit(table).alias("tablo"), "ham_satir", F.lit(REASON).alias("sebep"))
+    return records, quarantined(cut, table)
 
 
 def mentioned_ids(lines: DataFrame, pattern: str = r"S\d{6}") -> DataFrame:
