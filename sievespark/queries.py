@@ -18,6 +18,7 @@ from sievespark.plans.schema import TABLES
 from sievespark.sources import files
 from sievespark.sources import lines as L
 from sievespark.streaming.drift import drift
+from sievespark.streaming.orders import OrderStream
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -627,3 +628,31 @@ def weighted_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (1 + F.col("c_custkey") % 7).alias("weight"))
     draws = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 7919).alias("h"))
     return corrupt.drawn(draws, "h", items, "c_custkey", unit=1.0).select("o_orderkey", "c_custkey")
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> OrderStream:
+    """Lines of orders written in two goes and read as a stream, four files a batch. The second go repeats every sixth line with another carrier."""
+    lines, folder = _order_lines(spark, sf_dir), f"{files.shared_folder(spark)}/{uuid.uuid4().hex}"
+    again = lines.where("line_no % 6 = 0").select(F.col("line_no") + 10_000_000_000, F.replace("line", F.lit("Aras Kargo"), F.lit("MNG Kargo")))
+    for i, part in enumerate((lines.where("line_no % 2 = 0"), lines.where("line_no % 2 = 1").unionByName(again.toDF("line_no", "line")))):
+        part.repartition(4, "line_no").write.parquet(f"{folder}/in/{i}")
+    price = read(spark, sf_dir, "part").limit(1).select(F.lit("U0001").alias("urun_id"), F.lit("10.00").cast("decimal(18,2)").alias("birim_fiyat"))
+    stream = OrderStream(folder, price)
+    source = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in/*")
+    for running in stream.start(source, availableNow=True):
+        running.awaitTermination()
+    return stream
+
+
+@query("""select 'S' || lpad(cast(o_orderkey % 1000000 as varchar), 6, '0') as siparis_id, 'M' || lpad(cast(o_custkey % 100000 as varchar), 5, '0') as musteri_id, case when o_orderdate >= date '2015-01-01' and o_orderdate < date '2025-01-01' then cast(o_orderdate as date) end as siparis_tarihi, 1 as adet, cast(o_totalprice as decimal(18,2)) as toplam_tutar,
+ 'Aras Kargo' as kargo_firmasi from orders where o_orderkey % 5 <> 3""")
+def streamed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders cleaned as their lines come: of an order that comes again the first counts, also where an earlier batch had it. Dates before the shop's first year are invalid."""
+    return _streamed(spark, sf_dir).results(spark, "temiz").select("siparis_id", "musteri_id", "siparis_tarihi", "adet", "toplam_tutar", "kargo_firmasi")
+
+
+@query("""with lines as (select o_orderkey as k from orders union all select o_orderkey from orders where o_orderkey % 6 = 0) select 'okunan_satir' as name, count(*) as n from lines where k % 5 <> 3 union all select 'onarilan_satir', count(*) from lines where k % 5 in (1, 2)
+ union all select 'karantina', count(*) from lines where k % 5 = 3 union all select 'kalan_siparis', count(*) from orders where o_orderkey % 5 <> 3 union all select 'silinen_tekrar_siparis', count(*) from orders where o_orderkey % 5 <> 3 and o_orderkey % 6 = 0""")
+def streamed_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of all batches of a stream."""
+    return _streamed(spark, sf_dir).counters(spark).where("name in ('okunan_satir', 'onarilan_satir', 'karantina', 'kalan_siparis', 'silinen_tekrar_siparis')")
