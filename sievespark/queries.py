@@ -656,3 +656,35 @@ def streamed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streamed_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of all batches of a stream."""
     return _streamed(spark, sf_dir).counters(spark).where("name in ('okunan_satir', 'onarilan_satir', 'karantina', 'kalan_siparis', 'silinen_tekrar_siparis')")
+
+
+@query(f"""select 'siparisler' as "table", 'S' || lpad(cast(o_orderkey as varchar), 9, '0') as key, 'toplam_tutar' as "column", corruption, outcome, cast(cast(o_totalprice as decimal(18,2)) as varchar) as truth, '9' || cast(cast(o_totalprice as decimal(18,2)) as varchar) as clean,
+ '9' || cast(cast(o_totalprice as decimal(18,2)) as varchar) || ' TL' as corrupted from orders join ({_CELLS}) using (o_orderkey) where outcome = 'wrong' order by key limit 500""")
+def error_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 500 cells that aren't right, with the text that was damaged; blanks where nothing can be known are none of them."""
+    key, total = F.format_string("S%09d", "o_orderkey"), F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    damaged = F.when(F.col("o_orderkey") % 4 == 2, F.concat(F.lit("9"), total, F.lit(" TL"))).otherwise(total)
+    log = read(spark, sf_dir, "orders").where("o_orderkey % 4 < 3").select(F.lit("siparisler").alias("tablo"), key.alias("anahtar"), F.lit("toplam_tutar").alias("sutun"), damaged.alias("bozuk"))
+    return quality.error_sample(_outcomes(spark, sf_dir), log).select("table", "key", "column", "corruption", "outcome", "truth", "clean", "corrupted")
+
+
+@query("""select case when p_partkey % 3 = 0 then 'B12' when p_partkey % 3 = 1 then 'B4' else 'temiz' end as corruption, p_partkey % 3 <> 0 as recoverable, count(*) as n from part group by all""")
+def last_entry_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that were damaged more than once count by their last entry: that of the highest place where the log has places."""
+    p = read(spark, sf_dir, "part")
+    key, kinds = F.format_string("U%09d", "p_partkey"), F.lit("urun_adi")
+    truth = p.select(key.alias("urun_id"), F.col("p_name").alias("urun_adi"), *[F.lit(None).cast("string").alias(c) for c in list(TABLES["urunler"])[2:]])
+    entry = lambda code, place, told: (F.lit("urunler").alias("tablo"), key.alias("anahtar"), kinds.alias("sutun"), F.lit(code).alias("bozma"), F.lit(told).alias("kurtarilabilir"), F.lit(place).alias("sira"))
+    log = p.where("p_partkey % 3 < 2").select(*entry("B4", 1, True)).unionByName(p.where("p_partkey % 3 = 0").select(*entry("B12", 2, False))).unionByName(p.where("p_partkey % 3 < 2").select(*entry("B13", 0, False)))
+    return quality.cell_outcomes(truth, truth, log, "urunler").where("column = 'urun_adi'").groupBy("corruption", "recoverable").agg(F.count("*").alias("n"))
+
+
+@query("""select c_custkey, case c_custkey % 9 when 0 then 'Kargoda' when 2 then strftime(date '2020-01-13' + cast(c_custkey % 300 as integer), '%Y-%m-%d') when 4 then 'Ali Can' when 6 then 'x' || c_custkey || '@mail.com' when 8 then c_custkey || '.50' end as answer from customer""")
+def answers_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers to open cells: one that fits each kind is kept in its canonical form, one that doesn't is null."""
+    k, n = F.col("c_custkey"), F.col("c_custkey").cast("string")
+    day = F.date_add(F.lit("2020-01-13").cast("date"), (k % 300).cast("int"))
+    cases = [("option", " Kargoda "), ("option", "Yolda"), ("date", F.date_format(day, "dd.MM.yyyy")), ("date", "05/03/2020"), ("name", "ali can"), ("name", "ali 2"), ("email", F.concat(F.lit("X"), n, F.lit("@MAIL.com"))), ("email", F.concat(n, F.lit("@mail"))), ("money", F.concat(n, F.lit(",50 TL")))]
+    c = read(spark, sf_dir, "customer").select("c_custkey", pick(k, *[kind for kind, _ in cases]).alias("kind"), pick(k, *[told for _, told in cases]).alias("told"))
+    candidates = F.when(F.col("kind") == "option", F.array(F.lit("Kargoda"), F.lit("Hazırlanıyor"))).otherwise(F.array().cast("array<string>"))
+    return c.select("c_custkey", cleaning.valid_answer(F.col("told"), F.col("kind"), candidates).alias("answer"))
