@@ -1,5 +1,6 @@
 """Joins onto dictionaries, pairs and components against plain Python."""
 
+import hashlib
 import itertools
 import random
 import re
@@ -48,6 +49,26 @@ def test_similar_pairs(spark, letters):
     assert similar.nearest(values.limit(0), dictionary).count() == 0
 
 
+def test_similar_pairs_of_codes(spark):
+    """Random codes over few letters share most pairs of letters; pieces of them seldom meet."""
+    codes = [hashlib.md5(str(i).encode()).hexdigest()[:29] for i in range(600)]
+    rows = spark.createDataFrame([(c,) for c in codes], "s string").checkpoint()
+    for ratio, most in ((90.0, 700), (85.0, 2000)):
+        left, right = similar.candidates(rows, rows, ratio)
+        assert 600 <= left.join(right, "part").select("text", "key").distinct().count() < most
+
+
+def test_similar_pairs_that_begin_alike(spark, monkeypatch):
+    """The way by the rarest pairs of letters, for keys whose pieces are common, has the same result."""
+    monkeypatch.setattr(similar, "candidates", similar._rare)
+    rng = random.Random(9)
+    keys = {"merkezmahallesiataturkcaddesi" + "".join(rng.choice("abcdefghijklmnop") for _ in range(12)) for _ in range(60)}
+    texts = {spoilt(rng, k, "xyz") for k in keys}
+    values, dictionary = spark.createDataFrame([(t,) for t in texts], "text string").checkpoint(), spark.createDataFrame([(k,) for k in keys], "key string").checkpoint()
+    got = {(r["text"], r["key"]) for r in similar.similar_pairs(values, dictionary, 90.0).collect()}
+    assert got == {(t, k) for t in texts for k in keys if ratio(t, k) >= 90 - 1e-9}
+
+
 def test_completions(spark):
     rng = random.Random(4)
     words = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 7))) for _ in range(200)}
