@@ -41,13 +41,14 @@ class OrderStream:
     """Cleans a stream of lines (line_no, line) into a folder that driver and executors share.
 
     prices: (urun_id, birim_fiyat) and mapping: (old_id, new_id) of the merged customers are tables, read anew in each batch. line_no has to grow with the place in the input and be different for
-    every line. A null line counts as one that can't be repaired. Orders without a readable identifier are one order, as in keep_first. In the folder: temiz, sorunlar, belirsiz, karantina and sayac.
+    every line. scope, an expression over row_idx and the text columns, says what identifiers are told apart within (an export, a shop); None: they are one order wherever they come. A null line counts as one that can't be repaired. Orders without a readable identifier are one order, as in keep_first. In the folder: temiz, sorunlar, belirsiz, karantina and sayac.
     """
 
     folder: str
     prices: DataFrame
     mapping: DataFrame | None = None
     resolver: cleaning.Resolver = field(default_factory=cleaning.NoResolver)
+    scope: Column | None = None
 
     def _path(self, part: str, batch: int) -> str:
         return f"{self.folder}/{part}/batch={batch}"
@@ -82,6 +83,7 @@ class OrderStream:
         """Both queries, started; they go on where they ended if the folder is known. trigger: as of DataStreamWriter.trigger, for instance availableNow=True."""
         records, _ = L.ingest(lines.where("line is not null"), TABLE)
         key = P.identifier(T.clean(F.col("siparis_id")), *ID_FORMATS["siparis_id"])
+        key = key if self.scope is None else F.struct(self.scope.alias("scope"), key.alias("id"))
         firsts = first_arrivals(records.drop("repaired"), key, "row_idx")
         writers = [(lines.writeStream, self.take_lines, "satir"), (firsts.writeStream.outputMode("update"), self.take_orders, "siparis")]
         return [(w.trigger(**trigger) if trigger else w).foreachBatch(f).option("checkpointLocation", f"{self.folder}/durum/{name}").start() for w, f, name in writers]
