@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievespark.functions import text as T
-from sievespark.operators.joins import dealt
+from sievespark.operators.joins import dealt, spread
 
 #: Rows that share a sign and meet all others in one task; more are dealt to blocks that meet two at a time.
 BLOCK = 1000
@@ -45,7 +45,7 @@ def decided_pairs(df: DataFrame, first: str, last: str, columns: dict[str, str],
     continues by a letter. Those are the keys of equi-joins; a frequent name or a frequent name in one district makes no pairs. Rows of a frequent key are dealt to blocks, and each
     task sees two of them.
     """
-    rows = df.withColumn("__block", block_key(F.col(first), F.col(last))).where("__block is not null")
+    rows = spread(df.withColumn("__block", block_key(F.col(first), F.col(last))).where("__block is not null"), order)
     local, district = _local(F.col(columns["email"])), F.col(columns["district"])
     sign = lambda name, side, v: F.when(v.isNotNull(), F.struct(F.lit(name).alias("sign"), F.lit(side).alias("side"), v.alias("v")))
     full = lambda *v: F.when(sum(x.isNotNull().cast("int") for x in v) == len(v), F.concat_ws("\u0001", *v))
@@ -71,7 +71,7 @@ def certain_links(df: DataFrame, first: str, last: str, columns: dict[str, str],
     Rows of a block that agree in two strong signs, or a strong one and the district, are all linked to the first of them. Of rows that agree in a strong sign, those with a local part are
     linked to the first of those that continue it by a letter, and the other way round: each of the ones forms a pair with each of the others.
     """
-    rows = df.withColumn("__block", block_key(F.col(first), F.col(last))).where("__block is not null")
+    rows = spread(df.withColumn("__block", block_key(F.col(first), F.col(last))).where("__block is not null"), order)
     birth, phone, email, district = (F.col(columns[n]).cast("string") for n in ("birth", "phone", "email", "district"))
     together = [(birth, phone), (birth, email), (phone, email), (birth, district), (phone, district), (email, district)]
 
@@ -121,7 +121,7 @@ def merge(df: DataFrame, clusters: DataFrame, key: str, order: str, own: list[st
     The survivor of a cluster has the smallest key, nulls last. Its missing values come from the others in that order, except the columns in own. The members' keys meet the survivors
     in a join; no row holds a cluster.
     """
-    member = df.join(clusters.select(F.col("node").alias("__n"), "root"), F.col(order) == F.col("__n"), "left").drop("__n")
+    member = spread(df, order).join(clusters.select(F.col("node").alias("__n"), "root"), F.col(order) == F.col("__n"), "left").drop("__n")
     alone = member.where("root is null").drop("root")
     place = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("k"), F.col(order).alias("o"))
     values = [c for c in df.columns]

@@ -163,3 +163,10 @@ def test_hubs_and_chains(spark, monkeypatch):
     roots = entity.components(star.unionByName(chain)).groupBy("root").count().collect()
     assert {r["root"]: r["count"] for r in roots} == {0: 400, 10_000: 61}
     assert entity.components(star.limit(0)).count() == 0
+
+
+def test_rows_of_one_file_are_spread(spark):
+    """A task's rows don't grow with the table, however few parts a file is read in."""
+    one = spark.range(0, 3 * joins.PART_ROWS, 1, 1).toDF("row_idx")
+    parts = joins.spread(one, "row_idx").groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in parts) == 3 * joins.PART_ROWS and max(r["count"] for r in parts) < 1.1 * joins.PART_ROWS
