@@ -210,7 +210,7 @@ def hamming_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         spread = spread.select("fp", "cell", (F.col("home") & (F.col("own") == F.col("i"))).alias("home"), "i", "j", alone.alias("alone"))
     else:
         spread = spread.withColumns({"i": zero, "j": zero, "alone": F.lit(0).cast("long")})
-    spread = spread.withColumn("shard", F.pmod(F.xxhash64("cell", "i", "j"), F.lit(max(12, int(rows) // SHARD_ROWS))).cast("int"))
+    spread = spread.withColumn("shard", F.pmod(F.xxhash64("cell", "i", "j"), F.lit(max(64, int(rows) // SHARD_ROWS))).cast("int"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         fps, cell, i, j, home = pdf["fp"].to_numpy().view(np.uint64), pdf["cell"].to_numpy(), pdf["i"].to_numpy(), pdf["j"].to_numpy(), pdf["home"].to_numpy()
@@ -248,9 +248,9 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near-duplicates by similarity. At a similarity of 0.8 fingerprints of 64 bits differ in up to 16, where a tree of Hamming distances
-# prunes nothing; so documents first meet by bands of minima of their shingles, and exact sets decide. Where many documents meet, codes whose
-# Hamming distance never exceeds the sets' difference prune by distances to a vantage point.
+# Near-duplicates by similarity. Documents whose fingerprints the vantage-point tree links meet. At a similarity of 0.8 fingerprints of 64 bits
+# differ in up to 16, where a tree of Hamming distances prunes nothing; so documents also meet by bands of minima of their shingles. Exact sets decide. Where many
+# documents meet, codes whose Hamming distance never exceeds the sets' difference prune by distances to a vantage point.
 
 #: Words of a shingle, the least Jaccard similarity of near-duplicates, bands and minima in a band: a pair of similarity 0.8 misses all bands once in 150,000 times.
 NEAR_SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 30, 5
@@ -352,23 +352,33 @@ def across(banded: DataFrame, linked: DataFrame, sketches: DataFrame, similarity
     return checkpointed(found.select(node("d1", "t1").alias("a"), node("d2", "t2").alias("b")))
 
 
+def linked_prints(chosen: DataFrame) -> DataFrame:
+    """(node, band, key) of (node, fp): one more band, whose buckets are the components of linked fingerprints. A null fp is in none."""
+    prints = checkpointed(chosen.where("fp is not null").groupBy("fp").agg(F.count("*").alias("n")))
+    linked = connected_components(hamming_links(prints.select("fp")))
+    named = checkpointed(prints.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("key"), "n"))
+    return dealt_join(chosen.where("fp is not null").select("node", "fp"), named, ["fp"], F.col("node")).select("node", F.lit(BANDS).alias("band"), "key")
+
+
 def near_duplicates(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, text_hash, group_doc_id, group_text_hash, first): the group of each document and whether the row's document stands for it.
 
     Documents are told apart by (doc_id, hash of the text). Texts whose lower-cased words are equal, and texts whose sets of shingles have at least
     that Jaccard similarity, are linked; groups are connected components and the smallest (doc_id, hash) stands for each. Null, empty and
-    wordless texts are one group. Texts of any length count whole. A null doc_id comes first. Documents meet where their minima of a band agree; each
-    is compared with the smallest one there, and then with all those of the bucket that aren't in its group by then.
+    wordless texts are one group. Texts of any length count whole. A null doc_id comes first. Documents meet where the tree links their fingerprints, as in components(), and where their
+    minima of a band agree; each is compared with the smallest one there, and then with all those of the bucket that aren't in its group by then.
     """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            same, found = [], []
+            same, found, prints = [], [], []
             for text in values(batch.column(2)):
                 words = (text or "").encode().lower().split()
                 same.append(xxhash.xxh3_128_digest(b" ".join(words)))
                 found.append(bands(np.unique(shingle_hashes(text, shingle))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "text_hash", "same", "bands"])
+                fp = simhash(shingle_hashes(text, SHINGLE))
+                prints.append((fp - (1 << 64) if fp >> 63 else fp) if words else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(prints, pa.int64())], ["doc_id", "text_hash", "same", "bands", "fp"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -377,11 +387,11 @@ def near_duplicates(df: DataFrame, shingle: int = NEAR_SHINGLE, similarity: floa
 
     kind = dict(df.dtypes)["doc_id"]
     rows = df.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    keyed = checkpointed(rows.mapInArrow(keys, f"doc_id {kind}, text_hash long, same binary, bands array<long>"))
+    keyed = checkpointed(rows.mapInArrow(keys, f"doc_id {kind}, text_hash long, same binary, bands array<long>, fp long"))
     node = F.struct("doc_id", "text_hash")
     # one document for all with the same words; the others follow it
-    chosen = checkpointed(keyed.groupBy("same").agg(F.min(node).alias("node"), F.first("bands").alias("bands"), F.count("*").alias("n")))
-    banded = chosen.select("node", F.posexplode("bands").alias("band", "key"))
+    chosen = checkpointed(keyed.groupBy("same").agg(F.min(node).alias("node"), F.first("bands").alias("bands"), F.first("fp").alias("fp"), F.count("*").alias("n")))
+    banded = chosen.select("node", F.posexplode("bands").alias("band", "key")).unionByName(linked_prints(chosen))
     shared = checkpointed(banded.groupBy("band", "key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1"))
     banded = checkpointed(dealt_join(banded, shared, ["band", "key"], F.col("node")))
     pairs = checkpointed(banded.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())

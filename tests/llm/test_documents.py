@@ -106,6 +106,22 @@ def test_near_duplicates(spark, docs):
     assert simhash.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_meet_by_the_tree(spark, docs, monkeypatch):
+    """The tree over fingerprints is a step of the pipeline's stage: with its links alone, texts that differ in few words of many are still found."""
+    rng = random.Random(5)
+    words = [[f"w{rng.randrange(10**6)}" for _ in range(3000)] for _ in range(6)]
+    rows = [(2 * i + j, " ".join([*w[:-1], "other"] if j else w)) for i, w in enumerate(words) for j in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, tree = [], simhash.linked_prints
+    monkeypatch.setattr(simhash, "linked_prints", lambda chosen: seen.append(tree(chosen).checkpoint()) or seen[-1])
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(df).collect()) == [0, 2, 4, 6, 8, 10]
+    fps = {r["doc_id"]: (r["fp"], r["component_id"]) for r in simhash.components(df).collect()}
+    met = {r["doc_id"]: r["key"] for r in seen[0].select("node.doc_id", "key").collect()}
+    assert met.keys() == fps.keys()
+    assert all((met[a] == met[b]) == (fps[a][1] == fps[b][1]) for a in met for b in met)
+    assert sum(fps[a][1] == fps[a + 1][1] for a in range(0, 12, 2)) >= 3
+
+
 def test_near_duplicates_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(simhash, "MEMBERS", 3)
     rows = [(i, COPY + f" tail{i}") for i in range(12)] + [(50, LONG)]
