@@ -170,3 +170,14 @@ def test_rows_of_one_file_are_spread(spark):
     one = spark.range(0, 3 * joins.PART_ROWS, 1, 1).toDF("row_idx")
     parts = joins.spread(one, "row_idx").groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in parts) == 3 * joins.PART_ROWS and max(r["count"] for r in parts) < 1.1 * joins.PART_ROWS
+
+
+@pytest.mark.parametrize("sent", [0, 10_000])
+def test_a_frequent_value_meets_its_match_everywhere(spark, monkeypatch, sent):
+    """The rows of a frequent value stay in several tasks, and nulls and rare values keep their rows, whether the matches are sent or dealt."""
+    monkeypatch.setattr(matching, "SENT", sent)
+    value = F.when(F.col("id") % 10 == 0, None).when(F.col("id") % 10 == 1, F.concat(F.lit("v"), "id")).otherwise("often")
+    rows = spark.range(0, 20_000, 1, 8).select("id", value.alias("raw"))
+    out = matching.matched(rows, "raw", F.upper).withColumn("part", F.spark_partition_id()).checkpoint()
+    assert out.count() == 20_000 and out.where("not (raw_match <=> upper(raw))").count() == 0
+    assert out.where("raw = 'often'").select("part").distinct().count() > 1
