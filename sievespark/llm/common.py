@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Runs of anything but ASCII white space, as the contracts of the word-based operators define words.
@@ -105,12 +105,32 @@ def met(many: DataFrame, one: DataFrame, keys: list[str], salt: Column, rows: in
     return dealt_join(many, one, keys, salt)
 
 
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """The edges (u, v) with m of least (u, m, n), which has a row for each u; n: edges of u. Keys are dealt as by dealt_join, but with a union and a window in place of the join.
+
+    Spark takes a join's size to be the product of both sides' sizes, and a checkpoint hands that estimate on: joins of a loop's own tables give the number several times
+    the digits with each round, until it fills the driver's memory. A union's size is a sum. least is read twice: checkpoint it before.
+    """
+    most = least.agg(F.max("n").alias("most"), F.sum("n").alias("total")).first()
+    share = max(DEAL, (most["total"] or 0) // HOT_KEYS)
+    deal, kind = F.greatest(F.ceil(F.col("n") / share), F.lit(1)).cast("int"), edges.schema["v"].dataType
+    left, right = edges.withColumn("part", F.lit(0)), least.withColumn("part", F.lit(0))
+    if (most["most"] or 0) > share:
+        # fewer than HOT_KEYS keys have so many edges, so the limit leaves none out; it bounds the estimate
+        hot = least.where(F.col("n") > share).select("u", deal.alias("deal")).limit(HOT_KEYS)
+        left = edges.join(F.broadcast(hot), "u", "left").withColumn("part", F.pmod(F.xxhash64("v"), F.coalesce("deal", F.lit(1))).cast("int"))
+        right = least.withColumn("part", F.explode(F.sequence(F.lit(0), deal - 1)))
+    none = F.lit(None).cast(kind)
+    both = left.select("u", "part", "v", none.alias("m")).unionByName(right.select("u", "part", none.alias("v"), "m"))
+    return both.withColumn("m", F.max("m").over(Window.partitionBy("u", "part"))).where("v is not null").select("u", "v", "m")
+
+
 def connected_components(edges: DataFrame, checkpoint=checkpointed) -> DataFrame:
     """Components of an undirected graph as (node, component), component being the smallest node reachable.
 
     edges has two columns (a, b) of one orderable type; self loops and repeats are harmless. Alternating large-star and
-    small-star steps run as joins and grouped minima until the edge set no longer changes. Hubs cost no more than other nodes:
-    the minima are combined before the shuffle and the joins deal a hub's edges to several tasks.
+    small-star steps run as grouped minima that are handed to the edges until the edge set no longer changes. Hubs cost no more than other nodes:
+    the minima are combined before the shuffle and a hub's edges are dealt to several tasks.
     """
     current = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
 
@@ -121,9 +141,9 @@ def connected_components(edges: DataFrame, checkpoint=checkpointed) -> DataFrame
     while seen[0]:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = checkpoint(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"), F.count("*").alias("n")))
-        large = checkpoint(dealt_join(both, least, ["u"], F.col("v")).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = checkpoint(_with_least(both, least).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low = checkpoint(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
-        small = dealt_join(large, low, ["u"], F.col("v")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        small = _with_least(large, low).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         current = checkpoint(small)
         now = sign(current)
         if now == seen:
